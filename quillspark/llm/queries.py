@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quillspark.llm.bpe import op7_bpe
 from quillspark.llm.common import table
 from quillspark.llm.decontam import op9_decontam
+from quillspark.llm.pii import op8_pii
 from quillspark.llm.simhash import op3_simhash
+from quillspark.llm.toxicity import op4_toxicity
 
 
 def _over(run: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,7 +20,9 @@ def _over(run: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": _over(op3_simhash, "documents"),
+    "op4_toxicity": _over(op4_toxicity, "documents", "labels"),
     "op7_bpe": _over(op7_bpe, "documents"),
+    "op8_pii": _over(op8_pii, "documents"),
     "op9_decontam": _over(op9_decontam, "documents", "benchmark"),
 }
 
