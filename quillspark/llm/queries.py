@@ -10,6 +10,7 @@ from quillspark.llm.bpe import op7_bpe
 from quillspark.llm.common import table
 from quillspark.llm.decontam import op9_decontam
 from quillspark.llm.pii import op8_pii
+from quillspark.llm.sharding import op1_sharding
 from quillspark.llm.simhash import op3_simhash
 from quillspark.llm.toxicity import op4_toxicity
 
@@ -19,6 +20,7 @@ def _over(run: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": _over(op1_sharding, "documents"),
     "op3_simhash": _over(op3_simhash, "documents"),
     "op4_toxicity": _over(op4_toxicity, "documents", "labels"),
     "op7_bpe": _over(op7_bpe, "documents"),
