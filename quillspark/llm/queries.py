@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from quillspark.llm.bpe import op7_bpe
 from quillspark.llm.common import table
 from quillspark.llm.decontam import op9_decontam
+from quillspark.llm.licenses import op2_licenses
+from quillspark.llm.media import op5_media
 from quillspark.llm.pii import op8_pii
 from quillspark.llm.sharding import op1_sharding
 from quillspark.llm.simhash import op3_simhash
 from quillspark.llm.toxicity import op4_toxicity
+from quillspark.llm.urls import op6_urls
 
 
 def _over(run: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,8 +24,11 @@ def _over(run: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": _over(op1_sharding, "documents"),
+    "op2_licenses": _over(op2_licenses, "documents"),
     "op3_simhash": _over(op3_simhash, "documents"),
     "op4_toxicity": _over(op4_toxicity, "documents", "labels"),
+    "op5_media": _over(op5_media, "documents"),
+    "op6_urls": _over(op6_urls, "pages"),
     "op7_bpe": _over(op7_bpe, "documents"),
     "op8_pii": _over(op8_pii, "documents"),
     "op9_decontam": _over(op9_decontam, "documents", "benchmark"),
