@@ -10,6 +10,7 @@ from quillspark.llm.bpe import op7_bpe
 from quillspark.llm.common import table
 from quillspark.llm.decontam import op9_decontam
 from quillspark.llm.licenses import op2_licenses
+from quillspark.llm.lm import op10_lm
 from quillspark.llm.media import op5_media
 from quillspark.llm.pii import op8_pii
 from quillspark.llm.sharding import op1_sharding
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe": _over(op7_bpe, "documents"),
     "op8_pii": _over(op8_pii, "documents"),
     "op9_decontam": _over(op9_decontam, "documents", "benchmark"),
+    "op10_lm": _over(op10_lm, "documents"),
 }
 
 #: No query of this package has an SQL form: each iterates, trains a model or runs an automaton; tests use brute force.
