@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,21 +18,3 @@ def utf8(text: str) -> Column:
 def id_remainder(doc_id: str, modulus: int) -> Column:
     """crc32 of the id's text modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
-
-
-def map_rows(df: DataFrame, each: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """Apply ``each`` to every Arrow batch as a dict of lists; one output batch per input batch."""
-    target = _arrow_schema(df.sparkSession, schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict(each(batch.to_pydict()), schema=target)
-
-    return df.mapInArrow(run, schema)
-
-
-def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl))
