@@ -1,6 +1,8 @@
-"""All queries over the reference's operators, with their SQL forms."""
+"""All queries over this engine's operators, with their SQL forms."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from quillspark.plans import counter_queries, library_queries
+
+QUERIES = counter_queries.QUERIES | library_queries.QUERIES
+ORACLE_SQL = counter_queries.ORACLE_SQL | library_queries.ORACLE_SQL
