@@ -29,7 +29,7 @@ def non_negative_integer(value: Column) -> Column:
     """Numeric text truncated toward zero; 0 for anything negative, unparsable or not finite."""
     raw = value.cast("string")
     number = F.when(raw.rlike(NUMBER), F.trim(raw).try_cast("double"))
-    return F.coalesce(F.when(number >= 0, F.floor(number).try_cast("bigint")), F.lit(0).cast("bigint"))
+    return F.coalesce(F.when(number >= 0, number.try_cast("bigint")), F.lit(0).cast("bigint"))
 
 
 def iso_utc(timestamp: Column) -> Column:
