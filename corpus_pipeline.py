@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, decontam, pii, simhash, toxicity
-from quillspark.llm.common import table
+from quillspark.llm.common import fresh, table
 from quillspark.operators.durable import durable
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.toxicity_scores(docs, model, out="_toxicity")
-    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).select(docs.columns)
+    score = fresh("toxicity", docs)
+    return toxicity.toxicity_scores(docs, model, out=score).where(F.col(score) < toxicity.THRESHOLD).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +37,9 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pii.pii_spans(docs, out="_spans")
-    changed = F.size("_spans") > 0
-    clean = pii.redact(found, spans="_spans")
+    spans = fresh("spans", docs)
+    clean = pii.redact(pii.pii_spans(docs, out=spans), spans=spans)
+    changed = F.size(spans) > 0
     return clean.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

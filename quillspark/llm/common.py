@@ -18,3 +18,10 @@ def utf8(text: str) -> Column:
 def id_remainder(doc_id: str, modulus: int) -> Column:
     """crc32 of the id's text modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that the table does not have yet."""
+    while name in df.columns:
+        name += "_"
+    return name
