@@ -57,10 +57,14 @@ def snapshot_assets(snapshots: DataFrame) -> DataFrame:
     return assets.select("r", "a", text(F.col("tagName")).alias("tagName"), F.col("asset.id").alias("id"), text(F.col("asset.name")).alias("name"), F.col("asset.downloadCount").alias("downloadCount"))
 
 
-def last_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key, the last in the given order."""
-    window = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-    return df.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
+def last_by(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """One row per key with the values of its last row by (r, a), which is unique in a snapshot.
+
+    Both places are packed in one long, so that this is a hash aggregation with a
+    partial step on the map side and no sort.
+    """
+    place = F.shiftleft(F.col("r").cast("bigint"), 32) + F.col("a")
+    return df.groupBy(*keys).agg(*[F.max_by(v, place).alias(v) for v in values])
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -81,9 +85,9 @@ def match_states(current: DataFrame, previous: DataFrame, by: list[str] | None =
     build sides hold one row per key; whether to broadcast is left to their size.
     """
     by = by or []
-    by_id = last_by(previous.where("id is not null").withColumn("id_text", F.col("id").cast("string")), [*by, "id_text"], ["r", "a"])
-    by_id = by_id.select(*by, "id_text", F.lit(True).alias("same"), non_negative_integer(F.col("downloadCount")).alias("before"))
-    by_key = last_by(previous, [*by, "tagName", "name"], ["r", "a"]).select(*by, "tagName", "name", F.col("id").alias("earlier"), F.lit(True).alias("named"))
+    named_ids = previous.where("id is not null").withColumn("id_text", F.col("id").cast("string"))
+    by_id = last_by(named_ids.withColumn("before", non_negative_integer(F.col("downloadCount"))), [*by, "id_text"], ["before"]).withColumn("same", F.lit(True))
+    by_key = last_by(previous.withColumnRenamed("id", "earlier"), [*by, "tagName", "name"], ["earlier"]).withColumn("named", F.lit(True))
     joined = current.withColumn("id_text", F.col("id").cast("string")).join(by_id, [*by, "id_text"], "left").join(by_key, [*by, "tagName", "name"], "left")
     state = F.when(F.col("same"), "existing").when(F.col("named"), "replaced").otherwise("new")
     delta = F.when(F.col("same"), clamped_delta(F.col("downloadCount"), F.col("before"))).otherwise(F.col("downloadCount"))

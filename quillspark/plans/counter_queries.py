@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quillspark.functions import coerce
 from quillspark.operators.counters import as_of, clamped_delta, first_by, match_states, published
+from quillspark.operators.durable import durable
 
 FIRST_DAY = "2024-01-01"
 TAG_NUMBERS = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
@@ -53,7 +54,8 @@ s AS (SELECT *, CASE WHEN old_id IS NULL THEN 'new' WHEN old_id = id THEN 'exist
 
 
 def with_states(assets: DataFrame) -> DataFrame:
-    """Every day's assets against the day before."""
+    """Every day's assets against the day before; written once, as it is read three times."""
+    assets = durable(assets)
     earlier = assets.select((F.col("day") + 1).alias("day"), "tagName", "name", "id", "downloadCount", F.lit(0).alias("r"), F.lit(0).alias("a"))
     return match_states(assets, earlier, by=["day"])
 
