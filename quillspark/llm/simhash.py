@@ -201,7 +201,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     named = near_duplicates(docs, id_col, text_col, **options)
     keep = named.where(F.col(id_col) == F.col("component_id")).select(id_col)
     seen = durable(keep.groupBy(id_col).count())
-    kept = docs.join(seen.select(id_col), id_col, "left_semi")
+    # The list of ids grows with the table: by this hint it is never broadcast, and the plan is the same at every size.
+    kept = docs.join(seen.select(id_col).hint("merge"), id_col, "left_semi")
     twice = seen.where("count > 1").select(id_col)
     if not twice.isEmpty():
         kept = kept.join(twice, id_col, "left_anti").unionByName(kept.join(twice, id_col, "left_semi").dropDuplicates([id_col]))
