@@ -4,7 +4,7 @@ The first four stages return the columns of ``documents``; each works on all row
 its predecessor kept, and its decisions take effect:
 
 1. toxicity: rows that score at or above the threshold go;
-2. near-dedup: one row of each SimHash component stays;
+2. near-dedup: one row of each component stays; SimHash links, and five-word shingles at 0.8 or more;
 3. decontamination: rows in which a benchmark item occurs go;
 4. pii: personal data is replaced by its kind, ``n_chars`` follows the text;
 5. bpe: the last stage returns ids, counts and the digests of an encode-decode trip.
@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, similarity=0.8)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

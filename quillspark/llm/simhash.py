@@ -12,13 +12,19 @@
    allow a broadcast. A shard returns a spanning star of its links, never all pairs.
 4. The links of all shards are joined into components by Spark joins.
 
+A radius of 4 bits finds texts that are all but equal. ``near_duplicates`` can also be
+given a Jaccard similarity of word shingles, at which fingerprints differ in about
+8 bits. Its shards are then keyed by min-hashes (a pair at 0.8 shares none of the
+``KEYS`` keys once in 15,000 times), their trees searched within ``WIDE_RADIUS`` bits,
+and each hit is confirmed by one-byte min-hash sketches.
+
 Null or blank texts get fingerprint zero and are linked like any other. Equal
 fingerprints are one node, so repeated rows cost one tree entry.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,23 +37,33 @@ from quillspark.operators.components import connected_components
 from quillspark.operators.durable import durable
 
 SEED = 42
+KEYS = 6
+SKETCH = 128
+WIDE_RADIUS = 20
+SLACK = 0.03  # about one standard error of a sketch's estimate
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: bytes, shingle: int = 4) -> int:
-    """SimHash of the lower-cased (A-Z) words of a UTF-8 text; 0 where there are no words."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` lower-cased (A-Z) words, repeats included; of all words where there are fewer."""
     words = text.lower().split()
-    n = len(words) - shingle + 1
     if not words:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     joined = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
+    digest, n = xxhash.xxh64_intdigest, len(words) - shingle + 1
     if n <= 1:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)], dtype=np.uint64)
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32).tolist()
     starts = [0, *[g + 1 for g in gaps[: n - 1]]]
     ends = [*gaps[shingle - 1 :], len(joined)]
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends)], dtype="<u8").view(np.uint8).reshape(n, 8)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends)], dtype=np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = 4) -> int:
+    """SimHash of a UTF-8 text: a bit is set where more than half of the shingle hashes have it; 0 without words."""
+    found = shingle_hashes(text, shingle)
+    n = len(found)
+    hashes = found.astype("<u8").view(np.uint8).reshape(n, 8)
     if n < 300:
         ones = np.unpackbits(hashes, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     else:
@@ -55,15 +71,43 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``(id_col, fp)``, one row per input row; ``fp`` holds the 64 bits as a signed long."""
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch(text: bytes, shingle: int = 5) -> tuple[list[int], bytes]:
+    """Min-hash keys and a one-permutation min-hash sketch of the set of shingles; no keys without words.
+
+    Bin k keeps a byte of the least hash whose upper bits are k; an empty bin takes
+    the next filled one's.
+    """
+    found = np.unique(shingle_hashes(text, shingle))
+    if not len(found):
+        return [], bytes(SKETCH)
+    keys = [int((found * odd).min()) for odd in _ODD]
+    first = np.searchsorted(found, np.arange(SKETCH, dtype=np.uint64) << np.uint64(64 - SKETCH.bit_length() + 1))
+    mixed = found * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)
+    return keys, mixed[first % len(found)].astype(np.uint8).tobytes()
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, sketched: int = 0) -> DataFrame:
+    """``(id_col, fp)``, one row per input row; ``fp`` holds the 64 bits as a signed long.
+
+    With ``sketched`` words per shingle, also ``keys array<long>`` and ``sketch binary``.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, fp long"
+    schema = f"`{id_col}` {kind}, fp long" + (", keys array<long>, sketch binary" if sketched else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
+            texts = batch.column(1).to_pylist()
+            fps = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64)
+            columns, names = [batch.column(0), pa.array(fps.view(np.int64))], [id_col, "fp"]
+            if sketched:
+                found = [sketch(t, sketched) for t in texts]
+                keys = [np.array(k, dtype=np.uint64).view(np.int64) for k, _ in found]
+                columns += [pa.array(keys, pa.list_(pa.int64())), pa.array([x for _, x in found], pa.binary())]
+                names += ["keys", "sketch"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select(id_col, utf8(text_col).alias("bytes")).mapInArrow(run, schema)
 
@@ -78,8 +122,12 @@ class BKTree:
     def __init__(self, codes: np.ndarray, leaf: int = 16):
         self.codes, self.leaf = codes, leaf
 
-    def self_links(self, radius: int) -> np.ndarray:
-        """For each code the smallest index it is connected to by links within the radius."""
+    def self_links(self, radius: int, alike: Callable[[int, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+        """For each code the smallest index it is connected to by links within the radius.
+
+        ``alike`` confirms hits (a node and candidate indices, to a mask); it is only
+        asked about candidates that are not connected to the node yet.
+        """
         codes, label = self.codes, np.arange(len(self.codes))
         everyone = np.arange(len(codes))
         stack = [(everyone, everyone)]
@@ -87,11 +135,11 @@ class BKTree:
             points, asking = stack.pop()
             if len(points) <= self.leaf:
                 for p in points:
-                    _merge(label, p, asking[np.bitwise_count(codes[asking] ^ codes[p]) <= radius])
+                    _merge(label, p, asking[np.bitwise_count(codes[asking] ^ codes[p]) <= radius], alike)
                 continue
             pivot, rest = points[0], points[1:]
             reach = np.bitwise_count(codes[asking] ^ codes[pivot]).astype(np.int16)
-            _merge(label, pivot, asking[reach <= radius])
+            _merge(label, pivot, asking[reach <= radius], alike)
             edge = np.bitwise_count(codes[rest] ^ codes[pivot]).astype(np.int16)
             order = np.argsort(edge, kind="stable")
             keys, first = np.unique(edge[order], return_index=True)
@@ -102,15 +150,13 @@ class BKTree:
         return label
 
 
-def _merge(label: np.ndarray, node: int, hits: np.ndarray) -> None:
-    found = label[hits]
-    low = min(label[node], found.min()) if len(hits) else label[node]
-    if label[node] != low:
-        label[label == label[node]] = low
-    if (found != low).any():
-        for other in np.unique(found):
-            if other != low:
-                label[label == other] = low
+def _merge(label: np.ndarray, node: int, hits: np.ndarray, alike: Callable[[int, np.ndarray], np.ndarray] | None) -> None:
+    hits = hits[label[hits] != label[node]]
+    if alike and len(hits):
+        hits = hits[alike(node, hits)]
+    if len(hits):
+        joined = np.unique(np.append(label[hits], label[node]))
+        label[np.isin(label, joined)] = joined[0]
 
 
 def _block(fp: Column, shift: int, width: int) -> Column:
@@ -146,54 +192,89 @@ def _keys(codes: DataFrame, radius: int, shard_cap: int) -> DataFrame:
     return sized.select(F.explode(keys).alias("key"), "fp")
 
 
-def fingerprint_links(codes: DataFrame, radius: int = 4, shard_cap: int = 4096) -> DataFrame:
-    """``(u, v)``: links within the radius between distinct fingerprints, thinned to a spanning star per shard."""
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """The codes (and sketches) of each run of equal keys; runs may cross batches."""
+    held: list = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty((0, SKETCH), np.uint8)]
+    for batch in batches:
+        new = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)]
+        if batch.num_columns > 2:
+            new.append(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, SKETCH))
+        held = [np.concatenate(x) for x in zip(held, new)]
+        if len(held[0]):
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            yield from _runs([x[:last] for x in held])
+            held = [x[last:] for x in held]
+    yield from _runs(held)
+
+
+def _runs(columns: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    key = columns[0]
+    cuts = (np.flatnonzero(np.diff(key)) + 1).tolist()
+    for a, b in zip([0, *cuts], [*cuts, len(key)]):
+        if b - a > 1:
+            yield columns[1][a:b], columns[2][a:b] if len(columns) > 2 else None
+
+
+def _linked(keyed: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
+    """``(u, v)``: a spanning star of each linked set of codes in each shard of ``(key, fp[, sketch])``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held = np.empty(0, np.int64), np.empty(0, np.uint64)
-        for batch in batches:
-            key = np.concatenate([held_key, batch.column(0).to_numpy(zero_copy_only=False)])
-            fp = np.concatenate([held, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-            if not len(key):
-                continue
-            last = int(np.searchsorted(key, key[-1]))
-            held_key, held = key[last:], fp[last:]
-            yield from links(key[:last], fp[:last])
-        yield from links(held_key, held)
-
-    def links(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        us, vs = [], []
-        cuts = np.flatnonzero(np.diff(key)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
-            if b - a < 2:
-                continue
-            codes_here = np.unique(fp[a:b])
-            label = BKTree(codes_here).self_links(radius)
-            joined = np.flatnonzero(label != np.arange(len(label)))
-            us.append(codes_here[joined])
-            vs.append(codes_here[label[joined]])
+        us, vs, size = [], [], 0
+        for codes, sketches in _by_key(batches):
+            alike = None
+            if sketches is not None:
+                least = (similarity * 255 + 1) / 256 * SKETCH  # unequal hashes share a byte once in 256
+                alike = lambda p, hits, x=sketches, n=least: (x[hits] == x[p]).sum(axis=1) >= n
+            label = BKTree(codes).self_links(radius, alike)
+            joined = np.flatnonzero(codes[label] != codes)
+            us.append(codes[joined])
+            vs.append(codes[label[joined]])
+            size += len(joined)
+            if size > 1 << 16:
+                yield _pairs(us, vs)
+                us, vs, size = [], [], 0
         if us:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (us, vs)], names=["u", "v"])
+            yield _pairs(us, vs)
+
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+
+
+def _pairs(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (us, vs)], names=["u", "v"])
+
+
+def fingerprint_links(codes: DataFrame, radius: int = 4, shard_cap: int = 4096) -> DataFrame:
+    """``(u, v)``: links within the radius between distinct fingerprints, thinned to a spanning star per shard."""
+    return _linked(_keys(codes, radius, shard_cap), radius)
+
 
-    keyed = _keys(codes, radius, shard_cap).repartition("key").sortWithinPartitions("key")
-    return keyed.mapInArrow(run, "u long, v long")
+def similarity_links(marked: DataFrame, similarity: float) -> DataFrame:
+    """``(u, v)``: links between fingerprints of texts whose sketches show the similarity; equal texts are one entry."""
+    texts = marked.select("fp", "sketch", "keys").distinct()
+    keyed = texts.select(F.posexplode("keys").alias("i", "least"), "fp", "sketch").select(F.xxhash64("i", "least").alias("key"), "fp", "sketch")
+    return _linked(keyed, WIDE_RADIUS, similarity - SLACK)
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, shard_cap: int = 4096
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, shard_cap: int = 4096,
+    similarity: float | None = None, similarity_shingle: int = 5,
 ) -> DataFrame:
     """``(id_col, fp, component_id)`` per input row; the component is the smallest id reachable by links, itself included.
 
-    A null id takes part in linking but never names a component; a component of
+    With a ``similarity``, texts whose shingle sets are that similar are linked too. A
+    null id takes part in linking but never names a component; a component of
     null ids only has a null name.
     """
-    marked = durable(fingerprints(docs, id_col, text_col, shingle))
+    marked = durable(fingerprints(docs, id_col, text_col, shingle, similarity_shingle if similarity else 0))
     codes = durable(marked.groupBy("fp").agg(F.min(id_col).alias("low")))
-    comps = connected_components(fingerprint_links(codes.select("fp"), radius, shard_cap)).withColumnsRenamed({"node": "fp", "component": "root"})
+    links = fingerprint_links(codes.select("fp"), radius, shard_cap)
+    if similarity:
+        links = links.unionByName(similarity_links(marked, similarity))
+    comps = connected_components(links).withColumnsRenamed({"node": "fp", "component": "root"})
     rooted = codes.join(comps, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(names, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(id_col, "fp", "component_id")
+    return marked.select(id_col, "fp").join(named, "fp").select(id_col, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -1,7 +1,7 @@
 import numpy as np
 import xxhash
 
-from quillspark.llm.simhash import BKTree, fingerprint, fingerprint_links, keep_one, near_duplicates, op3_simhash
+from quillspark.llm.simhash import BKTree, fingerprint, fingerprint_links, keep_one, near_duplicates, op3_simhash, sketch
 
 
 def plain_fingerprint(text):
@@ -85,3 +85,44 @@ def test_odd_rows(odd_docs, make_docs):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 4, 6, 7, None], key=str)
     assert keep_one(make_docs([(1, "x"), (1, "x")])).count() == 1
     assert near_duplicates(make_docs([])).count() == 0 and keep_one(make_docs([])).count() == 0
+
+
+def jaccard(a, b):
+    x, y = ({tuple(t.lower().split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def varied(words, changes, rng):
+    words = list(words)
+    for k in rng.choice(len(words), changes, replace=False):
+        words[k] = f"new{rng.integers(10**9)}"
+    return " ".join(words)
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in rng.integers(0, 5000, 600)]
+    errors = []
+    for changes in (0, 5, 10, 15, 30, 60):
+        a, b = " ".join(base), varied(base, changes, rng)
+        x, y = (np.frombuffer(sketch(t.encode())[1], np.uint8) for t in (a, b))
+        errors.append(((x == y).mean() * 256 - 1) / 255 - jaccard(a, b))
+    assert np.abs(errors).max() < 0.13
+    assert sketch(b"")[0] == [] and len(sketch(b"one")[0]) == 6
+
+
+def test_similar_texts_are_linked_and_others_are_not(make_docs):
+    rng = np.random.default_rng(13)
+    bases = [[f"w{k}" for k in rng.integers(0, 5000, int(n))] for n in rng.integers(60, 400, 25)]
+    texts, group = [], []
+    for g, base in enumerate(bases):
+        texts.append(" ".join(base))
+        group.append(g)
+        for _ in range(3):  # each change touches five shingles
+            texts.append(varied(base, max(1, len(base) // 60), rng))
+            group.append(g)
+    assert min(jaccard(texts[k], texts[k - k % 4]) for k in range(len(texts))) > 0.82
+    rows = {r.doc_id: r.component_id for r in near_duplicates(make_docs(list(enumerate(texts))), similarity=0.8).collect()}
+    assert [rows[k] for k in range(len(texts))] == [4 * g for g in group]
+    kept = keep_one(make_docs(list(enumerate(texts))), similarity=0.8)
+    assert sorted(r.doc_id for r in kept.collect()) == [4 * g for g in range(len(bases))]
