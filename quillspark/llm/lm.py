@@ -51,7 +51,7 @@ MOST_PARTS = 128
 CHUNK_BYTES = 24 << 20
 CHUNK_DOCS = 60_000
 PIECE_WORDS = 2_000_000
-TOKENS_PER_SHARD = 3_500_000
+TOKENS_PER_SHARD = 2_000_000
 DISCOUNT = 0.75
 
 
@@ -383,15 +383,22 @@ def score_shard(parts: list[Packed], frequent: Frequent, discount: float) -> tup
     # Split contexts can meet several of their parts in one shard: parts are nodes of their own.
     spread, part = frequent.split(contexts, words)
     nodes = contexts | np.where(spread > 1, (part.astype(np.uint64) + np.uint64(1)) << HASH_BITS, np.uint64(0))
-    rows_each = np.concatenate([p.rows_each for p in parts]).astype(np.int64)
-    row = np.concatenate([p.row.astype(np.int64) + o for p, o in zip(parts, offsets)])
-    times = np.concatenate([p.times for p in parts]).astype(np.int64)
+    rows_each = np.concatenate([p.rows_each for p in parts])
+    row = np.concatenate([p.row.astype(np.int32) + np.int32(o) for p, o in zip(parts, offsets)])
+    times = np.concatenate([p.times for p in parts])
     parts.clear()
+    del contexts, spread, part
     node_values, node_rank = np.unique(nodes, return_inverse=True)
+    del nodes
     word_values, word_rank = np.unique(words, return_inverse=True)
-    code, inverse = np.unique(node_rank * len(word_values) + word_rank, return_inverse=True)
-    del nodes, contexts, words, node_rank, word_rank, spread, part
-    pair = np.repeat(inverse, rows_each)
+    del words
+    node_rank *= len(word_values)
+    node_rank += word_rank
+    del word_rank
+    code, inverse = np.unique(node_rank, return_inverse=True)
+    del node_rank
+    pair = np.repeat(inverse.astype(np.int32), rows_each)
+    del inverse, rows_each
     count = np.bincount(pair, times * ~held[row], len(code))
     own_node, own_word = node_values[code // len(word_values)], word_values[code % len(word_values)]
     trained = count > 0
@@ -422,7 +429,7 @@ def score_shard(parts: list[Packed], frequent: Frequent, discount: float) -> tup
         "model": np.bincount(row, times * partial[pair], n),
     }
     left = np.flatnonzero((unseen & ~settled)[pair])
-    return sums, {"row": row[left], "word": own_word[pair[left]].astype(np.int64), "times": times[left]}
+    return sums, {"row": row[left], "word": own_word[pair[left]].astype(np.int64), "times": times[left].astype(np.int64)}
 
 
 # ---------------------------------------------------------------- the Spark job
