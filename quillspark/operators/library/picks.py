@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.operators.ranking import global_rank
+
 #: Strict pick ratios in percent.
 STRICT_RATIOS = (38, 45, 50)
 
@@ -23,34 +25,11 @@ def best_of_group(photos: DataFrame, group: str, usable: Column, *order: Column)
     return photos.withColumn("is_best", (rank == 1) & F.coalesce(usable, F.lit(False)))
 
 
-def ratio_limit(n: Column, percent: int) -> Column:
-    """``ceil(n * percent / 100)`` in integers."""
-    return F.floor((n * percent + 99) / 100).cast("bigint")
-
-
-def ratio_picks(photos: DataFrame, percent: int, score: Column, tie: str, buckets: int = 0) -> DataFrame:
-    """The best ``percent`` of the rows by score, ties by the unique column ``tie``.
-
-    The rank is global, but no task sees all rows: rows are dealt to buckets by
-    ranges of the score, ranked inside them, and offset by the sizes of the
-    buckets before (``buckets`` quantile cuts; 0 takes one per 100,000 rows).
-    """
-    total = photos.count()
-    limit = -(-total * percent // 100)
-    scored = photos.withColumn("_s", score.cast("double"))
-    parts = buckets or max(1, total // 100_000)
-    cuts = scored.approxQuantile("_s", [k / parts for k in range(1, parts)], 0.001) if parts > 1 else []
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > F.col("_s"))) if cuts else F.lit(0)
-    scored = scored.withColumn("_b", F.when(F.col("_s").isNull(), parts).otherwise(bucket))
-    sizes = dict(scored.groupBy("_b").count().collect())
-    before, offsets = 0, []
-    for b in range(parts + 1):
-        offsets.append(before)
-        before += sizes.get(b, 0)
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy(F.col("_s").desc_nulls_last(), tie))
-    start = F.get(F.array(*[F.lit(o) for o in offsets]), F.col("_b"))
-    ranked = scored.withColumn("pick_rank", (rank + start).cast("bigint"))
-    return ranked.where(F.col("pick_rank") <= limit).drop("_s", "_b")
+def ratio_picks(photos: DataFrame, percent: int, score: Column, tie: str) -> DataFrame:
+    """The best ``ceil(n * percent / 100)`` rows by score with their ranks; ties go by the unique column ``tie``, nulls come last."""
+    limit = -(-photos.count() * percent // 100)
+    ranked = global_rank(photos.withColumn("_score", score.cast("double")), [F.col("_score").desc_nulls_last(), F.col(tie)], "pick_rank")
+    return ranked.where(F.col("pick_rank") <= limit).drop("_score")
 
 
 def assisted_order(aesthetic: Column, persona: Column | None = None, blend: float = 0.3) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from quillspark.functions import coerce
 from quillspark.operators.counters import as_of, clamped_delta, first_by, match_states, published
 from quillspark.operators.durable import durable
+from quillspark.operators.ranking import global_rank
 
 FIRST_DAY = "2024-01-01"
 TAG_NUMBERS = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
@@ -125,7 +126,7 @@ def nested_unnest_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def locale_sort_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = read(spark, sf_dir, "part").groupBy("p_name").agg(F.count("*").alias("n"))
-    return names.select("p_name", "n", F.row_number().over(Window.orderBy(coerce.collated(F.col("p_name")))).cast("bigint").alias("place"))
+    return global_rank(names, [coerce.collated(F.col("p_name")), F.col("p_name")], "place")
 
 
 _LITERALS = ["12", " 12 ", "", "12d", "1e3", "Infinity", "NaN", "-3", "2.9", "0007", ".5", "5.", "+4", "1e-2", "--1"]

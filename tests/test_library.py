@@ -43,7 +43,7 @@ def test_cosine_join_is_exact(spark, threshold, monkeypatch):
 def test_gates_come_before_ranking_and_ratios_round_up(spark):
     photos = spark.createDataFrame([(k, float(k)) for k in range(10)] + [(10, None)], "photo_id long, s double")
     gated = picks.hard_gate(photos, photos.where("photo_id = 9"))
-    picked = picks.ratio_picks(gated, 38, F.col("s"), "photo_id", buckets=3)
+    picked = picks.ratio_picks(gated, 38, F.col("s"), "photo_id")
     assert [tuple(r) for r in picked.select("photo_id", "pick_rank").orderBy("pick_rank").collect()] == [(8, 1), (7, 2), (6, 3), (5, 4)]
     groups = spark.createDataFrame([(1, "g", False, 9), (2, "g", True, 5), (3, "h", False, 1), (4, "i", None, 1)], "photo_id long, g string, ok boolean, q int")
     best = picks.best_of_group(groups, "g", F.col("ok"), F.col("q").desc())
