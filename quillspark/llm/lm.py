@@ -48,7 +48,7 @@ END = b"\n"  # no word has white space
 HOT = 2000
 CLASSES = 256
 MOST_PARTS = 128
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 12 << 20
 CHUNK_DOCS = 60_000
 PIECE_WORDS = 2_000_000
 TOKENS_PER_SHARD = 2_000_000
