@@ -74,13 +74,18 @@ def propagate(members: DataFrame, quota: list[int], rounds: int = 8) -> DataFram
             .withColumn("ranked", F.array_sort(F.expr(fits)))
             # as many leading shards as hold the whole hub between them
             .withColumn("need", F.expr("aggregate(ranked, struct(0L as held, 0 as n), (a, s) -> if(a.held >= total, a, struct(a.held - s.fits as held, a.n + 1 as n)), a -> a.n)"))
-            .select("hub", F.expr("transform(slice(ranked, 1, need), s -> s.shard)").alias("homes"))
+            .select("hub", "room", F.expr("transform(slice(ranked, 1, need), s -> s.shard)").alias("homes"))
+            # a full home can only be entered by a swap, so it is asked only where all are full
+            .select("hub", "homes", F.expr("filter(homes, s -> room[s] > 0)").alias("open"))
+            .select("hub", "homes", F.expr("if(size(open) > 0, open, homes)").alias("open"))
         )
+        homes = durable(homes)
         asked = (
             current.join(homes, "hub").where(~F.expr("array_contains(homes, shard)"))
-            .select("rid", "shard", F.expr("element_at(homes, cast(pmod(xxhash64(rid), size(homes)) as int) + 1)").alias("target"))
+            .select("rid", "shard", F.expr(f"element_at(open, cast(pmod(xxhash64(rid, {turn}), size(open)) as int) + 1)").alias("target"))
         )
         asked = durable(asked)
+        release(homes)
         wanted = {(r[0], r[1]): r[2] for r in asked.groupBy("shard", "target").count().collect()}
         granted = _grants(wanted, room)
         if not any(granted.values()):
@@ -123,7 +128,7 @@ def shard_rows(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_c
     )
     rows = base.count()
     quota = quotas(rows, shards)
-    groups = base.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1").select("hub")
+    groups = durable(base.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1").select("hub"))  # written, so that a skewed join can split
     linked = numbered(base.join(groups, "hub").select("rid", "hub"), [], "rid", "nth") if rows else base.select("rid", "hub", F.lit(0).alias("nth"))
     start = durable(linked.select("rid", "hub", (F.col("nth") % shards).cast("int").alias("shard")))
     settled = durable(propagate(start, quota, rounds).select("rid", "shard"))
