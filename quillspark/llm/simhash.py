@@ -15,8 +15,9 @@
 A radius of 4 bits finds texts that are all but equal. ``near_duplicates`` can also be
 given a Jaccard similarity of word shingles, at which fingerprints differ in about
 8 bits. Its shards are then keyed by min-hashes (a pair at 0.8 shares none of the
-``KEYS`` keys once in 15,000 times), their trees searched within ``WIDE_RADIUS`` bits,
-and each hit is confirmed by one-byte min-hash sketches.
+``KEYS`` keys once in 15,000 times). One-byte min-hash sketches and set sizes only sort
+out texts without any partner; what is left is linked where the exact sets of shingle
+hashes have the similarity. Texts with equal sets are one entry.
 
 Null or blank texts get fingerprint zero and are linked like any other. Equal
 fingerprints are one node, so repeated rows cost one tree entry.
@@ -24,7 +25,7 @@ fingerprints are one node, so repeated rows cost one tree entry.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ KEYS = 6
 SKETCH = 128
 WIDE_RADIUS = 20
 SLACK = 0.03  # about one standard error of a sketch's estimate
+LOOSE = 5 * SLACK  # a sketch rejects a pair only this far below the similarity
+SMALL = 256  # nor does it reject a set with fewer shingles, of which one fills several bins
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -74,13 +77,24 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def set_digest(found: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(found.astype("<u8").tobytes(), SEED)
+
+
 def sketch(text: bytes, shingle: int = 5) -> tuple[list[int], bytes]:
-    """Min-hash keys and a one-permutation min-hash sketch of the set of shingles; no keys without words.
+    return _set_sketch(shingle_set(text, shingle))
+
+
+def _set_sketch(found: np.ndarray) -> tuple[list[int], bytes]:
+    """Min-hash keys and a one-permutation min-hash sketch of a set of shingles; no keys without words.
 
     Bin k keeps a byte of the least hash whose upper bits are k; an empty bin takes
     the next filled one's.
     """
-    found = np.unique(shingle_hashes(text, shingle))
     if not len(found):
         return [], bytes(SKETCH)
     keys = [int((found * odd).min()) for odd in _ODD]
@@ -92,10 +106,11 @@ def sketch(text: bytes, shingle: int = 5) -> tuple[list[int], bytes]:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, sketched: int = 0) -> DataFrame:
     """``(id_col, fp)``, one row per input row; ``fp`` holds the 64 bits as a signed long.
 
-    With ``sketched`` words per shingle, also ``keys array<long>`` and ``sketch binary``.
+    With ``sketched`` words per shingle, also ``keys array<long>``, ``sketch binary``, the
+    digest ``whole`` and size ``n`` of the set of shingles, and a hash ``tid`` of the text.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, fp long" + (", keys array<long>, sketch binary" if sketched else "")
+    schema = f"`{id_col}` {kind}, fp long" + (", keys array<long>, sketch binary, whole long, n int, tid long" if sketched else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,13 +118,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64)
             columns, names = [batch.column(0), pa.array(fps.view(np.int64))], [id_col, "fp"]
             if sketched:
-                found = [sketch(t, sketched) for t in texts]
+                sets = [shingle_set(t, sketched) for t in texts]
+                found = [_set_sketch(x) for x in sets]
                 keys = [np.array(k, dtype=np.uint64).view(np.int64) for k, _ in found]
                 columns += [pa.array(keys, pa.list_(pa.int64())), pa.array([x for _, x in found], pa.binary())]
-                names += ["keys", "sketch"]
+                whole = np.array([set_digest(x) for x in sets], dtype=np.uint64).view(np.int64)
+                columns += [pa.array(whole), pa.array([len(x) for x in sets], pa.int32()), batch.column(2)]
+                names += ["keys", "sketch", "whole", "n", "tid"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(id_col, utf8(text_col).alias("bytes")).mapInArrow(run, schema)
+    tid = [F.xxhash64(utf8(text_col)).alias("tid")] if sketched else []
+    return docs.select(id_col, utf8(text_col).alias("bytes"), *tid).mapInArrow(run, schema)
 
 
 class BKTree:
@@ -122,12 +141,8 @@ class BKTree:
     def __init__(self, codes: np.ndarray, leaf: int = 16):
         self.codes, self.leaf = codes, leaf
 
-    def self_links(self, radius: int, alike: Callable[[int, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
-        """For each code the smallest index it is connected to by links within the radius.
-
-        ``alike`` confirms hits (a node and candidate indices, to a mask); it is only
-        asked about candidates that are not connected to the node yet.
-        """
+    def self_links(self, radius: int) -> np.ndarray:
+        """For each code the smallest index it is connected to by links within the radius."""
         codes, label = self.codes, np.arange(len(self.codes))
         everyone = np.arange(len(codes))
         stack = [(everyone, everyone)]
@@ -135,11 +150,11 @@ class BKTree:
             points, asking = stack.pop()
             if len(points) <= self.leaf:
                 for p in points:
-                    _merge(label, p, asking[np.bitwise_count(codes[asking] ^ codes[p]) <= radius], alike)
+                    _merge(label, p, asking[np.bitwise_count(codes[asking] ^ codes[p]) <= radius])
                 continue
             pivot, rest = points[0], points[1:]
             reach = np.bitwise_count(codes[asking] ^ codes[pivot]).astype(np.int16)
-            _merge(label, pivot, asking[reach <= radius], alike)
+            _merge(label, pivot, asking[reach <= radius])
             edge = np.bitwise_count(codes[rest] ^ codes[pivot]).astype(np.int16)
             order = np.argsort(edge, kind="stable")
             keys, first = np.unique(edge[order], return_index=True)
@@ -150,10 +165,8 @@ class BKTree:
         return label
 
 
-def _merge(label: np.ndarray, node: int, hits: np.ndarray, alike: Callable[[int, np.ndarray], np.ndarray] | None) -> None:
+def _merge(label: np.ndarray, node: int, hits: np.ndarray) -> None:
     hits = hits[label[hits] != label[node]]
-    if alike and len(hits):
-        hits = hits[alike(node, hits)]
     if len(hits):
         joined = np.unique(np.append(label[hits], label[node]))
         label[np.isin(label, joined)] = joined[0]
@@ -192,40 +205,40 @@ def _keys(codes: DataFrame, radius: int, shard_cap: int) -> DataFrame:
     return sized.select(F.explode(keys).alias("key"), "fp")
 
 
-def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
-    """The codes (and sketches) of each run of equal keys; runs may cross batches."""
-    held: list = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty((0, SKETCH), np.uint8)]
-    for batch in batches:
-        new = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)]
-        if batch.num_columns > 2:
-            new.append(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, SKETCH))
-        held = [np.concatenate(x) for x in zip(held, new)]
-        if len(held[0]):
-            last = int(np.searchsorted(held[0], held[0][-1]))
-            yield from _runs([x[:last] for x in held])
-            held = [x[last:] for x in held]
-    yield from _runs(held)
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The codes of each run of equal keys; runs may cross batches."""
+    for run in _runs(batches):
+        yield run.column("fp").to_numpy().view(np.uint64)
 
 
-def _runs(columns: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
-    key = columns[0]
-    cuts = (np.flatnonzero(np.diff(key)) + 1).tolist()
-    for a, b in zip([0, *cuts], [*cuts, len(key)]):
-        if b - a > 1:
-            yield columns[1][a:b], columns[2][a:b] if len(columns) > 2 else None
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Each run of two or more rows with equal values in the first column; runs may cross batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        key = batch.column(0).to_numpy(zero_copy_only=False)
+        cuts = (np.flatnonzero(np.diff(key)) + 1).tolist()
+        for a, b in zip([0, *cuts], [*cuts, len(key)]):
+            if b - a == 1 and a > 0 and b < len(key):
+                continue
+            if held and key[a] != last:
+                if len(held) > 1 or held[0].num_rows > 1:
+                    yield pa.Table.from_batches(held)
+                held = []
+            if b > a:
+                held.append(batch.slice(a, b - a))
+                last = key[a]
+    if len(held) > 1 or held and held[0].num_rows > 1:
+        yield pa.Table.from_batches(held)
 
 
-def _linked(keyed: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
-    """``(u, v)``: a spanning star of each linked set of codes in each shard of ``(key, fp[, sketch])``."""
+def _linked(keyed: DataFrame, radius: int) -> DataFrame:
+    """``(u, v)``: a spanning star of each linked set of codes in each shard of ``(key, fp)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us, vs, size = [], [], 0
-        for codes, sketches in _by_key(batches):
-            alike = None
-            if sketches is not None:
-                least = (similarity * 255 + 1) / 256 * SKETCH  # unequal hashes share a byte once in 256
-                alike = lambda p, hits, x=sketches, n=least: (x[hits] == x[p]).sum(axis=1) >= n
-            label = BKTree(codes).self_links(radius, alike)
+        for codes in _by_key(batches):
+            label = BKTree(codes).self_links(radius)
             joined = np.flatnonzero(codes[label] != codes)
             us.append(codes[joined])
             vs.append(codes[label[joined]])
@@ -248,11 +261,119 @@ def fingerprint_links(codes: DataFrame, radius: int = 4, shard_cap: int = 4096)
     return _linked(_keys(codes, radius, shard_cap), radius)
 
 
-def similarity_links(marked: DataFrame, similarity: float) -> DataFrame:
-    """``(u, v)``: links between fingerprints of texts whose sketches show the similarity; equal texts are one entry."""
-    texts = marked.select("fp", "sketch", "keys").distinct()
-    keyed = texts.select(F.posexplode("keys").alias("i", "least"), "fp", "sketch").select(F.xxhash64("i", "least").alias("key"), "fp", "sketch")
-    return _linked(keyed, WIDE_RADIUS, similarity - SLACK)
+def _fixed(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+class _Shard:
+    """Entries of one shard: which may be similar by fingerprint, set size and sketch."""
+
+    def __init__(self, rows: pa.Table, similarity: float):
+        self.fp = rows.column("fp").to_numpy().view(np.uint64)
+        self.n = rows.column("n").to_numpy()
+        self.marks = _fixed(rows.column("sketch"), np.uint8).reshape(-1, SKETCH)
+        self.similarity = similarity
+        self.least = ((similarity - LOOSE) * 255 + 1) / 256 * SKETCH  # unequal hashes share a byte once in 256
+
+    def loose(self, p: int, others: np.ndarray) -> np.ndarray:
+        """Of ``others``, those whose exact similarity to ``p`` has to be found out."""
+        others = others[np.bitwise_count(self.fp[others] ^ self.fp[p]) <= WIDE_RADIUS]
+        n, m = self.n[others], self.n[p]
+        fits = np.minimum(n, m) >= self.similarity * np.maximum(n, m) - 1e-9
+        others, n = others[fits], n[fits]
+        if m < SMALL:
+            return others
+        return others[(n < SMALL) | ((self.marks[others] == self.marks[p]).sum(axis=1) >= self.least)]
+
+    def later(self, p: int) -> np.ndarray:
+        return np.arange(p + 1, len(self.n))
+
+
+def _similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def _shards(entries: DataFrame) -> DataFrame:
+    return entries.withColumn("job", F.col("key"))
+
+
+def _with_partner(entries: DataFrame, similarity: float) -> DataFrame:
+    """``(key, whole)`` of the entries ``(key, whole, fp, n, sketch)`` that may be similar to another of their shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            shard = _Shard(rows, similarity)
+            found = np.zeros(len(shard.n), bool)
+            for p in range(len(found)):
+                hits = shard.loose(p, shard.later(p))
+                found[hits] = True
+                found[p] |= len(hits) > 0
+            if found.any():
+                yield from rows.select(["key", "whole"]).filter(pa.array(found)).to_batches()
+
+    jobs = _shards(entries).select("job", "key", "whole", "fp", "n", "sketch")
+    return jobs.repartition("job").sortWithinPartitions("job").mapInArrow(run, "key long, whole long")
+
+
+def _exact_links(entries: DataFrame, similarity: float) -> DataFrame:
+    """``(u, v)``: fingerprints of entries ``(key, whole, fp, n, sketch, hashes)`` with similar sets, a spanning tree per shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            shard, us, vs = _Shard(rows, similarity), [], []
+            hashes = [np.frombuffer(x, "<u8") for x in rows.column("hashes").to_pylist()]
+            label = np.arange(len(hashes))
+            for p in range(len(hashes)):
+                later = shard.later(p)
+                for q in shard.loose(p, later[label[later] != label[p]]).tolist():
+                    if label[q] != label[p] and _similarity_of(hashes[p], hashes[q]) >= similarity:
+                        label[label == label[q]] = label[p]
+                        us.append(shard.fp[p])
+                        vs.append(shard.fp[q])
+            if us:
+                yield _pairs([np.array(us)], [np.array(vs)])
+
+    jobs = _shards(entries).select("job", "fp", "n", "sketch", "hashes")
+    return jobs.repartition("job").sortWithinPartitions("job").mapInArrow(run, "u long, v long")
+
+
+def _sets_of(docs: DataFrame, text_col: str, wanted: DataFrame, shingle: int) -> DataFrame:
+    """``(whole, fp, n, sketch, hashes)`` of the sets in ``wanted``: ``(tid, whole, fp)``; the texts are read again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, rows = batch.column(1).to_numpy(zero_copy_only=False), []
+            sets = [shingle_set(t, shingle) for t in batch.column(0).to_pylist()]
+            rows = [k for k, x in enumerate(sets) if set_digest(x) == int(whole[k]) % (1 << 64)]
+            sets, kept = [sets[k] for k in rows], batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([
+                kept.column(1), kept.column(2), pa.array([len(x) for x in sets], pa.int32()),
+                pa.array([_set_sketch(x)[1] for x in sets], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary()),
+            ], names=["whole", "fp", "n", "sketch", "hashes"])
+
+    texts = docs.select(utf8(text_col).alias("bytes")).withColumn("tid", F.xxhash64("bytes"))
+    # The list of texts grows with the table: by this hint it is never broadcast.
+    found = texts.join(wanted.hint("merge"), "tid").dropDuplicates(["tid", "whole"])
+    return found.select("bytes", "whole", "fp").mapInArrow(run, "whole long, fp long, n int, sketch binary, hashes binary")
+
+
+def similarity_links(docs: DataFrame, marked: DataFrame, similarity: float, text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """``(u, v)``: links between fingerprints of texts whose sets of shingles have the similarity."""
+    sets = durable(
+        marked.where(F.size("keys") > 0).groupBy("whole")
+        .agg(F.min(F.struct("fp", "tid", "n", "sketch", "keys")).alias("x")).select("whole", "x.*")
+    )
+    equal = marked.join(sets.select("whole", F.col("fp").alias("low")), "whole").where("fp <> low").select(F.col("fp").alias("u"), F.col("low").alias("v")).distinct()
+    entries = sets.select(F.posexplode("keys").alias("i", "least"), "whole", "fp", "n", "sketch").withColumn("key", F.xxhash64("i", "least"))
+    near = durable(_with_partner(entries, similarity).distinct())
+    wanted = sets.join(near.select("whole").distinct(), "whole").select("tid", "whole", "fp")
+    exact = durable(_sets_of(docs, text_col, wanted, shingle))
+    return equal.unionByName(_exact_links(near.join(exact.hint("merge"), "whole"), similarity))
 
 
 def near_duplicates(
@@ -269,7 +390,7 @@ def near_duplicates(
     codes = durable(marked.groupBy("fp").agg(F.min(id_col).alias("low")))
     links = fingerprint_links(codes.select("fp"), radius, shard_cap)
     if similarity:
-        links = links.unionByName(similarity_links(marked, similarity))
+        links = links.unionByName(similarity_links(docs, marked, similarity, text_col, similarity_shingle))
     comps = connected_components(links).withColumnsRenamed({"node": "fp", "component": "root"})
     rooted = codes.join(comps, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -126,3 +126,32 @@ def test_similar_texts_are_linked_and_others_are_not(make_docs):
     assert [rows[k] for k in range(len(texts))] == [4 * g for g in group]
     kept = keep_one(make_docs(list(enumerate(texts))), similarity=0.8)
     assert sorted(r.doc_id for r in kept.collect()) == [4 * g for g in range(len(bases))]
+
+
+def test_links_follow_exact_similarity(make_docs):
+    rng = np.random.default_rng(17)
+    texts = []
+    for n in rng.integers(20, 900, 60):  # pairs around the bar, short ones too
+        base = [f"w{k}" for k in rng.integers(0, 5000, int(n))]
+        texts += [" ".join(base), varied(base, max(1, round(n * rng.uniform(0.01, 0.045))), rng)]
+    near = [jaccard(a, b) for a, b in zip(texts[::2], texts[1::2])]
+    assert sum(0.7 < x < 0.8 for x in near) > 5 and sum(0.8 <= x < 0.9 for x in near) > 5
+    bits = [fingerprint(t.encode()) for t in texts]
+    rows = {r.doc_id: r.component_id for r in near_duplicates(make_docs(list(enumerate(texts))), similarity=0.8).collect()}
+    for k, x in enumerate(near):
+        apart = (bits[2 * k] ^ bits[2 * k + 1]).bit_count()
+        assert rows[2 * k] == 2 * k and (rows[2 * k + 1] == 2 * k) == (x >= 0.8 or apart <= 4)
+
+
+def test_groups_on_the_table_follow_exact_similarity(spark, sf_dir):
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
+    sets = [{tuple(t.lower().split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for _, t in docs]
+    bits = [fingerprint(t.encode()) for _, t in docs]
+    root = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if (bits[i] ^ bits[j]).bit_count() <= 4 or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    rows = {r.doc_id: r.component_id for r in near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), similarity=0.8).collect()}
+    assert [rows[i] for i, _ in docs] == [docs[k][0] for k in root]
