@@ -17,7 +17,10 @@ given a Jaccard similarity of word shingles, at which fingerprints differ in abo
 8 bits. Its shards are then keyed by min-hashes (a pair at 0.8 shares none of the
 ``KEYS`` keys once in 15,000 times). One-byte min-hash sketches and set sizes only sort
 out texts without any partner; what is left is linked where the exact sets of shingle
-hashes have the similarity. Texts with equal sets are one entry.
+hashes have the similarity. Texts with equal sets are one entry. A shard with more
+entries than a block is dealt into blocks, and each pair of blocks is one task's job:
+a task holds two blocks at most and no pair is lost, but the jobs of one crowded
+shard hold each entry once per block.
 
 Null or blank texts get fingerprint zero and are linked like any other. Equal
 fingerprints are one node, so repeated rows cost one tree entry.
@@ -43,6 +46,8 @@ SKETCH = 128
 WIDE_RADIUS = 20
 SLACK = 0.03  # about one standard error of a sketch's estimate
 LOOSE = 5 * SLACK  # a sketch rejects a pair only this far below the similarity
+BLOCK = 1024
+SET_BLOCK = 512  # sets of hashes are longer than sketches
 SMALL = 256  # nor does it reject a set with fewer shingles, of which one fills several bins
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -272,6 +277,7 @@ class _Shard:
         self.fp = rows.column("fp").to_numpy().view(np.uint64)
         self.n = rows.column("n").to_numpy()
         self.marks = _fixed(rows.column("sketch"), np.uint8).reshape(-1, SKETCH)
+        self.side = rows.column("side").to_numpy()
         self.similarity = similarity
         self.least = ((similarity - LOOSE) * 255 + 1) / 256 * SKETCH  # unequal hashes share a byte once in 256
 
@@ -286,7 +292,9 @@ class _Shard:
         return others[(n < SMALL) | ((self.marks[others] == self.marks[p]).sum(axis=1) >= self.least)]
 
     def later(self, p: int) -> np.ndarray:
-        return np.arange(p + 1, len(self.n))
+        """The entries to compare with ``p``: those after it, of the other block where the job has two."""
+        after = np.arange(p + 1, len(self.n))
+        return after if self.side[p] < 0 else after[self.side[after] != self.side[p]]
 
 
 def _similarity_of(a: np.ndarray, b: np.ndarray) -> float:
@@ -298,11 +306,23 @@ def _similarity_of(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _shards(entries: DataFrame) -> DataFrame:
-    return entries.withColumn("job", F.col("key"))
+def _jobs(entries: DataFrame, block: int) -> DataFrame:
+    """``entries`` with ``job`` and ``side``: a shard as it is (side -1), or each pair of blocks of a crowded one.
+
+    A job of two different blocks compares across them (sides 0 and 1) only. The table of
+    crowded shards is small: one row for ``block`` entries or more.
+    """
+    crowded = durable(entries.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("parts")))
+    sized = entries.join(crowded, "key", "left").withColumn("part", F.expr("if(parts is null, 0, cast(pmod(xxhash64(whole, 7), parts) as int))"))
+    met = sized.withColumn("other", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)")))
+    return met.select(
+        F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))).alias("job"),
+        F.when(F.col("part") == F.col("other"), -1).otherwise((F.col("part") > F.col("other")).cast("int")).alias("side"),
+        *entries.columns,
+    )
 
 
-def _with_partner(entries: DataFrame, similarity: float) -> DataFrame:
+def _with_partner(entries: DataFrame, similarity: float, block: int) -> DataFrame:
     """``(key, whole)`` of the entries ``(key, whole, fp, n, sketch)`` that may be similar to another of their shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,12 +336,12 @@ def _with_partner(entries: DataFrame, similarity: float) -> DataFrame:
             if found.any():
                 yield from rows.select(["key", "whole"]).filter(pa.array(found)).to_batches()
 
-    jobs = _shards(entries).select("job", "key", "whole", "fp", "n", "sketch")
+    jobs = _jobs(entries, block).select("job", "side", "key", "whole", "fp", "n", "sketch")
     return jobs.repartition("job").sortWithinPartitions("job").mapInArrow(run, "key long, whole long")
 
 
-def _exact_links(entries: DataFrame, similarity: float) -> DataFrame:
-    """``(u, v)``: fingerprints of entries ``(key, whole, fp, n, sketch, hashes)`` with similar sets, a spanning tree per shard."""
+def _exact_links(entries: DataFrame, similarity: float, block: int) -> DataFrame:
+    """``(u, v)``: fingerprints of entries ``(key, whole, fp, n, sketch, hashes)`` with similar sets, a spanning forest per job."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches):
@@ -338,7 +358,7 @@ def _exact_links(entries: DataFrame, similarity: float) -> DataFrame:
             if us:
                 yield _pairs([np.array(us)], [np.array(vs)])
 
-    jobs = _shards(entries).select("job", "fp", "n", "sketch", "hashes")
+    jobs = _jobs(entries, block).select("job", "side", "fp", "n", "sketch", "hashes")
     return jobs.repartition("job").sortWithinPartitions("job").mapInArrow(run, "u long, v long")
 
 
@@ -362,7 +382,7 @@ def _sets_of(docs: DataFrame, text_col: str, wanted: DataFrame, shingle: int) ->
     return found.select("bytes", "whole", "fp").mapInArrow(run, "whole long, fp long, n int, sketch binary, hashes binary")
 
 
-def similarity_links(docs: DataFrame, marked: DataFrame, similarity: float, text_col: str = "text", shingle: int = 5) -> DataFrame:
+def similarity_links(docs: DataFrame, marked: DataFrame, similarity: float, text_col: str = "text", shingle: int = 5, block: int = BLOCK, set_block: int = SET_BLOCK) -> DataFrame:
     """``(u, v)``: links between fingerprints of texts whose sets of shingles have the similarity."""
     sets = durable(
         marked.where(F.size("keys") > 0).groupBy("whole")
@@ -370,10 +390,10 @@ def similarity_links(docs: DataFrame, marked: DataFrame, similarity: float, text
     )
     equal = marked.join(sets.select("whole", F.col("fp").alias("low")), "whole").where("fp <> low").select(F.col("fp").alias("u"), F.col("low").alias("v")).distinct()
     entries = sets.select(F.posexplode("keys").alias("i", "least"), "whole", "fp", "n", "sketch").withColumn("key", F.xxhash64("i", "least"))
-    near = durable(_with_partner(entries, similarity).distinct())
+    near = durable(_with_partner(entries, similarity, block).distinct())
     wanted = sets.join(near.select("whole").distinct(), "whole").select("tid", "whole", "fp")
     exact = durable(_sets_of(docs, text_col, wanted, shingle))
-    return equal.unionByName(_exact_links(near.join(exact.hint("merge"), "whole"), similarity))
+    return equal.unionByName(_exact_links(near.join(exact.hint("merge"), "whole"), similarity, set_block))
 
 
 def near_duplicates(

@@ -1,7 +1,8 @@
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
-from quillspark.llm.simhash import BKTree, fingerprint, fingerprint_links, keep_one, near_duplicates, op3_simhash, sketch
+from quillspark.llm.simhash import BKTree, _jobs, fingerprint, fingerprint_links, fingerprints, keep_one, near_duplicates, op3_simhash, similarity_links, sketch
 
 
 def plain_fingerprint(text):
@@ -155,3 +156,29 @@ def test_groups_on_the_table_follow_exact_similarity(spark, sf_dir):
                 root = [a if x == b else x for x in root]
     rows = {r.doc_id: r.component_id for r in near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), similarity=0.8).collect()}
     assert [rows[i] for i, _ in docs] == [docs[k][0] for k in root]
+
+
+def test_crowded_similarity_shards_lose_no_pair(make_docs):
+    rng = np.random.default_rng(19)
+    base = [f"w{k}" for k in rng.integers(0, 5000, 150)]
+    texts = [varied(base, int(n), rng) for n in rng.integers(1, 6, 60)]
+    docs = make_docs(list(enumerate(texts)))
+    marked = fingerprints(docs, sketched=5).localCheckpoint()
+    entries = marked.select(F.explode("keys").alias("key"), "whole", "fp", "n", "sketch")
+    alike = lambda links: connected_groups([(r.u, r.v) for r in links.collect()])
+    assert alike(similarity_links(docs, marked, 0.8, block=8, set_block=4)) == alike(similarity_links(docs, marked, 0.8))
+    jobs = _jobs(entries, 8)
+    assert entries.groupBy("key").count().agg(F.max("count")).first()[0] > 40
+    assert jobs.groupBy("job").count().agg(F.max("count")).first()[0] < 40
+    pairs = jobs.alias("a").join(jobs.alias("b"), F.expr("a.job = b.job and a.whole < b.whole and (a.side < 0 or a.side <> b.side)"))
+    want = entries.alias("a").join(entries.alias("b"), F.expr("a.key = b.key and a.whole < b.whole"))
+    pick = ["a.key", "a.whole", F.col("b.whole").alias("other")]
+    assert sorted(pairs.select(*pick).collect()) == sorted(want.select(*pick).collect())  # each pair once
+
+
+def connected_groups(links):
+    root = {x: x for link in links for x in link}
+    for u, v in links:
+        a, b = sorted((root[u], root[v]))
+        root = {x: a if r == b else r for x, r in root.items()}
+    return root
