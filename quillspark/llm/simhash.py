@@ -13,9 +13,9 @@
 4. The links of all shards are joined into components by Spark joins.
 
 A radius of 4 bits finds texts that are all but equal. ``near_duplicates`` can also be
-given a Jaccard similarity of word shingles, at which fingerprints differ in about
-8 bits. Its shards are then keyed by min-hashes (a pair at 0.8 shares none of the
-``KEYS`` keys once in 15,000 times). One-byte min-hash sketches and set sizes only sort
+given a Jaccard similarity of word shingles. Fingerprints count repeated shingles and
+sets do not, so they take no part in it. Its shards are keyed by min-hashes (a pair at
+0.8 shares none of the ``KEYS`` keys once in 15,000 times). One-byte min-hash sketches and set sizes only sort
 out texts without any partner; what is left is linked where the exact sets of shingle
 hashes have the similarity. Texts with equal sets are one entry. A shard with more
 entries than a block is dealt into blocks, and each pair of blocks is one task's job:
@@ -43,7 +43,7 @@ from quillspark.operators.durable import durable
 SEED = 42
 KEYS = 6
 SKETCH = 128
-WIDE_RADIUS = 20
+WIDE_RADIUS = 20  # of earlier links, read by a test; a fingerprint counts repeats, so no bound on it follows from a similarity of sets
 SLACK = 0.03  # about one standard error of a sketch's estimate
 LOOSE = 5 * SLACK  # a sketch rejects a pair only this far below the similarity
 BLOCK = 1024
@@ -271,10 +271,9 @@ def _fixed(column: pa.ChunkedArray, kind: type) -> np.ndarray:
 
 
 class _Shard:
-    """Entries of one shard: which may be similar by fingerprint, set size and sketch."""
+    """Entries of one shard: which may be similar by set size and sketch."""
 
     def __init__(self, rows: pa.Table, similarity: float):
-        self.fp = rows.column("fp").to_numpy().view(np.uint64)
         self.n = rows.column("n").to_numpy()
         self.marks = _fixed(rows.column("sketch"), np.uint8).reshape(-1, SKETCH)
         self.side = rows.column("side").to_numpy()
@@ -283,7 +282,6 @@ class _Shard:
 
     def loose(self, p: int, others: np.ndarray) -> np.ndarray:
         """Of ``others``, those whose exact similarity to ``p`` has to be found out."""
-        others = others[np.bitwise_count(self.fp[others] ^ self.fp[p]) <= WIDE_RADIUS]
         n, m = self.n[others], self.n[p]
         fits = np.minimum(n, m) >= self.similarity * np.maximum(n, m) - 1e-9
         others, n = others[fits], n[fits]
@@ -323,7 +321,7 @@ def _jobs(entries: DataFrame, block: int) -> DataFrame:
 
 
 def _with_partner(entries: DataFrame, similarity: float, block: int) -> DataFrame:
-    """``(key, whole)`` of the entries ``(key, whole, fp, n, sketch)`` that may be similar to another of their shard."""
+    """``(key, whole)`` of the entries ``(key, whole, n, sketch)`` that may be similar to another of their shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches):
@@ -336,7 +334,7 @@ def _with_partner(entries: DataFrame, similarity: float, block: int) -> DataFram
             if found.any():
                 yield from rows.select(["key", "whole"]).filter(pa.array(found)).to_batches()
 
-    jobs = _jobs(entries, block).select("job", "side", "key", "whole", "fp", "n", "sketch")
+    jobs = _jobs(entries, block).select("job", "side", "key", "whole", "n", "sketch")
     return jobs.repartition("job").sortWithinPartitions("job").mapInArrow(run, "key long, whole long")
 
 
@@ -346,6 +344,7 @@ def _exact_links(entries: DataFrame, similarity: float, block: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches):
             shard, us, vs = _Shard(rows, similarity), [], []
+            fp = rows.column("fp").to_numpy().view(np.uint64)
             hashes = [np.frombuffer(x, "<u8") for x in rows.column("hashes").to_pylist()]
             label = np.arange(len(hashes))
             for p in range(len(hashes)):
@@ -353,8 +352,8 @@ def _exact_links(entries: DataFrame, similarity: float, block: int) -> DataFrame
                 for q in shard.loose(p, later[label[later] != label[p]]).tolist():
                     if label[q] != label[p] and _similarity_of(hashes[p], hashes[q]) >= similarity:
                         label[label == label[q]] = label[p]
-                        us.append(shard.fp[p])
-                        vs.append(shard.fp[q])
+                        us.append(fp[p])
+                        vs.append(fp[q])
             if us:
                 yield _pairs([np.array(us)], [np.array(vs)])
 
@@ -389,7 +388,7 @@ def similarity_links(docs: DataFrame, marked: DataFrame, similarity: float, text
         .agg(F.min(F.struct("fp", "tid", "n", "sketch", "keys")).alias("x")).select("whole", "x.*")
     )
     equal = marked.join(sets.select("whole", F.col("fp").alias("low")), "whole").where("fp <> low").select(F.col("fp").alias("u"), F.col("low").alias("v")).distinct()
-    entries = sets.select(F.posexplode("keys").alias("i", "least"), "whole", "fp", "n", "sketch").withColumn("key", F.xxhash64("i", "least"))
+    entries = sets.select(F.posexplode("keys").alias("i", "least"), "whole", "n", "sketch").withColumn("key", F.xxhash64("i", "least"))
     near = durable(_with_partner(entries, similarity, block).distinct())
     wanted = sets.join(near.select("whole").distinct(), "whole").select("tid", "whole", "fp")
     exact = durable(_sets_of(docs, text_col, wanted, shingle))

@@ -182,3 +182,16 @@ def connected_groups(links):
         a, b = sorted((root[u], root[v]))
         root = {x: a if r == b else r for x, r in root.items()}
     return root
+
+
+def test_a_repeated_passage_does_not_part_similar_texts(make_docs):
+    rng = np.random.default_rng(23)
+    texts = []
+    for k in range(12):
+        base = [f"w{k}" for k in rng.integers(0, 5000, 400)]
+        texts += [" ".join(base), " ".join(base + base[100:120] * 30)]
+    assert min(jaccard(a, b) for a, b in zip(texts[::2], texts[1::2])) > 0.9
+    bits = [fingerprint(t.encode()) for t in texts]
+    assert any((a ^ b).bit_count() > 20 for a, b in zip(bits[::2], bits[1::2]))
+    rows = {r.doc_id: r.component_id for r in near_duplicates(make_docs(list(enumerate(texts))), similarity=0.8).collect()}
+    assert [rows[k] for k in range(len(texts))] == [k - k % 2 for k in range(len(texts))]
