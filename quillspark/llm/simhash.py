@@ -295,13 +295,25 @@ class _Shard:
         return after if self.side[p] < 0 else after[self.side[after] != self.side[p]]
 
 
-def _similarity_of(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-    return both / (len(a) + len(b) - both)
+class _Sets:
+    """Exact Jaccard similarities of one set to others, by marks on the numbered hashes of all."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.array([len(x) for x in sets])
+        distinct, self.ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self.ends = np.cumsum(self.n)
+        self.marked = np.zeros(len(distinct), bool)
+
+    def of(self, p: int) -> np.ndarray:
+        return self.ids[self.ends[p] - self.n[p] : self.ends[p]]
+
+    def similarity(self, p: int, others: np.ndarray) -> np.ndarray:
+        self.marked[self.of(p)] = True
+        n = self.n[others]
+        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+        both = np.add.reduceat(self.marked[np.concatenate([self.of(q) for q in others])], starts, dtype=np.int64)
+        self.marked[self.of(p)] = False
+        return both / (n + self.n[p] - both)
 
 
 def _jobs(entries: DataFrame, block: int) -> DataFrame:
@@ -345,12 +357,15 @@ def _exact_links(entries: DataFrame, similarity: float, block: int) -> DataFrame
         for rows in _runs(batches):
             shard, us, vs = _Shard(rows, similarity), [], []
             fp = rows.column("fp").to_numpy().view(np.uint64)
-            hashes = [np.frombuffer(x, "<u8") for x in rows.column("hashes").to_pylist()]
-            label = np.arange(len(hashes))
-            for p in range(len(hashes)):
+            sets = _Sets([np.frombuffer(x, "<u8") for x in rows.column("hashes").to_pylist()])
+            label = np.arange(len(fp))
+            for p in range(len(fp)):
                 later = shard.later(p)
-                for q in shard.loose(p, later[label[later] != label[p]]).tolist():
-                    if label[q] != label[p] and _similarity_of(hashes[p], hashes[q]) >= similarity:
+                others = shard.loose(p, later[label[later] != label[p]])
+                if not len(others):
+                    continue
+                for q in others[sets.similarity(p, others) >= similarity].tolist():
+                    if label[q] != label[p]:
                         label[label == label[q]] = label[p]
                         us.append(fp[p])
                         vs.append(fp[q])
