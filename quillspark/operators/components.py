@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators.durable import durable, release
+from quillspark.operators.durable import durable, owns, release
 
 
 def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_rounds: int = 60) -> DataFrame:
@@ -16,7 +16,8 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
     edge set shrinks towards one star per component in O(log n) rounds. Every
     round is two partial aggregations and two equi-joins, and is written out, so
     the lineage stays short. Self-loops and repeated edges are allowed; edges
-    with a null end are ignored; an empty edge set gives an empty result.
+    with a null end are ignored; an empty edge set gives an empty result. ``release``
+    of the result deletes the written table it reads.
     """
     e = durable(
         edges.where(F.col(src) != F.col(dst))
@@ -44,4 +45,5 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    return owns(out, e)

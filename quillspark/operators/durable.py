@@ -9,18 +9,25 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_default: list[str] = []
+_swept: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared scratch folder of this session; a temporary one only where the cluster names none."""
+    """The shared scratch folder of this session; a temporary one only where there is no cluster.
+
+    On a cluster each executor would write to its own disk, so there the setting is required.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _local_default:
             _local_default.append(tempfile.mkdtemp(prefix="quillspark-"))
         named = _local_default[0]
@@ -30,8 +37,9 @@ def scratch_root(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared scratch folder and return the written table."""
     spark = df.sparkSession
-    if not _registered:
-        _registered.append(True)
+    app = spark.sparkContext.applicationId
+    if app not in _swept:
+        _swept.add(app)
         atexit.register(_sweep, spark)
     path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
@@ -47,7 +55,10 @@ def release(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-_registered: list[bool] = []
+def owns(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``df``, which reads a table that ``durable`` wrote; releasing ``df`` releases that table."""
+    df._quillspark_path = getattr(table, "_quillspark_path", None)
+    return df
 
 
 def _delete(spark: SparkSession, path: str) -> None:
