@@ -4,7 +4,6 @@ import hashlib
 import re
 
 import corpus_pipeline
-import numpy as np
 import pytest
 from test_pii import brute as pii_brute
 from test_simhash import plain_fingerprint
@@ -12,7 +11,6 @@ from tokenizers import Tokenizer
 
 from quillspark.llm.bpe import default_tokenizer
 from quillspark.llm.decontam import normalise
-from quillspark.llm.simhash import SKETCH, SLACK, WIDE_RADIUS, sketch
 from quillspark.llm.toxicity import THRESHOLD, train
 
 
@@ -48,13 +46,8 @@ def test_run_equals_brute_force(spark, sf_dir):
 
 
 def one_of_each_group(rows):
-    """All pairs, linked by fingerprint or by sketches of five-word shingles; the smallest id of each group.
-
-    Sketches stand for exact similarity: pairs clearly above or below 0.8 must agree with it.
-    """
+    """All pairs, linked by fingerprint or by exact sets of five-word shingles; the smallest id of each group."""
     sets = [{tuple(t.lower().split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for _, t in rows]
-    found = [sketch(t.encode()) for _, t in rows]
-    marks = np.array([np.frombuffer(x, np.uint8) for _, x in found])
     bits = [plain_fingerprint(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -65,12 +58,7 @@ def one_of_each_group(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            apart = (bits[i] ^ bits[j]).bit_count()
-            alike = apart <= WIDE_RADIUS and set(found[i][0]) & set(found[j][0]) and (marks[i] == marks[j]).sum() >= ((0.8 - SLACK) * 255 + 1) / 256 * SKETCH
-            exact = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
-            assert alike or exact < 0.9
-            assert not alike or exact > 0.6
-            if apart <= 4 or alike:
+            if (bits[i] ^ bits[j]).bit_count() <= 4 or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return [r for k, r in enumerate(rows) if find(k) == k]

@@ -2,7 +2,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from quillspark.llm.simhash import BKTree, _jobs, fingerprint, fingerprint_links, fingerprints, keep_one, near_duplicates, op3_simhash, similarity_links, sketch
+from quillspark.llm.simhash import BKForest, _jobs, fingerprint, fingerprint_links, fingerprints, keep_one, linked_codes, near_duplicates, op3_simhash, similarity_links, sketch
+from quillspark.operators.durable import durable
 
 
 def plain_fingerprint(text):
@@ -37,13 +38,42 @@ def test_fingerprints_follow_the_definition():
     assert [fingerprint(t.encode()) for t in texts] == [plain_fingerprint(t) for t in texts]
 
 
-def test_tree_links_equal_brute_force():
+def clusters(rng, n):
+    base = rng.integers(0, 2**63, n, dtype=np.uint64)
+    return np.unique(np.concatenate([base, *[base ^ (np.uint64(1) << rng.integers(0, 63, n, dtype=np.uint64)) for _ in range(12)]]))
+
+
+def test_tree_edges_are_distances_and_searches_follow_only_near_ones():
+    rng = np.random.default_rng(4)
+    codes = np.concatenate([clusters(rng, 20), clusters(rng, 9)])
+    shard = np.repeat([3, 8], [len(codes) - len(clusters(np.random.default_rng(0), 9)), len(clusters(np.random.default_rng(0), 9))])
+    tree = BKForest(codes, shard)
+    assert len(tree.slots) + 2 == len(codes) and len(np.unique(tree.slots)) == len(tree.slots)  # one child per edge
+    parent, edge = tree.slots // 65, tree.slots % 65
+    assert (np.bitwise_count(codes[parent] ^ codes[tree.kids]) == edge).all() and (shard[parent] == shard[tree.kids]).all()
+    # every node hangs in the subtree whose edge is its distance to each ancestor
+    up = dict(zip(tree.kids.tolist(), zip(parent.tolist(), edge.tolist())))
+    for k in range(len(codes)):
+        node = k
+        while node in up:
+            node, e = up[node]
+            assert (int(codes[node]) ^ int(codes[k])).bit_count() == e
+    asked = codes[:60] ^ np.uint64(5)
+    found = {(int(q), int(n)) for qs, ns in tree.search(asked, np.full(60, tree.roots[0]), 4) for q, n in zip(qs, ns)}
+    assert found == {(q, n) for q in range(60) for n in np.flatnonzero(shard == 3).tolist() if (int(asked[q]) ^ int(codes[n])).bit_count() <= 4}
+
+
+def test_tree_links_equal_brute_force(monkeypatch):
+    monkeypatch.setattr("quillspark.llm.simhash.VISITS", 3000)
     rng = np.random.default_rng(5)
-    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
-    codes = np.unique(np.concatenate([base, *[base ^ (np.uint64(1) << rng.integers(0, 63, 40, dtype=np.uint64)) for _ in range(12)]]))
-    label = BKTree(codes, leaf=4).self_links(4)
+    codes = clusters(rng, 40)
+    label = linked_codes(codes, np.zeros(len(codes), np.int64), np.full(len(codes), -1), 4)
     want = brute([int(c) for c in codes], list(range(len(codes))), 4)
     assert label.tolist() == want
+    side = rng.integers(0, 2, len(codes))
+    label = linked_codes(codes, np.zeros(len(codes), np.int64), side, 4)
+    for k, low in enumerate(label.tolist()):
+        assert low == k or any(side[j] != side[k] and (int(codes[j]) ^ int(codes[k])).bit_count() <= 4 for j in range(len(codes)))
 
 
 def test_links_survive_crowded_shards(spark):
@@ -163,17 +193,51 @@ def test_crowded_similarity_shards_lose_no_pair(make_docs):
     base = [f"w{k}" for k in rng.integers(0, 5000, 150)]
     texts = [varied(base, int(n), rng) for n in rng.integers(1, 6, 60)]
     docs = make_docs(list(enumerate(texts)))
-    marked = fingerprints(docs, sketched=5).localCheckpoint()
+    marked = durable(fingerprints(docs, sketched=5))
     entries = marked.select(F.explode("keys").alias("key"), "whole", "fp", "n", "sketch")
     alike = lambda links: connected_groups([(r.u, r.v) for r in links.collect()])
     assert alike(similarity_links(docs, marked, 0.8, block=8, set_block=4)) == alike(similarity_links(docs, marked, 0.8))
-    jobs = _jobs(entries, 8)
+    jobs = _jobs(entries, 8, "whole")
     assert entries.groupBy("key").count().agg(F.max("count")).first()[0] > 40
     assert jobs.groupBy("job").count().agg(F.max("count")).first()[0] < 40
     pairs = jobs.alias("a").join(jobs.alias("b"), F.expr("a.job = b.job and a.whole < b.whole and (a.side < 0 or a.side <> b.side)"))
     want = entries.alias("a").join(entries.alias("b"), F.expr("a.key = b.key and a.whole < b.whole"))
     pick = ["a.key", "a.whole", F.col("b.whole").alias("other")]
     assert sorted(pairs.select(*pick).collect()) == sorted(want.select(*pick).collect())  # each pair once
+    # With labels, pairs of one label need not meet; every other pair meets once.
+    grouped = entries.withColumn("label", F.when(F.pmod("whole", F.lit(3)) > 0, 0).otherwise(F.col("whole")).cast("long"))
+    jobs = _jobs(grouped, 8, "whole")
+    pairs = jobs.alias("a").join(jobs.alias("b"), F.expr("a.job = b.job and a.whole < b.whole and a.label <> b.label and (a.side < 0 or a.side <> b.side)"))
+    want = grouped.alias("a").join(grouped.alias("b"), F.expr("a.key = b.key and a.whole < b.whole and a.label <> b.label"))
+    assert sorted(pairs.select(*pick).collect()) == sorted(want.select(*pick).collect())
+    alone = _jobs(entries.withColumn("label", F.lit(1).cast("long")), 8, "whole")
+    big = entries.groupBy("key").count().where("count > 8").select("key")
+    assert alone.join(big, "key").count() == 0  # nothing left to compare
+
+
+def test_one_id_with_unrelated_texts_keeps_both(make_docs):
+    words = [" ".join(f"w{k}{j}" for j in range(30)) for k in range(3)]
+    docs = make_docs([(1, words[0]), (1, words[1]), (2, words[1]), (2, words[2]), (2, words[2]), (3, words[0])])
+    kept = sorted((r.doc_id, words.index(r.text)) for r in keep_one(docs, similarity=0.8).collect())
+    assert kept == [(1, 0), (1, 1), (2, 2)]
+
+
+def test_recall_of_pairs_at_the_bar(make_docs):
+    """Pairs just above 0.8, alone and inside one crowded shard: at least nine in ten are linked, and here all."""
+    rng = np.random.default_rng(29)
+    shared = [f"s{k}" for k in range(60)]
+    texts = []
+    for _ in range(120):
+        base = [*shared, *[f"w{k}" for k in rng.integers(0, 50_000, 240)]]
+        texts += [" ".join(base), " ".join([*base[:60], *varied(base[60:], 6, rng).split()])]
+    near = [jaccard(a, b) for a, b in zip(texts[::2], texts[1::2])]
+    assert min(near) >= 0.8 and max(near) < 0.9
+    docs = make_docs(list(enumerate(texts)))
+    links = similarity_links(docs, durable(fingerprints(docs, sketched=5)), 0.8, block=16, set_block=8)
+    groups = connected_groups([(r.u, r.v) for r in links.collect()])
+    bits = [int(np.array(fingerprint(t.encode()), np.uint64).view(np.int64)) for t in texts]
+    met = [groups.get(a, a) == groups.get(b, b) for a, b in zip(bits[::2], bits[1::2])]
+    assert sum(met) >= 0.9 * len(met) and len(set(groups.values())) == sum(met)
 
 
 def connected_groups(links):
