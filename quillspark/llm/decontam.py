@@ -4,26 +4,36 @@ A test item of m characters may occur in a document with up to ``m // per_edit``
 edits. Cut into one more piece than that, at least one piece must occur exactly;
 an Aho-Corasick automaton finds all piece hits in one pass over the whole text,
 and Myers' bit-parallel distance verifies the window around each hit. Texts and
-items are compared lower-cased with white space collapsed.
+items are compared lower-cased with white space collapsed. Items of fewer than
+``short`` characters take no edits and must stand between word boundaries, since a
+few letters occur inside other words.
 
 The benchmark is the stated query set. It is broadcast in blocks whose size is
-bounded by ``block_bytes``; a larger benchmark takes more passes, not more memory.
-Null or blank texts and items match nothing. Items shorter than ``min_chars``
-are skipped, since a few characters occur anywhere. Repeated items keep their own
-ids. A null item id is kept as null.
+bounded by ``block_bytes``. With more than one block, each block's result is written
+and its broadcast destroyed before the next block is read, so the driver holds one
+block at a time; the documents are then read once a block.
+
+Null or blank texts and items match nothing. Repeated items keep their own ids, and
+repeated documents their own rows. A null item id is kept as null; ids may have any
+type. Of an item's occurrences with equal distances the first counts. An empty table of
+documents or items gives no hits and drops nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import arrow_type
+from quillspark.operators.durable import durable, release
+
 PER_EDIT = 20
-MIN_CHARS = 40
+SHORT = 40
 BLOCK_BYTES = 4 << 20
 
 
@@ -64,8 +74,9 @@ def myers_search(pattern: str, text: str) -> tuple[int, int]:
 class PieceIndex:
     """Automaton over the pieces of a block of items; ``match`` finds all items within their budgets."""
 
-    def __init__(self, items: list[tuple[object, str]], per_edit: int = PER_EDIT, min_chars: int = MIN_CHARS):
-        self.items = [(i, s, len(s) // per_edit) for i, t in items if len(s := normalise(t)) >= min_chars]
+    def __init__(self, items: list[tuple[object, str]], per_edit: int = PER_EDIT, short: int = SHORT):
+        self.short = short
+        self.items = [(i, s, 0 if len(s) < short else len(s) // per_edit) for i, t in items if (s := normalise(t))]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for k, (_, s, budget) in enumerate(self.items):
             cuts = [len(s) * j // (budget + 1) for j in range(budget + 2)]
@@ -83,9 +94,14 @@ class PieceIndex:
             return []
         s = normalise(text)
         windows: dict[int, list[list[int]]] = {}
+        whole: dict[int, int] = {}  # short items found: ends of their first occurrences
         for last, (size, at) in self.automaton.iter(s):
             for k, offset in at:
                 _, item, budget = self.items[k]
+                if len(item) < self.short:
+                    if k not in whole and stands_alone(s, last + 1 - size, last + 1):
+                        whole[k] = last + 1
+                    continue
                 start = last + 1 - size - offset
                 lo, hi = max(0, start - budget), start + len(item) + budget
                 spans = windows.setdefault(k, [])
@@ -93,7 +109,7 @@ class PieceIndex:
                     spans[-1] = [min(lo, spans[-1][0]), max(hi, spans[-1][1])]
                 else:
                     spans.append([lo, hi])
-        found = []
+        found = [(self.items[k][0], 0, end) for k, end in whole.items()]
         for k, spans in windows.items():
             name, item, budget = self.items[k]
             best = None
@@ -101,69 +117,79 @@ class PieceIndex:
                 at = s.find(item, lo, hi)
                 distance, end = (0, at + len(item)) if at >= 0 else myers_search(item, s[lo:hi])
                 end += 0 if at >= 0 else lo
-                if distance <= budget and (best is None or distance < best[1]):
+                if distance <= budget and (best is None or (distance, end) < best[1:]):
                     best = (name, distance, end)
-                if best and best[1] == 0:
-                    break
             if best:
                 found.append(best)
         return found
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[object, str]]]:
-    """The items in blocks of bounded size: one aggregate fixes the number of blocks, each is read on its own."""
+def stands_alone(text: str, start: int, end: int) -> bool:
+    """Whether no letter or digit at either end of a place goes on outside it."""
+    before = start > 0 and text[start - 1].isalnum() and text[start].isalnum()
+    after = end < len(text) and text[end].isalnum() and text[end - 1].isalnum()
+    return not before and not after
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[bool, list[tuple[object, str]]]]:
+    """``(last, items)``: blocks of bounded size; one aggregate fixes the number of blocks, each is read on its own."""
     items = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0]
     count = total // block_bytes + 1
     for k in range(count):
         block = items if count == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == k)
-        yield [tuple(r) for r in block.collect()]
+        yield k == count - 1, [tuple(r) for r in block.collect()]
+
+
+def _with_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, block_bytes: int, step: Callable[[Broadcast, DataFrame | None], DataFrame]) -> DataFrame:
+    """``step(block, result so far)`` for each block in turn; what it returns is written out where there are several."""
+    sc, out = docs.sparkSession.sparkContext, None
+    for last, block in _blocks(benchmark, item_col, item_text, block_bytes):
+        shared = sc.broadcast(block)
+        if last and out is None:
+            return step(shared, None)
+        before, out = out, durable(step(shared, out))
+        if before is not None:
+            release(before)
+        shared.destroy()
+    return out
 
 
 def benchmark_hits(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text: str = "text", per_edit: int = PER_EDIT, min_chars: int = MIN_CHARS, block_bytes: int = BLOCK_BYTES,
+    item_col: str = "item_id", item_text: str = "text", per_edit: int = PER_EDIT, short: int = SHORT, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``(id_col, item_col, distance, end_char)``: each document and item that occurs in it within its budget."""
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, distance int, end_char long"
-    sc, out = docs.sparkSession.sparkContext, None
-    source = docs.select(F.col(id_col), F.col(text_col))
-    for block in _blocks(benchmark, item_col, item_text, block_bytes):
-        shared = sc.broadcast(block)
+    arrow = [arrow_type(docs, id_col), arrow_type(benchmark, item_col), pa.int32(), pa.int64()]
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = PieceIndex(shared.value, per_edit, min_chars)
+    def step(shared: Broadcast, before: DataFrame | None) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = PieceIndex(shared.value, per_edit, short)
             for batch in batches:
                 rows = [(i, *hit) for i, t in zip(batch.column(0).to_pylist(), batch.column(1)) for hit in index.match(t.as_py())]
                 columns = zip(*rows) if rows else [[], [], [], []]
-                kinds = [batch.schema.field(0).type, _id_type(kinds_item), pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=[id_col, item_col, "distance", "end_char"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, arrow)], names=["i", "j", "distance", "end_char"])
 
-        kinds_item = kinds[1]
-        part = source.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+        found = docs.select(id_col, text_col).mapInArrow(run, f"i {kinds[0]}, j {kinds[1]}, distance int, end_char long")
+        return found if before is None else before.unionByName(found)
 
+    return _with_blocks(docs, benchmark, item_col, item_text, block_bytes, step).select(F.col("i").alias(id_col), F.col("j").alias(item_col), "distance", "end_char")
 
-def _id_type(simple: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[simple]
 
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", per_edit: int = PER_EDIT, min_chars: int = MIN_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", per_edit: int = PER_EDIT, short: int = SHORT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` in which no item occurs; a map over rows, without any shuffle."""
-    sc = docs.sparkSession.sparkContext
     at = docs.columns.index(text_col)
-    for block in _blocks(benchmark, item_col, item_text, block_bytes):
-        shared = sc.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = PieceIndex(shared.value, per_edit, min_chars)
+    def step(shared: Broadcast, before: DataFrame | None) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = PieceIndex(shared.value, per_edit, short)
             for batch in batches:
                 yield batch.filter(pa.array([not index.match(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return (docs if before is None else before).mapInArrow(run, docs.schema)
+
+    return _with_blocks(docs, benchmark, item_col, item_text, block_bytes, step)
 
 
 def op9_decontam(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import id_remainder, utf8
+from quillspark.llm.common import arrow_type, id_remainder, utf8
 from quillspark.operators.durable import durable
 
 END = b"\n"  # no word has white space
@@ -547,7 +547,7 @@ def language_scores(docs: DataFrame, fold: int = 2, folds: int = 7, id_col: str
             cut = slice(a, a + (1 << 18))
             yield result(rid[left["row"][cut]], word=left["word"][cut], times=left["times"][cut])
 
-    id_arrow = _arrow_type(docs, id_col)
+    id_arrow = arrow_type(docs, id_col)
 
     def result(rid: np.ndarray, head: pa.Table | None = None, sums: dict | None = None, word: np.ndarray | None = None, times: np.ndarray | None = None) -> pa.RecordBatch:
         n = len(rid)
@@ -583,11 +583,5 @@ def language_scores(docs: DataFrame, fold: int = 2, folds: int = 7, id_col: str
     return total.select(id_col, "held_out", "n_tokens", "n_known", F.lit(frequent.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
-def _arrow_type(df: DataFrame, col: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(df.schema[col].dataType)
-
-
 def op10_lm(docs: DataFrame) -> DataFrame:
     return language_scores(docs)
