@@ -4,15 +4,18 @@ The automaton holds every token substring of every template. Fed a text token by
 token it gives the matching statistics: at each position the longest suffix that
 occurs in some template. Where a match of ``MIN_MATCH`` tokens or more ends, its
 template places are noted; matches that advance together in text and template
-are chained into a covered span, whose share of the template is the score.
-Phrases shorter than that are templates of their own and are found through the
-automaton's suffix links, which name every phrase that ends at a position.
+are chained into a covered span, whose share of the template is the score. A chain
+covers as much as any chain of the same matches can.
+Phrases are templates of their own and are found through the automaton's suffix
+links, which name every phrase that ends at a position; phrases of one word by lookup.
 
 A match needs consecutive token pairs that occur in templates, so a lookup of all
 pairs of a text at once leaves the automaton only the stretches that can match.
 
-Null texts count as empty: no words, no labels, score 0. Equal texts get equal
-rows. Texts are read whole; memory per text is four bytes a word.
+Null texts count as empty: no words, no labels, score 0. Repeated rows stay rows, and
+equal texts get equal values. An empty table gives an empty result. Texts are read whole,
+in time linear in their length; memory per text is four bytes a word. Of chains that
+cover as much, the one that began last counts, up to the first place where it covers most.
 """
 
 from __future__ import annotations
@@ -136,6 +139,8 @@ class SuffixAutomaton:
 class LicenceIndex:
     def __init__(self, templates: list[tuple[str, str]], phrases: dict[str, str], min_match: int = MIN_MATCH, max_gap: int = MAX_GAP, min_cover: float = MIN_COVER):
         sequences = [licence_words(t.encode()) for t in [*phrases, *[t for _, t in templates]]]
+        if not all(sequences):
+            raise ValueError("a phrase or template without words")
         self.labels = [*phrases.values(), *[label for label, _ in templates]]
         self.phrases = len(phrases)
         self.min_match, self.max_gap, self.min_cover = min_match, max_gap, min_cover
@@ -151,8 +156,9 @@ class LicenceIndex:
         for k, seq in enumerate(self.sequences):
             for a, b in zip(seq, seq[1:]):
                 self.pair[a, b] = True
-            if k < self.phrases:
+            if 1 < len(seq) and k < self.phrases:
                 self.tail[seq[-2], seq[-1]] = True
+        self.single = [(k, seq[0]) for k, seq in enumerate(self.sequences[: self.phrases]) if len(seq) == 1]
         self.ending = self._endings()
 
     def _endings(self) -> list[list[tuple[int, int]]]:
@@ -160,6 +166,8 @@ class LicenceIndex:
         auto, out = self.automaton, []
         home = {}
         for k in range(self.phrases):
+            if len(self.sequences[k]) < 2:
+                continue
             state = 0
             for t in self.sequences[k]:
                 state = auto.next[state][t]
@@ -178,17 +186,14 @@ class LicenceIndex:
 
     def scan(self, ids: np.ndarray) -> tuple[list[tuple[int, int]], list[Span]]:
         """Phrase places ``(phrase, start)`` and template spans of one text."""
-        if len(ids) < 2:
-            return [], []
-        hit = self.pair[ids[:-1], ids[1:]]
-        at = np.flatnonzero(hit)
+        places: list[tuple[int, int]] = [(k, s) for k, word in self.single for s in np.flatnonzero(ids == word).tolist()]
+        at = np.flatnonzero(self.pair[ids[:-1], ids[1:]])
         if not len(at):
-            return [], []
+            return places, []
         cut = np.flatnonzero(np.diff(at) > 1) + 1
         first, last = at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [len(at) - 1]])] + 1
         tails = np.concatenate([[0], np.cumsum(self.tail[ids[:-1], ids[1:]])])
         able = (last - first + 1 >= self.min_match) | (tails[last] > tails[first])
-        places: list[tuple[int, int]] = []
         matches: list[Match] = []
         for a, b in zip(first[able].tolist(), last[able].tolist()):
             before = (0, 0)
@@ -202,33 +207,32 @@ class LicenceIndex:
         return places, self._chain(matches)
 
     def _chain(self, matches: list[Match]) -> list[Span]:
-        """Join matches that move on in text and template with small gaps; report chains that cover enough."""
-        chains: dict[int, list[list[int]]] = {}  # template -> [text start, text end, template end, covered]
-        settled = []
+        """The best chains of matches that move on in text and template with small gaps, where they cover enough.
+
+        Each place of a match in a template goes on the chain that covers most with it
+        (of equal ones, that which began last). A chain counts once, as far as it covers
+        most. Starts of matches never fall, so a place that ended more than a gap before
+        the present start is done with; those still open lie within one template's length.
+        """
+        open_: dict[int, list[tuple[int, int, int, int]]] = {}  # template -> (text end, template end, covered, text start of the chain)
+        chains: dict[tuple[int, int], tuple[int, int]] = {}  # (template, text start) -> (covered, -text end)
         for end, size, state in matches:
+            start = end - size
             for k, stop in self.automaton.ends[state]:
                 if k < self.phrases:
                     continue
-                own = chains.setdefault(k, [])
-                if own and end - size - own[-1][1] > self.max_gap:  # no later match reaches these any more
-                    settled += [(k, c) for c in own]
-                    own.clear()
-                start, begin = end - size, stop - size
-                best = None
-                for chain in own:
-                    overlap = max(0, chain[1] - start, chain[2] - begin)
-                    if overlap < size and start - chain[1] <= self.max_gap and begin - chain[2] <= self.max_gap and chain[1] <= end and chain[2] <= stop:
-                        if best is None or chain[3] > best[0][3]:
-                            best = (chain, overlap)
-                if best:
-                    chain, overlap = best
-                    chain[1], chain[2], chain[3] = end, stop, chain[3] + size - overlap
-                else:
-                    own.append([start, end, stop, size])
-        settled += [(k, c) for k, own in chains.items() for c in own]
+                begin, covered, first = stop - size, size, start
+                own = open_[k] = [x for x in open_.get(k, ()) if start - x[0] <= self.max_gap]
+                for text_end, template_end, held, head in own:
+                    if text_end <= end and template_end <= stop and begin - template_end <= self.max_gap:
+                        overlap = max(0, text_end - start, template_end - begin)
+                        if overlap < size and (held + size - overlap, head) > (covered, first):
+                            covered, first = held + size - overlap, head
+                own.append((end, stop, covered, first))
+                chains[k, first] = max(chains.get((k, first), (0, 0)), (covered, -end))
         return sorted(
-            Span(self.labels[k], a, b, min(1.0, covered / len(self.sequences[k])))
-            for k, (a, b, _, covered) in settled if covered >= self.min_cover * len(self.sequences[k])
+            Span(self.labels[k], a, -b, min(1.0, covered / len(self.sequences[k])))
+            for (k, a), (covered, b) in chains.items() if covered >= self.min_cover * len(self.sequences[k])
         )
 
 
