@@ -2,16 +2,20 @@
 
 Counting: one pass counts the training words (hashes, pre-aggregated per task).
 A second pass sends every token pair (context, word) of every document, packed
-per task and shard, to the shard that owns its context. A context that holds more
-than a ``1 / HOT`` share of the tokens is a bounded exception: there are at most
-``HOT`` of them, and each is split over shards by classes of the following word.
+per task and shard, to the shard that owns its context. A context with more pairs than
+half a shard is split over shards by classes of the following word, into as many parts as
+its count needs. These contexts, and words above a share of ``1 / COMMON``, are broadcast with
+their counts: there are at most ``MOST_SPLIT``, since below a share of ``1 / MOST_SPLIT`` of
+all tokens none is split (at 10^13 tokens such a context has five shards' worth of pairs).
 
 Trie: a shard counts the training pairs it received and lays them out as levels of
-one buffer: contexts, words and the monotone pointers from a context to its
+one memory-mapped buffer: contexts, words and the monotone pointers from a context to its
 successors as Elias-Fano sequences; successors as one Elias-Fano sequence of
-``context rank * words + word rank``, so that a word is searched relative to its
-context; probabilities and back-off weights as one-byte codes. The buffer can be
-written to a file and memory-mapped; tasks view it where it lies.
+``context rank * words + word rank``; probabilities and back-off weights as one-byte
+codes. A look-up finds the context, takes the range of its successors from the pointers
+and searches the word inside that range only. Levels stay packed: positions of bits are
+found through a directory of one count for 64 bits. The map is anonymous, since a task has
+no folder that outlives it or that others could read; ``open`` maps a written trie.
 
 Smoothing: absolute discounting. A seen pair has (count - D) / count(context). The
 mass kept back goes to unseen words in proportion to their add-one unigram
@@ -20,17 +24,19 @@ context are left out), so a context's probabilities sum to at most 1. Unigram
 look-ups of unseen pairs are a join with the word counts.
 
 Scores of a document are sums over shards. Nothing of the corpus passes through the
-driver but totals, at most ``HOT`` frequent words and 256 class masses.
+driver but totals, at most ``MOST_SPLIT`` frequent words and the masses of ``MOST_CLASSES``
+classes of words at most.
 
 Null texts count as empty and have the end token only. A null id counts as the
 empty text in the fold rule. Repeated ids are separate rows. With no training rows
-all counts are zero and every word is unknown.
+all counts are zero and every word is unknown. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import io
 import math
+import mmap
 import struct
 from collections.abc import Iterator
 
@@ -45,9 +51,9 @@ from quillspark.llm.common import arrow_type, id_remainder, utf8
 from quillspark.operators.durable import durable
 
 END = b"\n"  # no word has white space
-HOT = 2000
-CLASSES = 256
-MOST_PARTS = 128
+COMMON = 2000
+MOST_SPLIT = 1_000_000
+MOST_CLASSES = 1 << 20
 CHUNK_BYTES = 12 << 20
 CHUNK_DOCS = 60_000
 PIECE_WORDS = 2_000_000
@@ -79,18 +85,51 @@ END_HASH = int(word_hashes([END])[0])
 # ---------------------------------------------------------------- Elias-Fano levels
 
 
+_BIT_OF_BYTE = np.array([[next((k for k in range(8) if bin(b & ((2 << k) - 1)).count("1") == r + 1), 8) for r in range(8)] for b in range(256)], dtype=np.uint8)
+STEP = 1 << 17  # positions that are looked up at a time
+
+
 class EliasFano:
-    """A monotone sequence in about ``2 + log2(universe / n)`` bits per value, with successor search."""
+    """A monotone sequence in about ``2 + log2(universe / n)`` bits per value, with successor search.
+
+    Upper parts are marked in unary in ``high`` (a one for each value after a zero for
+    each step of the upper part), lower bits lie packed in ``low``. ``before`` has the
+    number of ones before each 64-bit word of ``high``.
+    """
 
     HEAD = struct.Struct("<QBQQ")
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.low_bits = n, low_bits
         self.low = np.lib.stride_tricks.as_strided(low[:8].view("<u8"), shape=(len(low) - 7,), strides=(1,)) if n else None
-        self._keep = low, high
-        bits = np.unpackbits(high, bitorder="little")
-        self.ones = np.flatnonzero(bits)
-        self.zeros = np.flatnonzero(bits == 0)
+        self._keep = low
+        self.high = high.reshape(-1, 8)
+        ones = np.bitwise_count(high.view("<u8")).astype(np.int64)
+        self.before = np.cumsum(ones) - ones
+        self.last = len(high) * 8 - n - self.padding(high) if n else 0  # largest upper part in use
+
+    @staticmethod
+    def padding(high: np.ndarray) -> int:
+        """Zeros after the last one."""
+        tail = np.flatnonzero(high[-16:])
+        return (min(16, len(high)) - 1 - int(tail[-1])) * 8 + 8 - int(high[-16:][tail[-1]]).bit_length()
+
+    def select(self, i: np.ndarray, ones: bool = True) -> np.ndarray:
+        """Positions in ``high`` of the ones, or of the zeros, with the given numbers."""
+        out = np.empty(len(i), dtype=np.int64)
+        words = np.arange(len(self.before), dtype=np.int64) * 64
+        passed = self.before if ones else words - self.before
+        for a in range(0, len(i), STEP):
+            asked = i[a : a + STEP]
+            word = np.searchsorted(passed, asked, "right") - 1
+            rest = asked - passed[word]
+            block = self.high[word] if ones else ~self.high[word]
+            held = np.cumsum(np.bitwise_count(block), axis=1, dtype=np.int64)
+            byte = (held <= rest[:, None]).sum(axis=1)
+            every = np.arange(len(asked))
+            rest -= np.where(byte > 0, held[every, np.maximum(byte - 1, 0)], 0)
+            out[a : a + STEP] = words[word] + byte * 8 + _BIT_OF_BYTE[block[every, byte], rest]
+        return out
 
     @classmethod
     def pack(cls, values: np.ndarray) -> bytes:
@@ -113,6 +152,7 @@ class EliasFano:
         marks = np.zeros(n + int(top[-1]) + 1, dtype=np.uint8)
         marks[top + np.arange(n)] = 1
         high = np.packbits(marks, bitorder="little")
+        high = np.concatenate([high, np.zeros(-len(high) % 8, dtype=np.uint8)])
         return cls.HEAD.pack(n, low_bits, len(low), len(high)) + low.tobytes() + high.tobytes()
 
     @classmethod
@@ -130,22 +170,24 @@ class EliasFano:
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, dtype=np.int64)
-        return ((self.ones[i] - i).astype(np.uint64) << np.uint64(self.low_bits)) | self.lows(i)
+        return ((self.select(i) - i).astype(np.uint64) << np.uint64(self.low_bits)) | self.lows(i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Index of the first value at or above each x; n where there is none."""
+    def successor(self, x: np.ndarray, first: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """Index of the first value at or above each x among those from ``first`` to ``end`` (all by default); the end where there is none."""
         x = x.astype(np.uint64)
+        first = np.zeros(len(x), dtype=np.int64) if first is None else first
+        end = np.full(len(x), self.n, dtype=np.int64) if end is None else end
         if not self.n:
             return np.zeros(len(x), dtype=np.int64)
         top = (x >> np.uint64(self.low_bits)).astype(np.int64)
-        last = int(self.ones[-1]) - self.n + 1  # largest upper part in use
-        beyond = top > last
-        top = np.minimum(top, last)
-        before = np.maximum(top - 1, 0)
-        lo = np.where(top > 0, self.zeros[before] - before, 0) if len(self.zeros) else np.zeros(len(x), dtype=np.int64)
-        closed = top < len(self.zeros)
-        hi = np.where(closed, self.zeros[np.minimum(top, len(self.zeros) - 1)] - top, self.n) if len(self.zeros) else np.full(len(x), self.n)
-        hi = np.minimum(hi, self.n)
+        # Values with this upper part lie between two zeros; only their lower bits need a search.
+        lo, hi = np.zeros(len(x), dtype=np.int64), np.full(len(x), self.n, dtype=np.int64)
+        some = np.flatnonzero((top > 0) & (top <= self.last))
+        lo[some] = self.select(top[some] - 1, ones=False) - top[some] + 1
+        some = np.flatnonzero(top < self.last)
+        hi[some] = self.select(top[some], ones=False) - top[some]
+        lo = np.clip(np.where(top > self.last, self.n, lo), first, end)
+        hi = np.clip(hi, first, end)
         want = x & np.uint64((1 << self.low_bits) - 1)
         open_ = np.flatnonzero(lo < hi)
         while len(open_):
@@ -154,24 +196,34 @@ class EliasFano:
             lo[open_[less]] = mid[less] + 1
             hi[open_[~less]] = mid[~less]
             open_ = open_[lo[open_] < hi[open_]]
-        return np.where(beyond, self.n, lo)
-
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of each x, -1 where the sequence lacks it."""
-        at = self.successor(x)
-        inside = np.minimum(at, max(0, self.n - 1))
-        return np.where((at < self.n) & (self[inside] == x.astype(np.uint64)), at, -1) if self.n else np.full(len(x), -1)
-
-
-def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One-byte codes and their values: exact up to 256 distinct values, else means of equally filled bins."""
-    distinct = np.unique(values)
-    if len(distinct) > 256:
-        edges = np.unique(np.quantile(values, np.linspace(0, 1, 257))[1:-1])
-        codes = np.searchsorted(edges, values, "right")
-        count = np.bincount(codes, minlength=256)
-        return codes.astype(np.uint8), (np.bincount(codes, values, 256) / np.maximum(count, 1)).astype("<f4")
-    return np.searchsorted(distinct, values).astype(np.uint8), np.concatenate([distinct, np.zeros(256 - len(distinct))]).astype("<f4")
+        return lo
+
+    def find(self, x: np.ndarray, first: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """Index of each x among the values from ``first`` to ``end``, -1 where they lack it."""
+        at = self.successor(x, first, end)
+        some = np.flatnonzero(at < (self.n if end is None else end))
+        out = np.full(len(x), -1, dtype=np.int64)
+        same = some[self[at[some]] == x[some].astype(np.uint64)] if len(some) else some
+        out[same] = at[same]
+        return out
+
+    @property
+    def nbytes(self) -> int:
+        """Bytes in memory: the packed sequence and its directory."""
+        return self._keep.nbytes + self.high.nbytes + self.before.nbytes
+
+
+def quantise(values: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """One-byte codes and their values: exact up to 256 distinct values, else means of bins that settle by nearest mean."""
+    distinct, counts = np.unique(values, return_counts=True)
+    if len(distinct) <= 256:
+        return np.searchsorted(distinct, values).astype(np.uint8), np.concatenate([distinct, np.zeros(256 - len(distinct))]).astype("<f4")
+    means = np.sort(np.concatenate([np.linspace(distinct[0], distinct[-1], 128), distinct[np.arange(128) * (len(distinct) - 1) // 127]]))
+    for _ in range(rounds):
+        code = np.searchsorted((means[1:] + means[:-1]) / 2, distinct, "right")
+        held = np.bincount(code, counts, 256)
+        means = np.sort(np.where(held > 0, np.bincount(code, counts * distinct, 256) / np.maximum(held, 1), means))
+    return np.searchsorted((means[1:] + means[:-1]) / 2, values, "right").astype(np.uint8), means.astype("<f4")
 
 
 class NgramTrie:
@@ -204,6 +256,13 @@ class NgramTrie:
             out += [values.tobytes(), codes.tobytes()]
         return b"".join(out)
 
+    @classmethod
+    def mapped(cls, packed: bytes) -> NgramTrie:
+        """The trie in an anonymous memory map."""
+        space = mmap.mmap(-1, len(packed))
+        space.write(packed)
+        return cls(np.frombuffer(space, np.uint8))
+
     @classmethod
     def open(cls, path: str) -> NgramTrie:
         return cls(np.memmap(path, dtype=np.uint8, mode="r"))
@@ -217,11 +276,11 @@ class NgramTrie:
         backoff = np.zeros(len(contexts))
         known = rank >= 0
         backoff[known] = self.backoff_values[self.backoff_codes[rank[known]]]
-        at = self.successors.find(rank[both] * max(1, self.words.n) + number[both])
+        own = rank[both]
+        first, end = (self.pointers[own + k].astype(np.int64) for k in (0, 1))  # the context's own successors
+        at = self.successors.find(own * max(1, self.words.n) + number[both], first, end)
         hit = at >= 0
-        first = self.pointers[rank[both[hit]]].astype(np.int64)
-        relative = at[hit] - first  # place among the context's own successors
-        log_prob[both[hit]] = self.prob_values[self.prob_codes[first + relative]]
+        log_prob[both[hit]] = self.prob_values[self.prob_codes[at[hit]]]
         return log_prob, backoff
 
 
@@ -245,14 +304,16 @@ def _take(data: bytes, at: int) -> tuple[np.ndarray, int]:
 
 
 class Frequent:
-    """The words above the hot share with their training counts, and how many shards each splits over as a context."""
+    """Words above a share of ``1 / COMMON``, and all that are split as contexts: training counts and numbers of parts, a power of two.
+
+    ``masses`` has the unigram mass of each class of words, as many classes as the most parts.
+    """
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, tokens: int, distinct: int, masses: np.ndarray, shards: int):
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
         self.tokens, self.distinct, self.masses, self.shards = tokens, distinct, masses, shards
-        share = self.counts * shards / max(1, tokens)
-        self.parts = np.array([min(MOST_PARTS, 1 << max(0, math.ceil(math.log2(max(1.0, s * 2))))) for s in share], dtype=np.int64)
+        self.parts = parts_of(self.counts, tokens / shards)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -264,7 +325,7 @@ class Frequent:
         """Parts of each pair's context (1 if it is not split) and the part that owns the pair."""
         at = self.find(contexts)
         parts = np.where(at >= 0, self.parts[np.maximum(at, 0)], 1) if len(self.parts) else np.ones(len(contexts), dtype=np.int64)
-        return parts, (words % np.uint64(CLASSES)).astype(np.int64) % parts
+        return parts, (words % parts.astype(np.uint64)).astype(np.int64)
 
     def shard_of(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
         _, part = self.split(contexts, words)
@@ -272,6 +333,12 @@ class Frequent:
         return ((mixed >> np.uint64(32)) % np.uint64(self.shards)).astype(np.int64)
 
 
+def parts_of(counts: np.ndarray, per_shard: float) -> np.ndarray:
+    """Parts of contexts with the given counts: about half a shard each, in powers of two."""
+    wanted = np.maximum(1.0, counts * 2 / max(1.0, per_shard))
+    return np.minimum(MOST_CLASSES, 2 ** np.ceil(np.log2(wanted)).astype(np.int64)).astype(np.int64)
+
+
 def pack_chunk(first_row: int, held: list[bool], lines: dict[int, np.ndarray], hashes: np.ndarray, frequent: Frequent) -> Iterator[tuple[int, bytes]]:
     """The token pairs of consecutive rows by shard: contexts, their words, and each word's rows with counts.
 
@@ -364,7 +431,7 @@ def build_trie(nodes: np.ndarray, words: np.ndarray, counts: np.ndarray, frequen
     room = np.ones(len(own))  # unigram mass of the words a node backs off to
     part = (own >> HASH_BITS).astype(np.int64) - 1
     for k in np.flatnonzero(part >= 0):
-        room[k] = frequent.masses[np.arange(CLASSES) % frequent.parts[at[k]] == part[k]].sum()
+        room[k] = frequent.masses[part[k] :: frequent.parts[at[k]]].sum()
     word_at = frequent.find(words)
     common = word_at >= 0
     floor = frequent.tokens + frequent.distinct + 1
@@ -403,7 +470,8 @@ def score_shard(parts: list[Packed], frequent: Frequent, discount: float) -> tup
     own_node, own_word = node_values[code // len(word_values)], word_values[code % len(word_values)]
     trained = count > 0
     buffer, nodes, totals = build_trie(own_node[trained], own_word[trained], count[trained], frequent, discount)
-    trie = NgramTrie(np.frombuffer(buffer, np.uint8))
+    trie = NgramTrie.mapped(buffer)
+    del buffer
     log_prob, backoff = trie.look_up(own_node, own_word)
 
     context = own_node & HASH_MASK
@@ -460,24 +528,28 @@ def count_words(docs: DataFrame, held_col: str = "held") -> DataFrame:
     return docs.where(~F.col(held_col)).select("bytes").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def frequent_words(counts: DataFrame, tokens_per_shard: int = TOKENS_PER_SHARD) -> Frequent:
+def frequent_words(counts: DataFrame, tokens_per_shard: int = TOKENS_PER_SHARD, most_split: int = MOST_SPLIT) -> Frequent:
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    shards = int(max(8, -(-tokens // tokens_per_shard)))
     floor = tokens + distinct + 1
-    rows = counts.where(F.col("c") > tokens / HOT).collect()  # fewer than HOT by construction
-    masses = np.zeros(CLASSES)
-    for k, mass in counts.groupBy(F.pmod("word", F.lit(CLASSES)).alias("k")).agg(F.sum((F.col("c") + 1) / floor)).collect():
-        masses[k] = mass
-    shards = max(8, -(-tokens // tokens_per_shard))
-    return Frequent(np.array([r[0] for r in rows], dtype=np.uint64), np.array([r[1] for r in rows], dtype=float), tokens, distinct, masses, int(shards))
-
-
-def language_scores(docs: DataFrame, fold: int = 2, folds: int = 7, id_col: str = "doc_id", text_col: str = "text", discount: float = DISCOUNT) -> DataFrame:
+    least = min(tokens / COMMON, max(tokens / shards / 2, tokens / most_split))
+    split = counts.where(F.col("c") > least).toArrow()  # fewer than ``most_split`` by construction
+    words, times = split.column("word").to_numpy().astype(np.uint64), split.column("c").to_numpy().astype(float)
+    classes = int(parts_of(times, tokens / shards).max(initial=1))
+    masses = np.zeros(classes)
+    if classes > 1:
+        of_class = counts.groupBy(F.pmod("word", F.lit(classes)).alias("k")).agg(F.sum((F.col("c") + 1) / floor).alias("mass")).toArrow()
+        masses[of_class.column("k").to_numpy()] = of_class.column("mass").to_numpy()
+    return Frequent(words, times, tokens, distinct, masses, shards)
+
+
+def language_scores(docs: DataFrame, fold: int = 2, folds: int = 7, id_col: str = "doc_id", text_col: str = "text", discount: float = DISCOUNT, tokens_per_shard: int = TOKENS_PER_SHARD) -> DataFrame:
     """``(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score)`` per input row."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     marked = docs.select(F.col(id_col), (id_remainder(id_col, folds) == fold).alias("held"), utf8(text_col).alias("bytes"))
     counts = durable(count_words(marked))
-    frequent = frequent_words(counts)
+    frequent = frequent_words(counts, tokens_per_shard)
     shared = spark.sparkContext.broadcast(frequent)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
