@@ -7,14 +7,18 @@ its end is not reported. A candidate at offset 0 that spans the value is its typ
 Candidates inside an already confirmed medium are reported too, as embedded.
 
 Null values have no type and no media; empty values likewise. Overlapping
-candidates are all reported, ordered by offset. Values are read whole.
+candidates are all reported, ordered by offset and type. Repeated rows get equal results;
+an empty table gives an empty result. Values are read whole: end markers and block chains
+are found once for all candidates of a value, so many candidates do not read it many times.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -37,12 +41,46 @@ class Medium(NamedTuple):
     length: int
 
 
-def _png(b: memoryview, at: int) -> tuple[str, int] | None:
+class Value(bytes):
+    """A value with what its validators share: places of markers, and where chains of GIF blocks end."""
+
+    def places(self, marker: bytes) -> list[int]:
+        known = self.__dict__.setdefault("_places", {})
+        if marker not in known:
+            known[marker] = [m.start() for m in re.finditer(re.escape(marker), self)]
+        return known[marker]
+
+    def next(self, marker: bytes, at: int) -> int:
+        """The first place of a marker from ``at`` on, or -1."""
+        found = self.places(marker)
+        k = bisect_left(found, at)
+        return found[k] if k < len(found) else -1
+
+    def last(self, marker: bytes, at: int, end: int) -> int:
+        """The last place of a marker from ``at`` on and before ``end``, or -1."""
+        found = self.places(marker)
+        k = bisect_left(found, end)
+        return found[k - 1] if k and found[k - 1] >= at else -1
+
+    def after_blocks(self, at: int) -> int:
+        """The end of a chain of length-prefixed blocks; chains that meet are followed once."""
+        known, passed = self.__dict__.setdefault("_chains", {}), []
+        while at < len(self) and self[at] and at not in known:
+            passed.append(at)
+            at += self[at] + 1
+        end = known.get(at, at + 1)
+        known.update(dict.fromkeys(passed, end))
+        return end
+
+
+def _png(b: Value, at: int) -> tuple[str, int] | None:
     end = at + 8
     while end + 12 <= len(b):
         size, kind = struct.unpack_from(">I4s", b, end)
         stop = end + 12 + size
-        if stop > len(b) or zlib.crc32(b[end + 4 : stop - 4]) != struct.unpack_from(">I", b, stop - 4)[0]:
+        if end == at + 8 and (size, kind) != (13, b"IHDR"):
+            return None
+        if stop > len(b) or zlib.crc32(memoryview(b)[end + 4 : stop - 4]) != struct.unpack_from(">I", b, stop - 4)[0]:
             return None
         if kind == b"IEND":
             return "image/png", stop - at
@@ -50,7 +88,7 @@ def _png(b: memoryview, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _jpeg(b: memoryview, at: int) -> tuple[str, int] | None:
+def _jpeg(b: Value, at: int) -> tuple[str, int] | None:
     end = at + 2
     while end + 4 <= len(b):
         if b[end] != 0xFF:
@@ -60,36 +98,30 @@ def _jpeg(b: memoryview, at: int) -> tuple[str, int] | None:
             return None
         end += 2 + size
         if mark == 0xDA:  # entropy-coded data up to the end-of-image marker
-            stop = bytes(b[end:]).find(b"\xff\xd9")
-            return None if stop < 0 else ("image/jpeg", end + stop + 2 - at)
+            stop = b.next(b"\xff\xd9", end)
+            return None if stop < 0 else ("image/jpeg", stop + 2 - at)
     return None
 
 
-def _gif(b: memoryview, at: int) -> tuple[str, int] | None:
+def _gif(b: Value, at: int) -> tuple[str, int] | None:
     if at + 13 > len(b):
         return None
     flags = b[at + 10]
     end = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
-
-    def blocks(end: int) -> int:
-        while end < len(b) and b[end]:
-            end += b[end] + 1
-        return end + 1
-
     while end < len(b):
         if b[end] == 0x3B:
             return "image/gif", end + 1 - at
         if b[end] == 0x21:
-            end = blocks(end + 2)
+            end = b.after_blocks(end + 2)
         elif b[end] == 0x2C and end + 10 <= len(b):
             flags = b[end + 9]
-            end = blocks(end + 10 + (3 << (flags & 7) + 1 if flags & 0x80 else 0) + 1)
+            end = b.after_blocks(end + 10 + (3 << (flags & 7) + 1 if flags & 0x80 else 0) + 1)
         else:
             return None
     return None
 
 
-def _riff(b: memoryview, at: int) -> tuple[str, int] | None:
+def _riff(b: Value, at: int) -> tuple[str, int] | None:
     if at + 12 > len(b):
         return None
     size, form = struct.unpack_from("<I4s", b, at + 4)
@@ -106,14 +138,14 @@ def _riff(b: memoryview, at: int) -> tuple[str, int] | None:
     return (kind, stop - at) if end == stop else None
 
 
-def _bmp(b: memoryview, at: int) -> tuple[str, int] | None:
+def _bmp(b: Value, at: int) -> tuple[str, int] | None:
     if at + 26 > len(b):
         return None
     size, _, data, header = struct.unpack_from("<IIII", b, at + 2)
     return ("image/bmp", size) if header in (12, 40, 52, 56, 108, 124) and 14 + header <= data <= size <= len(b) - at else None
 
 
-def _gzip(b: memoryview, at: int) -> tuple[str, int] | None:
+def _gzip(b: Value, at: int) -> tuple[str, int] | None:
     flow = zlib.decompressobj(31)
     try:
         for k in range(at, len(b), 1 << 16):
@@ -125,27 +157,29 @@ def _gzip(b: memoryview, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _zip(b: memoryview, at: int) -> tuple[str, int] | None:
-    whole = bytes(b[at:])
-    end = whole.find(b"PK\x05\x06")
-    if end < 0 or end + 22 > len(whole):
+def _zip(b: Value, at: int) -> tuple[str, int] | None:
+    end = b.next(b"PK\x05\x06", at)
+    if end < 0 or end + 22 > len(b):
         return None
-    size, start, note = struct.unpack_from("<IIH", whole, end + 12)
-    if start + size != end or size and whole[start : start + 4] != b"PK\x01\x02" or end + 22 + note > len(whole):
+    size, start, note = struct.unpack_from("<IIH", b, end + 12)
+    if start + size != end - at or size and b[at + start : at + start + 4] != b"PK\x01\x02" or end + 22 + note > len(b):
         return None
-    return "application/zip", end + 22 + note
+    return "application/zip", end + 22 + note - at
 
 
-def _pdf(b: memoryview, at: int) -> tuple[str, int] | None:
-    whole = bytes(b[at:])
-    end = whole.find(b"%%EOF")
-    return ("application/pdf", end + 5) if end > 0 and whole.find(b"startxref", 0, end) > 0 else None
+def _pdf(b: Value, at: int) -> tuple[str, int] | None:
+    """Up to the last end marker before the next header: a file that was added to has several."""
+    following = b.next(b"%PDF-", at + 1)
+    end = b.last(b"%%EOF", at, len(b) if following < 0 else following)
+    return ("application/pdf", end + 5 - at) if end > 0 and b.last(b"startxref", at, end) >= 0 else None
 
 
-def _ogg(b: memoryview, at: int) -> tuple[str, int] | None:
-    """Pages up to the one that is flagged as the last; each page states its segments' sizes."""
+def _ogg(b: Value, at: int) -> tuple[str, int] | None:
+    """From a page that is flagged as the first up to one that is flagged as the last; each states its segments' sizes."""
     end = at
-    while end + 27 <= len(b) and bytes(b[end : end + 5]) == b"OggS\0":
+    while end + 27 <= len(b) and b[end : end + 5] == b"OggS\0":
+        if end == at and not b[end + 5] & 2:
+            return None
         last, count = b[end + 5] & 4, b[end + 26]
         end += 27 + count + sum(b[end + 27 : end + 27 + count])
         if end > len(b):
@@ -156,7 +190,7 @@ def _ogg(b: memoryview, at: int) -> tuple[str, int] | None:
 
 
 # Magic bytes and the validators of their formats.
-SIGNATURES: list[tuple[bytes, Callable[[memoryview, int], tuple[str, int] | None]]] = [
+SIGNATURES: list[tuple[bytes, Callable[[Value, int], tuple[str, int] | None]]] = [
     (b"\x89PNG\r\n\x1a\n", _png),
     (b"\xff\xd8\xff", _jpeg),
     (b"GIF87a", _gif),
@@ -183,7 +217,7 @@ def sniff(value: bytes | None) -> list[Medium]:
     """All confirmed media of a value, by offset; the first at offset 0 may be the value itself."""
     if not value:
         return []
-    view, out = memoryview(value), []
+    view, out = Value(value), []
     for last, (size, k) in _automaton().iter(value.decode("latin-1")):
         at = last + 1 - size
         if found := SIGNATURES[k][1](view, at):

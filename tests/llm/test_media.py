@@ -2,8 +2,11 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import zipfile
 import zlib
+from collections import Counter
+from itertools import pairwise
 
 from quillspark.llm.media import op5_media, pad, read_wav, sniff, sniff_media, to_wav
 
@@ -36,6 +39,24 @@ def test_each_format_is_confirmed_and_damage_is_not():
     assert sniff(bytes(broken)) == [] and sniff(None) == sniff(b"") == sniff(b"BM") == []
 
 
+def test_a_pdf_that_was_added_to_is_whole_and_two_in_a_row_are_two():
+    one = b"%PDF-1.4\nobj\nstartxref\n0\n%%EOF\n"
+    added = one + b"more\nstartxref\n9\n%%EOF"
+    assert [(m.offset, m.length) for m in sniff(added)] == [(0, len(added))]
+    assert [(m.offset, m.length) for m in sniff(one + added)] == [(0, len(one) - 1), (len(one), len(added))]
+    assert sniff(b"%PDF-1.4 %%EOF") == []
+
+
+def test_time_is_linear_in_the_candidates():
+    for unit in (b"%PDF-", b"GIF89a123456!!x", b"\xff\xd8\xff\xda\x00\x02", b"PK\x03\x04", b"OggS\0" + b"\0" * 21 + b"\1\1x", b"%PDF- startxref %%EOF", b"\x89PNG\r\n\x1a\n\0\0\xff\0IDAT"):
+        took = []
+        for n in (10_000, 20_000, 40_000):
+            began = time.process_time()
+            sniff(unit * n)
+            took.append(time.process_time() - began)
+        assert took[2] < 3 * took[1] + 0.2 and took[2] < 3, (unit, took)
+
+
 def test_declared_types_are_corrected_and_media_carved(spark):
     nested = to_wav(pad(b"x" * 10 + png()))
     rows = [(1, "image/jpeg", png()), (2, "text/plain", b"plain"), (3, None, None), (4, "audio/wav", nested), (None, "a/b", b"")]
@@ -53,6 +74,9 @@ def test_round_trip_of_every_text(spark, sf_dir, odd_docs, make_docs):
             raw = (texts[r.doc_id] or "").encode()
             padded = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
             assert (r.n_bytes, r.payload_bytes) == (len(raw), len(padded)) and r.payload_bytes % 576 == 0
+            counts = Counter(padded)
+            plain = f"n={len(padded)} sum={sum(padded)} min={min(padded)} max={max(padded)} distinct={len(counts)} steps={sum(abs(a - b) for a, b in pairwise(padded))}"
+            assert r.feature.startswith(f"audio/wav {plain} embedded=")
             assert r.payload_sha256 == hashlib.sha256(padded).hexdigest() and r.tail_crc32 == zlib.crc32(padded[-32:])
             assert read_wav(to_wav(padded)) == padded and r.media_sha256 == hashlib.sha256(to_wav(padded)).hexdigest() and r.media_bytes == len(to_wav(padded))
     same = [r for r in op5_media(odd_docs).collect() if r.doc_id in (4, 5)]
