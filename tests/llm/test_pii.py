@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -45,21 +46,37 @@ def test_base_spans_equal_brute_force(spark, sf_dir, make_docs):
 
 
 def test_added_kinds_need_checksums_or_context(make_docs):
-    texts = ["GB82WEST12345698765432 ok", "DE89 3704 0044 0532 0130 00.", "GB82WEST12345698765433", "SSN: 123-45-6789", "code 123-45-6789", "social security 000-45-6789"]
+    token = "0a1b2c3d4e5f60718293"
+    texts = [
+        "GB82WEST12345698765432 ok", "DE89 3704 0044 0532 0130 00.", "GB82WEST12345698765433", "SSN: 123-45-6789", "code 123-45-6789", "social security 000-45-6789",
+        "123-45-6789 (ssn)", "born 1980-02-30, 31.12.1979", "born on 1980-13-01", "birth: none. " + "x " * 30 + "1980-01-02", f'Token = "{token}"', f"keys: {token}", "secret abcdefghijklmnopqrstuvwx",
+    ]
     rows = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii_spans(make_docs(list(enumerate(texts))).select("doc_id", "text")).collect()}
-    assert rows == {0: [("iban", 0, 22)], 1: [("iban", 0, 27)], 2: [], 3: [("ssn", 5, 16)], 4: [], 5: []}
+    assert rows == {0: [("iban", 0, 22)], 1: [("iban", 0, 27)], 2: [], 3: [("ssn", 5, 16)], 4: [], 5: [], 6: [("ssn", 0, 11)], 7: [("birth", 5, 15)], 8: [], 9: [], 10: [("secret", 9, 29)], 11: [], 12: []}
 
 
 def test_context_raises_the_score(make_docs):
-    rows = pii_spans(make_docs([(1, "call +33 1 23 45 67 89"), (2, "it is +33 1 23 45 67 89")]).select("doc_id", "text")).collect()
-    score = {r.doc_id: r.spans[0].score for r in rows}
-    assert score[1] > score[2]
+    texts = {1: "call +33 1 23 45 67 89", 2: "it is +33 1 23 45 67 89", 3: "+33 1 23 45 67 89 (mobile)", 4: "mail a@b.c", 5: "a@b.c", 6: "server 1.2.3.4", 7: "v 1.2.3.4"}
+    rows = op8_pii(make_docs(list(texts.items()))).collect()
+    score = {r.doc_id: r.score for r in rows}
+    assert score[1] == score[3] > score[2] and score[4] > score[5] and score[6] > score[7]
 
 
 def test_redaction_covers_unions_of_spans(make_docs):
-    docs = make_docs([(1, "é a@1.2.3.4 b +12 345 678 9012 c"), (2, "none"), (3, None), (4, "x@y.z")]).select("doc_id", "text")
+    docs = make_docs([(1, "é a@1.2.3.4 b +12 345 678 9012 c"), (2, "none"), (3, None), (4, "x@y.z"), (5, "😀1.2.3.4é1.2.3.4😀")]).select("doc_id", "text")
     got = {r.doc_id: r.text for r in redact(pii_spans(docs)).collect()}
-    assert got == {1: "é <email> b <phone> c", 2: "none", 3: None, 4: "<email>"}
+    assert got == {1: "é <email> b <phone> c", 2: "none", 3: None, 4: "<email>", 5: "😀<ip>é<ip>😀"}
+
+
+def test_time_is_linear_in_a_text_of_spans(make_docs):
+    took = []
+    for n in (1_000, 10_000, 20_000, 40_000):  # the first warms up
+        docs = make_docs([(1, "é me@mail.de 10.0.0.1, " * n)]).select("doc_id", "text")
+        began = time.time()
+        row = redact(pii_spans(docs)).first()
+        took.append(time.time() - began)
+        assert row.text == "é <email> <ip>, " * n and len(row.spans) == 2 * n
+    assert took[3] < 3 * took[2] + 1 and took[3] < 15, took
 
 
 def test_odd_rows(odd_docs, make_docs):

@@ -29,7 +29,8 @@ def test_run_equals_brute_force(spark, sf_dir):
 
     def redacted(text):
         out, at = "", 0
-        for kind, a, b in [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in pii_brute(text).split(",") if s)]:
+        spans = [(int(a), int(b), k) for k, a, b in (s.split(":") for s in pii_brute(text).split(",") if s)] + secrets(text)
+        for a, b, kind in sorted(spans, key=lambda s: s[0]):
             if a >= at:
                 out, at = out + text[at:a] + f"<{kind}>", b
             else:
@@ -45,6 +46,18 @@ def test_run_equals_brute_force(spark, sf_dir):
     assert got == want and len(got) < docs.count()
 
 
+def secrets(text):
+    """Long tokens of letters and digits with a word for a secret within 40 characters; the gap ends at the next such token."""
+    found, out = list(re.finditer("(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", text)), []
+    word = re.compile("(?:^|[^a-z])(?:token|secret|password|passwd|api.?key|access.?key|bearer)")
+    for k, m in enumerate(found):
+        before = text[found[k - 1].end() if k else 0 : m.start()][-40:].lower()
+        after = text[m.end() : found[k + 1].start() if k + 1 < len(found) else None][:40].lower()
+        if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and (word.search(before) or word.search(after)):
+            out.append((m.start(), m.end(), "secret"))
+    return out
+
+
 def one_of_each_group(rows):
     """All pairs, linked by fingerprint or by exact sets of five-word shingles; the smallest id of each group."""
     sets = [{tuple(t.lower().split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for _, t in rows]
