@@ -6,13 +6,15 @@ their broadcast has a fixed size. Rules are a small list; the longest that fits
 decides, and the model decides where none fits.
 
 A null URL, or one without "://", has an empty host and path and no rule; the model
-judges it by its bias alone. Repeated rows are judged alike. URLs of any length
+judges it by its bias alone. Repeated rows are judged alike; an empty table gives an
+empty result. Of rules of equal length the first in the list counts. URLs of any length
 are read whole.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -22,18 +24,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
 SIZES = (3, 4, 5)
 MAX_LABELLED = 20_000
 
 # Host and path prefixes with their verdicts.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
-# Hosts and paths of labelled URLs, unwanted (1) and wanted (0).
-_UNWANTED = "cheap-pills spam-farm casino-win casino-bonus free-money best-viagra hot-singles win-prize payday-loans fake-watches click-bait ads-track ad-server adult-cams pill-shop spam-links lottery-win crypto-doubler".split()
-_WANTED = "news library university museum weather recipes garden travel history science music sports health city thering ouston theran ththand inghere tionsh blether reoned edwhan shering hatorn anthis".split()
-_SHAPES = ["http://www.{}.example.com/en/825", "https://{}.example.org/fr/25#top", "https://blog.{}.example.net/de/676/", "http://m.{}.example.org/es/148.html", "https://{}.example.com/en/450?page=2&ref=x"]
-LABELLED = [(shape.format(name), label) for label, names in ((1, _UNWANTED), (0, _WANTED)) for name in names for shape in _SHAPES]
+# Words that mark unwanted and wanted addresses, common English words, and words that both kinds use.
+UNWANTED = "casino poker slots jackpot lottery betting viagra cialis pills pharmacy steroids payday loans escort xxx porn adult cams hookup torrent warez crack keygen replica forex doubler giveaway prize spam clickbait popunder adserver adtrack affiliate malware phishing".split()
+WANTED = "news library museum university school science history weather recipes garden travel music sports health council archive journal forum wiki docs books film nature physics market bakery hotel church village river mountain radio theatre kitchen poetry law".split()
+COMMON = "action answer another brother building century children company country different during education example family father general government group history however information interest language letter mother nation nothing number other picture place point position question school several something state station street system than thing though through together water where which without woman world writing young".split()
+NEUTRAL = "my the best top online world free daily club zone center web site home info shop store live win farm cheap".split()
+ENDINGS = ["com", "org", "net", "info", "de", "fr", "co.uk", "io"]
+#: Shapes of addresses: host, ending, a path word and a number.
+SHAPES = [
+    "http://{h}.{e}/", "https://www.{h}.{e}/{p}", "https://{h}.{e}/{p}/{n}", "http://m.{h}.{e}/index.php?id={n}", "https://{h}.{e}/{p}.html#{p}", "https://shop.{h}.{e}",
+    "http://{h}.{e}:8080/{n}/{p}", "https://{h}.{e}/{n}/{p}-{n}.htm", "https://en.{h}.{e}/{p}/?q={n}", "http://{h}{n}.{e}/{p}/{p}/",
+]
+
+
+def labelled_by_rule(shapes: list[str] = SHAPES, per_word: int = 8, seed: int = 7) -> list[tuple[str, int]]:
+    """A small labelled table: each word in several hosts and in a path, and as many made-up names that mean nothing."""
+    rng, out = random.Random(seed), []
+
+    def name() -> str:
+        return "".join(rng.choice("bcdfghklmnprstvz") + rng.choice(["a", "e", "i", "o", "u", "ou", "an", "er"]) for _ in range(rng.randint(2, 4)))
+
+    def add(host: str, path: str, label: int, shapes: list[str] = shapes) -> None:
+        out.append((rng.choice(shapes).format(h=host, e=rng.choice(ENDINGS), p=path, n=rng.randint(1, 9999)), label))
+
+    for label, words in ((1, UNWANTED), (0, WANTED)):
+        for word in words:
+            for _ in range(per_word):
+                near = rng.choice(NEUTRAL)
+                add(rng.choice([word, f"{near}-{word}", f"{word}-{near}", f"{near}{word}", f"{word}{near}", f"{word}-{rng.choice(words)}"]), rng.choice([name(), near]), label)
+            for path in (word, f"{word}-{name()}", f"{rng.choice(NEUTRAL)}-{word}", f"{name()}/{word}"):
+                add(name(), path, label, [x for x in shapes if "{p}" in x])
+            add(rng.choice([name(), f"{name()}-{rng.choice(NEUTRAL)}"]), name(), 0)
+            add(rng.choice([name(), rng.choice(NEUTRAL)]), rng.choice(NEUTRAL), 0)
+    for word in COMMON:
+        for host in (word, f"{word}{rng.choice(COMMON)}", f"{rng.choice(COMMON)[:-1]}{word[1:]}"):
+            add(host, rng.choice(COMMON), 0)
+    return out
+
+
+LABELLED = labelled_by_rule()
 
 
 class Url(NamedTuple):
@@ -79,7 +115,7 @@ def grams(url: Url) -> np.ndarray:
 class UrlModel:
     """Logistic regression with unit-length inputs, fitted by gradient descent with momentum."""
 
-    def __init__(self, labelled: list[tuple[str, int]], ridge: float = 1e-4, steps: int = 400, rate: float = 4.0):
+    def __init__(self, labelled: list[tuple[str, int]], ridge: float = 1e-5, steps: int = 400, rate: float = 10.0):
         rows = [grams(split_url(u)) for u, _ in labelled]
         y = np.array([label for _, label in labelled], dtype=float)
         self.weights, self.bias = np.zeros(BUCKETS), 0.0
