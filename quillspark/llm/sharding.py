@@ -6,21 +6,24 @@ shard j's quota is ``n // k`` rows, one more for the first ``n % k`` shards.
 
 Unlinked documents have no preference; they fill the quotas at the end. Linked
 documents start round robin and then, round by round, ask to move to a home of
-their hub. A hub's homes are the shards that could hold most of its members
-(those it has there and those that still fit), as many as its size needs. A
-request from shard i to shard j is granted within j's free quota plus the
-requests from j to i (a swap), so no shard ever exceeds its quota. A round is a
-grouping by hub and shard, one join of documents with their hub's homes, and a
-salted ranking of the requests; only per-shard totals reach the driver. Rounds are
-written out and end when no request is granted.
+their hub. A hub's homes are as many shards as its size needs, those that its members fill
+furthest less the shard's price. A shard that more members call home than its quota
+holds becomes dearer each round, so hubs spread over the shards. Requests are granted as
+far as they form swaps, longer cycles, or chains that end in free room, so no
+shard ever exceeds its quota. A round is a grouping by hub and shard, one join of
+documents with their hub's homes, and a salted ranking of the requests; only per-shard
+totals reach the driver. Rounds are written out. They end when the share of equal pairs
+kept together has not grown for ``PATIENCE`` rounds, and the best round counts.
 
 Null texts are linked as equal texts, empty ones likewise. Repeated ids are separate
-rows. An empty table gives an empty result. Ties between shards break by a hash
-of hub and shard.
+rows. An empty table gives an empty result. Near ties between shards break by a hash
+of hub and shard (``NOISE``).
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,19 +31,22 @@ from pyspark.sql.window import Window
 from quillspark.operators.durable import durable, release
 
 ROWS_PER_BUCKET = 20_000
+NOISE, PRICE_STEP = 0.1, 0.1
+PATIENCE, LEAST_GAIN = 4, 0.002
 
 
 def _longs(values: list[int]) -> Column:
     return F.array(*[F.lit(v).cast("long") for v in values])
 
 
-def numbered(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: str, out: str, rows: int | None = None) -> DataFrame:
     """Number the rows of each key from 0 without gaps, with no task that sees more than a bucket of a key.
 
     Rows are ranked inside (key, bucket), buckets being hashes of ``order`` (which
     must be unique); the small table of bucket sizes gives each bucket its offset.
+    ``rows`` is their number where it is known.
     """
-    buckets = max(1, df.count() // ROWS_PER_BUCKET)
+    buckets = max(1, (df.count() if rows is None else rows) // ROWS_PER_BUCKET)
     salted = df.withColumn("_bucket", F.pmod(F.xxhash64(order), F.lit(buckets)))
     sizes = salted.groupBy(*keys, "_bucket").count()
     before = F.sum("count").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
@@ -56,68 +62,126 @@ def quotas(rows: int, shards: int) -> list[int]:
     return [rows // shards + (j < rows % shards) for j in range(shards)]
 
 
-def propagate(members: DataFrame, quota: list[int], rounds: int = 8) -> DataFrame:
-    """Shards for linked rows. ``members``: ``(rid, hub, shard)`` within the quotas; returned in the same form."""
-    shards = len(quota)
-    current, owned = members, False
-    for turn in range(rounds):
-        per_shard = {r[0]: r[1] for r in current.groupBy("shard").count().collect()}
-        room = [quota[j] - per_shard.get(j, 0) for j in range(shards)]
-        spread = current.groupBy("hub", "shard").agg(F.count("*").alias("here"))
-        hubs = spread.groupBy("hub").agg(F.sum("here").alias("total"), F.map_from_entries(F.collect_list(F.struct("shard", "here"))).alias("spread")).where(F.size("spread") > 1)
-        fits = (
-            f"transform(sequence(0, {shards - 1}), j -> struct("
-            f"-least(total, coalesce(spread[j], 0) + room[j]) as fits, -coalesce(spread[j], 0) as here, xxhash64(hub, j, {turn}) as tie, j as shard))"
-        )
-        homes = (
-            hubs.withColumn("room", _longs(room))
-            .withColumn("ranked", F.array_sort(F.expr(fits)))
-            # as many leading shards as hold the whole hub between them
-            .withColumn("need", F.expr("aggregate(ranked, struct(0L as held, 0 as n), (a, s) -> if(a.held >= total, a, struct(a.held - s.fits as held, a.n + 1 as n)), a -> a.n)"))
-            .select("hub", "room", F.expr("transform(slice(ranked, 1, need), s -> s.shard)").alias("homes"))
-            # a full home can only be entered by a swap, so it is asked only where all are full
-            .select("hub", "homes", F.expr("filter(homes, s -> room[s] > 0)").alias("open"))
-            .select("hub", "homes", F.expr("if(size(open) > 0, open, homes)").alias("open"))
+class Round(NamedTuple):
+    """``pairs`` of rows of one hub, those ``kept`` in one shard before the round, rows ``moved`` by it."""
+
+    pairs: float
+    kept: float
+    moved: int
+
+
+def edges(placed: DataFrame) -> DataFrame:
+    """One row ``(pairs, kept)`` for ``(hub, shard)`` rows: pairs of one hub, and those in one shard; the rest are cut edges."""
+    spread = placed.groupBy("hub", "shard").agg(F.count("*").cast("double").alias("here"))
+    hubs = spread.groupBy("hub").agg(F.sum("here").alias("total"), F.sum(F.expr("here * (here - 1) / 2")).alias("kept"))
+    return hubs.agg(F.coalesce(F.sum(F.expr("total * (total - 1) / 2")), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("kept"), F.lit(0.0)).alias("kept"))
+
+
+def _homes(current: DataFrame, quota: list[int], price: list[float]) -> DataFrame:
+    """``(hub, total, kept, homes)``: the shards that suit each hub best, as many as its size needs."""
+    spread = current.groupBy("hub", "shard").agg(F.count("*").alias("here"))
+    hubs = spread.groupBy("hub").agg(F.sum("here").alias("total"), F.map_from_entries(F.collect_list(F.struct("shard", "here"))).alias("spread"))
+    score = f"coalesce(spread[j], 0) * need / total + {NOISE} * pmod(xxhash64(hub, j), 1048576) / 1048576 - price[j]"
+    return (
+        hubs.withColumn("price", F.array(*[F.lit(float(p)) for p in price]))
+        .withColumn("need", F.expr(f"cast(least({len(quota)}, ceil(total / {max(1, max(quota))})) as int)"))
+        .withColumn("ranked", F.expr(f"array_sort(transform(sequence(0, {len(quota) - 1}), j -> struct(-({score}) as cost, j as shard)))"))
+        .select(
+            "hub", "total", F.expr("aggregate(map_values(spread), 0.0d, (a, n) -> a + n * (n - 1.0d) / 2)").alias("kept"),
+            F.expr("transform(slice(ranked, 1, need), s -> s.shard)").alias("homes"),
         )
-        homes = durable(homes)
-        asked = (
-            current.join(homes, "hub").where(~F.expr("array_contains(homes, shard)"))
-            .select("rid", "shard", F.expr(f"element_at(open, cast(pmod(xxhash64(rid, {turn}), size(open)) as int) + 1)").alias("target"))
+    )
+
+
+def propagate(members: DataFrame, quota: list[int]) -> tuple[DataFrame, list[Round]]:
+    """Shards for linked rows, and what each round did. ``members``: ``(rid, hub, shard)`` within the quotas; returned in the same form."""
+    shards, price, history = len(quota), [0.0] * len(quota), []
+    held = {r[0]: r[1] for r in members.groupBy("shard").count().collect()}
+    pairs = members.groupBy("hub").agg(F.count("*").cast("double").alias("n")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) / 2")), F.lit(0.0))).first()[0]
+    best, best_kept, best_turn, current = members, -1.0, 0, members
+    for turn in range(1_000_000):
+        homes = durable(_homes(current, quota, price))
+        sums = homes.agg(F.coalesce(F.sum("kept"), F.lit(0.0)), *[F.coalesce(F.sum(F.when(F.array_contains("homes", j), F.col("total") / F.size("homes"))), F.lit(0.0)) for j in range(shards)]).first()
+        if sums[0] > best_kept + LEAST_GAIN * pairs or turn == 0:
+            if best is not members and best is not current:
+                release(best)
+            best, best_kept, best_turn = current, sums[0], turn
+        if sums[0] >= pairs or turn - best_turn >= PATIENCE:
+            history.append(Round(pairs, sums[0], 0))
+            release(homes)
+            break
+        price = [p + PRICE_STEP * (demand / max(1, q) - 1) for p, demand, q in zip(price, sums[1:], quota)]
+        asked = durable(
+            current.join(homes.select("hub", "homes"), "hub").where(~F.expr("array_contains(homes, shard)"))
+            .select("rid", "shard", F.expr(f"element_at(homes, cast(pmod(xxhash64(rid, {turn}), size(homes)) as int) + 1)").alias("target"))
         )
-        asked = durable(asked)
         release(homes)
         wanted = {(r[0], r[1]): r[2] for r in asked.groupBy("shard", "target").count().collect()}
-        granted = _grants(wanted, room)
-        if not any(granted.values()):
-            release(asked)
-            break
-        limit = F.create_map(*[x for (i, j), n in sorted(granted.items()) if n for x in (F.lit(i * shards + j), F.lit(n).cast("long"))])
-        moves = numbered(asked, ["shard", "target"], "rid", "nth").where(F.col("nth") < F.coalesce(limit[F.col("shard") * shards + F.col("target")], F.lit(0)))
-        moved = durable(current.join(moves.select("rid", "target"), "rid", "left").select("rid", "hub", F.coalesce("target", "shard").alias("shard")))
+        granted = _grants(wanted, [q - held.get(j, 0) for j, q in enumerate(quota)])
+        history.append(Round(pairs, sums[0], sum(granted.values())))
+        if granted:
+            limit = F.create_map(*[x for (i, j), n in sorted(granted.items()) for x in (F.lit(i * shards + j), F.lit(n).cast("long"))])
+            moves = numbered(asked, ["shard", "target"], "rid", "nth", sum(wanted.values())).where(F.col("nth") < F.coalesce(limit[F.col("shard") * shards + F.col("target")], F.lit(0)))
+            moved = durable(current.join(moves.select("rid", "target"), "rid", "left").select("rid", "hub", F.coalesce("target", "shard").alias("shard")))
+            if current is not members and current is not best:
+                release(current)
+            current = moved
+            for (i, j), n in granted.items():
+                held[i], held[j] = held.get(i, 0) - n, held.get(j, 0) + n
         release(asked)
-        if owned:
-            release(current)
-        current, owned = moved, True
-    return current
+    if current is not best and current is not members:
+        release(current)
+    return best, history
 
 
 def _grants(wanted: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
-    """How many requests from each shard to each other are granted: all swaps, then free room in proportion."""
-    out = {}
-    rest: dict[int, int] = {}
-    for (i, j), n in wanted.items():
-        out[i, j] = min(n, wanted.get((j, i), 0))
-        rest[j] = rest.get(j, 0) + n - out[i, j]
-    left = list(room)
+    """How many requests from each shard to each other are granted: swaps, then longer cycles until none is left.
+
+    Free room is a node of its own: a shard with room leads to it, and it leads to every
+    shard, as any may lose rows. So a chain of moves into free room is a cycle too.
+    """
+    free = len(room)
+    left: list[dict[int, int]] = [{} for _ in range(free + 1)]
+    out: dict[tuple[int, int], int] = {}
+
+    def grant(i: int, j: int, n: int) -> None:
+        left[i][j] -= n
+        if not left[i][j]:
+            del left[i][j]
+        if free not in (i, j):
+            out[i, j] = out.get((i, j), 0) + n
+
     for (i, j), n in sorted(wanted.items()):
-        open_ = n - out[i, j]
-        share = min(open_, left[j], -(-room[j] * open_ // rest[j]) if rest[j] else 0)
-        out[i, j] += max(0, share)
-        left[j] -= max(0, share)
+        if n:
+            left[i][j] = n
+    for i, j in sorted(wanted):
+        if i < j and i in left[j] and j in left[i]:
+            n = min(left[i][j], left[j][i])
+            grant(i, j, n)
+            grant(j, i, n)
+    for j, n in enumerate(room):
+        if n > 0:
+            left[j][free] = n
+    left[free] = dict.fromkeys(range(free), sum(wanted.values()) + 1)
+    closed: set[int] = set()  # nodes from which no cycle goes out
+    for start in range(free):
+        path = [] if start in closed else [start]
+        while path:
+            onward = next((j for j in left[path[-1]] if j not in closed), None)
+            if onward is None:
+                closed.add(path.pop())
+            elif onward in path:
+                cycle = [*path[path.index(onward) :], onward]
+                n = min(left[i][j] for i, j in zip(cycle, cycle[1:]))
+                for i, j in zip(cycle, cycle[1:]):
+                    grant(i, j, n)
+                path = path[: path.index(onward) + 1]
+            else:
+                path.append(onward)
     return out
 
 
-def shard_rows(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", rounds: int = 8) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, size, text_crc32, shard, slot)`` per row: shard sizes differ by one row at most, slots have no gaps."""
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     base = durable(
@@ -131,7 +195,10 @@ def shard_rows(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_c
     groups = durable(base.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1").select("hub"))  # written, so that a skewed join can split
     linked = numbered(base.join(groups, "hub").select("rid", "hub"), [], "rid", "nth") if rows else base.select("rid", "hub", F.lit(0).alias("nth"))
     start = durable(linked.select("rid", "hub", (F.col("nth") % shards).cast("int").alias("shard")))
-    settled = durable(propagate(start, quota, rounds).select("rid", "shard"))
+    placed_links, _ = propagate(start, quota)
+    settled = durable(placed_links.select("rid", "shard"))
+    for done in (placed_links, start, groups):
+        release(done)
     taken = {r[0]: r[1] for r in settled.groupBy("shard").count().collect()}
     bounds, total = [], 0
     for j in range(shards):
@@ -139,7 +206,7 @@ def shard_rows(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_c
         bounds.append(total)
     free = numbered(base.join(settled, "rid", "left_anti").select("rid"), [], "rid", "nth")
     filled = free.withColumn("bounds", _longs(bounds)).select("rid", F.expr("size(filter(bounds, b -> b <= nth))").alias("shard"))
-    placed = numbered(durable(settled.unionByName(filled)), ["shard"], "rid", "slot")
+    placed = numbered(durable(settled.unionByName(filled)), ["shard"], "rid", "slot", rows)
     return base.join(placed, "rid").select(id_col, "size", "text_crc32", "shard", "slot")
 
 

@@ -1,9 +1,11 @@
+import random
 import zlib
 from collections import Counter
+from functools import cache
 
 import pytest
 
-from quillspark.llm.sharding import _grants, op1_sharding, quotas, shard_rows
+from quillspark.llm.sharding import _grants, edges, op1_sharding, propagate, quotas, shard_rows
 
 
 def check(rows, texts, shards):
@@ -46,11 +48,60 @@ def test_odd_rows_and_empty_table(odd_docs, make_docs):
     assert op1_sharding(make_docs([])).collect() == []
 
 
-@pytest.mark.parametrize("wanted,room", [({(0, 1): 5, (1, 0): 3}, [0, 1]), ({(0, 2): 4, (1, 2): 4}, [9, 9, 3])])
+@pytest.mark.parametrize("wanted,room", [({(0, 1): 5, (1, 0): 3}, [0, 1]), ({(0, 2): 4, (1, 2): 4}, [9, 9, 3]), ({(0, 1): 5, (1, 2): 4, (2, 0): 6}, [0, 0, 0]), ({(0, 1): 5, (1, 2): 4}, [0, 0, 7]), ({(0, 1): 2}, [0, 0])])
 def test_grants_never_exceed_room(wanted, room):
     got = _grants(wanted, room)
     for j, free in enumerate(room):
         entering = sum(n for (a, b), n in got.items() if b == j)
         leaving = sum(n for (a, b), n in got.items() if a == j)
         assert entering - leaving <= free
-    assert all(0 <= got[k] <= wanted[k] for k in wanted)
+    assert all(0 < n <= wanted[k] for k, n in got.items())
+    assert sum(got.values()) == {5: 7, 21: 3, 0: 12 if len(wanted) == 3 else 0, 1: 7, 7: 8}[sum(room)]
+
+
+def kept_share(spark, sizes, free, shards):
+    """Propagation from a round-robin start over groups of the given sizes beside unlinked rows."""
+    hubs = [h for h, n in enumerate(sizes) for _ in range(n)]
+    random.Random(3).shuffle(hubs)
+    members = spark.createDataFrame([(k, h, k % shards) for k, h in enumerate(hubs)], "rid long, hub long, shard int")
+    quota = quotas(len(hubs) + free, shards)
+    placed, history = propagate(members, quota)
+    held = Counter(r.shard for r in placed.collect())
+    assert sum(held.values()) == len(hubs) and all(n <= quota[j] for j, n in held.items())
+    assert placed.select("rid", "hub").exceptAll(members.select("rid", "hub")).count() == 0
+    row = edges(placed).first()
+    assert row.pairs == sum(n * (n - 1) / 2 for n in sizes) == history[0].pairs and row.kept >= max(r.kept for r in history) - 0.002 * row.pairs
+    return row.kept / row.pairs, history
+
+
+@pytest.mark.parametrize("sizes,free,least", [([2] * 1500, 0, 0.95), ([50] * 40, 0, 0.6), ([300] * 6, 0, 0.25), ([200] + [3] * 300, 100, 0.45)])
+def test_tables_of_copies_keep_their_pairs_together(spark, sizes, free, least):
+    """Also with no unlinked row and so no free room; a group of 300 can keep 0.6 of its pairs in shards of 180."""
+    share, history = kept_share(spark, sizes, free, 10)
+    assert share >= least, (share, len(history))
+    assert history[0].kept / history[0].pairs < 0.2  # the round-robin start keeps few
+
+
+@cache
+def most_kept(sizes, room):
+    """The most pairs that any placement keeps: groups in turn, all ways to deal each over the shards."""
+    if not sizes:
+        return 0
+
+    def deals(n, k):
+        if k == len(room):
+            if n == 0:
+                yield ()
+            return
+        for a in range(min(n, room[k]) + 1):
+            for rest in deals(n - a, k + 1):
+                yield (a, *rest)
+
+    return max(sum(a * (a - 1) // 2 for a in d) + most_kept(sizes[1:], tuple(r - a for r, a in zip(room, d))) for d in deals(sizes[0], 0))
+
+
+@pytest.mark.parametrize("sizes,free", [((2, 2, 2, 3), 0), ((4, 3, 2), 3), ((6, 2, 2, 2), 0)])
+def test_small_graphs_against_all_placements(spark, sizes, free):
+    share, _ = kept_share(spark, sizes, free, 3)
+    most = most_kept(sizes, tuple(quotas(sum(sizes) + free, 3))) / sum(n * (n - 1) / 2 for n in sizes)
+    assert share <= most + 1e-9 and share >= 0.5 * most, (share, most)
