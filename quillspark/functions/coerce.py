@@ -26,10 +26,16 @@ def flag(value: Column) -> Column:
 
 
 def non_negative_integer(value: Column) -> Column:
-    """Numeric text truncated toward zero; 0 for anything negative, unparsable or not finite."""
-    raw = value.cast("string")
+    """Numeric text truncated toward zero; 0 for anything negative, unparsable or not finite.
+
+    Hexadecimal, octal and binary literals count too. Numbers beyond a long become the largest long.
+    """
+    raw, most = value.cast("string"), F.lit((1 << 63) - 1)
     number = F.when(raw.rlike(NUMBER), F.trim(raw).try_cast("double"))
-    return F.coalesce(F.when(number >= 0, number.try_cast("bigint")), F.lit(0).cast("bigint"))
+    bare = F.lower(F.trim(raw))
+    coded = F.coalesce(*[F.when(bare.rlike(f"^0{mark}{digits}+$"), F.conv(F.substring(bare, 3, 1 << 20), base, 10).try_cast("decimal(20,0)")) for mark, digits, base in (("x", "[0-9a-f]", 16), ("o", "[0-7]", 8), ("b", "[01]", 2))])
+    plain = F.when((number >= 2.0**63) & (number < float("inf")), most).when((number >= 0) & (number < 2.0**63), number.try_cast("bigint"))
+    return F.coalesce(F.when(coded.isNotNull(), F.least(coded, most.cast("decimal(20,0)")).cast("bigint")), plain, F.lit(0).cast("bigint"))
 
 
 def iso_utc(timestamp: Column) -> Column:

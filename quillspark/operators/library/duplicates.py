@@ -9,9 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillspark.operators.components import connected_components
+from quillspark.operators.durable import durable
+from quillspark.operators.ranking import running_sum, shifted
 
 PIVOTS_MOST = 256
 CELL_ROWS = 4_000
@@ -23,14 +24,25 @@ def _units(vectors: pd.Series) -> np.ndarray:
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = 0) -> DataFrame:
-    """``(a, b, cosine)`` with a < b for all pairs at or above the threshold; exact.
+    """``(a, b, cosine)`` with a < b for all pairs at or above the threshold; exact."""
+    return _compared(vectors, threshold, id_col, vec_col, pivots, spanning=False)
+
+
+def similarity_links(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = 0) -> DataFrame:
+    """``(a, b)`` that connect what the pairs at or above the threshold connect: a spanning star per block, not all pairs."""
+    return _compared(vectors, threshold, id_col, vec_col, pivots, spanning=True).select("a", "b")
+
+
+def _blocks(vectors: DataFrame, threshold: float, id_col: str, vec_col: str, pivots: int) -> DataFrame | None:
+    """``(cell, split, part, at_home, id, v)``: groups of at most ``CELL_ROWS`` residents of a cell and as many visitors; null without vectors.
 
     Pivots, a bounded sample, cut the sphere into cells. A vector lives in its
     nearest pivot's cell and visits every cell that could hold a partner: by the
     triangle inequality on angles, a cell whose pivot is at most twice the threshold
-    angle farther than its own. Crowded cells are split by hash, visitors going to
-    every split. A high threshold keeps visits few; a low one costs up to one visit per
-    cell. Null vectors, and vectors of length zero, have no pairs.
+    angle farther than its own. Residents of a cell are split by hash, and so are its visitors (its
+    own residents among them); each split meets each part in a group of its own. A high
+    threshold keeps visits few; a low one costs up to one visit per cell. Null vectors,
+    and vectors of length zero, have no pairs.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     rows = rows.where("id is not null and v is not null and exists(v, x -> x <> 0)")
@@ -38,7 +50,7 @@ def cosine_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", v
     wanted = min(PIVOTS_MOST, pivots or max(1, int(math.sqrt(total / 50))))
     sample = [r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(wanted).select("v").collect()]
     if not sample:
-        return vectors.sparkSession.createDataFrame([], "a long, b long, cosine double")
+        return None
     centres = np.array(sample)
     centres /= np.linalg.norm(centres, axis=1, keepdims=True)
     reach = 2 * math.acos(max(-1.0, min(1.0, threshold))) + 1e-9
@@ -52,25 +64,63 @@ def cosine_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", v
                 yield pd.DataFrame({"cell": cell, "at_home": cell == home[row], "id": batch["id"].to_numpy()[row], "v": batch["v"].to_numpy()[row]})
 
     visits = rows.mapInPandas(visit, "cell int, at_home boolean, id long, v array<double>")
-    splits = visits.where("at_home").groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("splits"))
-    dealt = visits.join(splits, "cell").withColumn("split", F.explode(F.when(F.col("at_home"), F.array(F.pmod(F.xxhash64("id"), "splits").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("splits") - 1))))
-    # In a split cell residents also visit the cell's other splits.
-    others = visits.where("at_home").join(splits.where("splits > 1"), "cell").withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
-    others = others.where(F.col("split") != F.pmod(F.xxhash64("id"), "splits")).withColumn("at_home", F.lit(False))
+    visits = durable(visits)
+    sizes = visits.groupBy("cell").agg(*[F.greatest(F.lit(1), F.ceil(n / CELL_ROWS)).cast("int").alias(name) for name, n in (("splits", F.count_if("at_home")), ("parts", F.count("*")))])
+    dealt = visits.join(sizes, "cell").withColumn("split", F.pmod(F.xxhash64("id", F.lit(1)), "splits").cast("int")).withColumn("part", F.pmod(F.xxhash64("id", F.lit(2)), "parts").cast("int"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    residents = dealt.where("at_home").withColumn("part", each("parts"))
+    visitors = dealt.withColumn("split", each("splits")).withColumn("at_home", F.lit(False))
+    return residents.unionByName(visitors).select("cell", "split", "part", "at_home", "id", "v")
+
+
+def _compared(vectors: DataFrame, threshold: float, id_col: str, vec_col: str, pivots: int, spanning: bool) -> DataFrame:
+    kind = "a long, b long, cosine double"
+    blocks = _blocks(vectors, threshold, id_col, vec_col, pivots)
+    if blocks is None:
+        return vectors.sparkSession.createDataFrame([], kind)
 
     def pair(batch: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "cosine": np.empty(0)})]
-        units, ids, home = _units(batch["v"]), batch["id"].to_numpy(), np.flatnonzero(batch["at_home"].to_numpy())
-        for k in range(0, len(home), 512):
-            mine = home[k : k + 512]
-            cosine = units[mine] @ units.T
+        units, ids, home = _units(batch["v"]), batch["id"].to_numpy(), batch["at_home"].to_numpy(dtype=bool)
+        mine, others = np.flatnonzero(home), np.flatnonzero(~home)
+        joined = _Stars(len(ids)) if spanning else None
+        for k in range(0, len(mine), 512):
+            rows = mine[k : k + 512]
+            cosine = units[rows] @ units[others].T
             i, j = np.nonzero(cosine >= threshold)
-            keep = ids[mine[i]] < ids[j]
-            out.append(pd.DataFrame({"a": ids[mine[i[keep]]], "b": ids[j[keep]], "cosine": cosine[i[keep], j[keep]]}))
+            keep = ids[rows[i]] < ids[others[j]]
+            i, j = i[keep], j[keep]
+            if joined is not None:
+                i, j = joined.fresh(rows, others, i, j)
+            out.append(pd.DataFrame({"a": ids[rows[i]], "b": ids[others[j]], "cosine": cosine[i, j]}))
         return pd.concat(out)
 
     # A pair is found where its smaller id is at home, so once.
-    return dealt.unionByName(others).groupBy("cell", "split").applyInPandas(pair, "a long, b long, cosine double")
+    return blocks.groupBy("cell", "split", "part").applyInPandas(pair, kind)
+
+
+class _Stars:
+    """Which links of a block still join two groups."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def fresh(self, rows: np.ndarray, others: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the links, one for each pair of groups that a row joins; a few may be needless, none that joins is left out."""
+        u, v = self.label[rows[i]], self.label[others[j]]
+        apart = u != v
+        first = np.unique(np.stack([u[apart], v[apart]]), axis=1, return_index=True)[1] if apart.any() else np.empty(0, np.int64)
+        i, j = i[apart][first], j[apart][first]
+        u, v = self.label[rows[i]], self.label[others[j]]
+        while len(u):  # groups take the smallest label they are linked to
+            low = np.minimum(u, v)
+            np.minimum.at(self.label, u, low)
+            np.minimum.at(self.label, v, low)
+            while not np.array_equal(shorter := self.label[self.label], self.label):
+                self.label = shorter
+            u, v = self.label[rows[i]], self.label[others[j]]
+            u, v = u[u != v], v[u != v]
+        return i, j
 
 
 def similarity_groups(pairs: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -80,7 +130,7 @@ def similarity_groups(pairs: DataFrame, left: str = "a", right: str = "b") -> Da
 
 def bursts(shots: DataFrame, key: str, time: str, gap_seconds: int, tie: str) -> DataFrame:
     """``shots`` with ``burst_no`` from 1: a gap longer than ``gap_seconds`` begins a new burst of its key."""
-    order = Window.partitionBy(key).orderBy(time, tie)
-    seconds = F.unix_micros(F.col(time).cast("timestamp")) / F.lit(1e6)
-    starts = F.coalesce((seconds - F.lag(seconds).over(order)) > gap_seconds, F.lit(True))
-    return shots.withColumn("_starts", starts.cast("int")).withColumn("burst_no", F.sum("_starts").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_starts")
+    order = [F.col(time), F.col(tie)]
+    timed = shifted(shots.withColumn("_micros", F.unix_micros(F.col(time).cast("timestamp"))), [key], order, "_micros", before="_earlier")
+    starts = F.coalesce((F.col("_micros") - F.col("_earlier")) / F.lit(1e6) > gap_seconds, F.lit(True))
+    return running_sum(timed.withColumn("_starts", starts.cast("long")), [key], order, "_starts", "burst_no").drop("_starts", "_micros", "_earlier")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from quillspark.operators.ranking import running_sum
 
 RENDERED = {"jpeg": "jpg", "tiff": "tif", "png": "png"}
 PROFILES = {"srgb": None, "adobe_rgb": "AdobeRGB1998.icc"}
@@ -64,5 +65,4 @@ def cache_size(cache: DataFrame, by: str = "mode", size: str = "bytes") -> DataF
 
 def evict(cache: DataFrame, budget: int, by: str, time: str, tie: str, size: str = "bytes") -> DataFrame:
     """Entries to drop so that each ``by`` group keeps its newest ``budget`` bytes: a running sum from the newest back."""
-    order = Window.partitionBy(by).orderBy(F.col(time).desc(), F.col(tie).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return cache.withColumn("_kept", F.sum(size).over(order)).where(F.col("_kept") > budget).drop("_kept")
+    return running_sum(cache, [by], [F.col(time).desc(), F.col(tie).desc()], size, "_kept").where(F.col("_kept") > budget).drop("_kept")

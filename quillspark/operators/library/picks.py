@@ -19,10 +19,14 @@ def hard_gate(photos: DataFrame, *excluded: DataFrame, key: str = "photo_id") ->
     return photos
 
 
-def best_of_group(photos: DataFrame, group: str, usable: Column, *order: Column) -> DataFrame:
-    """``photos`` with ``is_best``: the first usable row of each group in the given order; a group without one has none."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.coalesce(usable, F.lit(False)).desc(), *order))
-    return photos.withColumn("is_best", (rank == 1) & F.coalesce(usable, F.lit(False)))
+def best_of_group(photos: DataFrame, group: str, usable: Column, *order: Column, key: str = "photo_id") -> DataFrame:
+    """``photos`` with ``is_best``: the first usable row of each group in the given order; a group without one has none.
+
+    ``key`` is unique. The filter on the rank lets each task keep one row of a group before the shuffle.
+    """
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    best = photos.where(usable).withColumn("_n", rank).where("_n = 1").select(key, F.lit(True).alias("_best"))
+    return photos.join(best, key, "left").withColumn("is_best", F.coalesce("_best", F.lit(False))).drop("_best")
 
 
 def ratio_picks(photos: DataFrame, percent: int, score: Column, tie: str) -> DataFrame:

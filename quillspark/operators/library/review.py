@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.operators.ranking import shifted
+
 MARKS = ("keep", "reject", "unmarked")
 
 
@@ -60,5 +62,4 @@ def filtered(photos: DataFrame, any_of: list[Column], all_of: list[Column] = ())
 
 def neighbours(photos: DataFrame, folder: str, order: str, key: str = "photo_id") -> DataFrame:
     """``photos`` with the previous and next photo of the display order inside each folder."""
-    window = Window.partitionBy(folder).orderBy(order, key)
-    return photos.withColumn("previous_id", F.lag(key).over(window)).withColumn("next_id", F.lead(key).over(window))
+    return shifted(photos, [folder], [F.col(order), F.col(key)], key, "previous_id", "next_id")

@@ -1,4 +1,4 @@
-"""A global rank without a task that sees all rows."""
+"""Global ranks, running sums and neighbours without a task that sees all rows of a key."""
 
 from __future__ import annotations
 
@@ -16,8 +16,41 @@ def global_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     range; ranks inside a range are offset by the sizes of the ranges before it,
     one row per range.
     """
-    dealt = durable(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    before = F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = dealt.groupBy("_range").count().select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return dealt.withColumn("_inside", inside).join(offsets, "_range").withColumn(out, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
+    return running_sum(df.withColumn("_one", F.lit(1).cast("long")), [], order, "_one", out).drop("_one")
+
+
+def ranged(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """``df`` dealt by ranges of key and order, written with the number of each row's range: a key with many rows has many ranges."""
+    return durable(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+
+
+def running_sum(df: DataFrame, by: list[str], order: list[Column], value: str, out: str) -> DataFrame:
+    """``df`` with the sum of ``value`` up to each row of its key, itself included, in the given total order.
+
+    Sums inside a range are offset by those of the key's ranges before it, one row for
+    each range and key. Null keys are a key of their own.
+    """
+    dealt = ranged(df, by, order)
+    before = F.sum("_sum").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = dealt.groupBy("_range", *by).agg(F.sum(value).alias("_sum")).select("_range", *[F.col(k).alias(f"_key{n}") for n, k in enumerate(by)], F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = dealt.withColumn("_inside", inside).join(offsets.withColumnRenamed("_range", "_of"), [F.col("_range") == F.col("_of"), *[F.col(k).eqNullSafe(F.col(f"_key{n}")) for n, k in enumerate(by)]], "left")
+    return joined.withColumn(out, F.col("_before") + F.col("_inside")).drop("_range", "_of", "_inside", "_before", *[f"_key{n}" for n in range(len(by))])
+
+
+def shifted(df: DataFrame, by: list[str], order: list[Column], value: str, before: str | None = None, after: str | None = None) -> DataFrame:
+    """``df`` with the value of the row before and the row after in its key's total order; null at the ends.
+
+    At the ends of a range it comes from the key's neighbouring range, by its first or last row.
+    """
+    dealt = ranged(df, by, order)
+    inside, across = Window.partitionBy("_range", *by).orderBy(*order), Window.partitionBy(*by).orderBy("_range")
+    ends = dealt.withColumn("_n", F.row_number().over(inside)).groupBy("_range", *by).agg(F.min_by(value, "_n").alias("_first"), F.max_by(value, "_n").alias("_last"))
+    ends = ends.select(F.col("_range").alias("_of"), *[F.col(k).alias(f"_key{n}") for n, k in enumerate(by)], F.lag("_last").over(across).alias("_left"), F.lead("_first").over(across).alias("_right"))
+    rows = dealt.withColumn("_n", F.row_number().over(inside)).withColumn("_lag", F.lag(value).over(inside)).withColumn("_lead", F.lead(value).over(inside)).withColumn("_back", F.lead(F.lit(1)).over(inside))
+    joined = rows.join(ends, [F.col("_range") == F.col("_of"), *[F.col(k).eqNullSafe(F.col(f"_key{n}")) for n, k in enumerate(by)]], "left")
+    if before:
+        joined = joined.withColumn(before, F.when(F.col("_n") == 1, F.col("_left")).otherwise(F.col("_lag")))
+    if after:
+        joined = joined.withColumn(after, F.when(F.col("_back").isNull(), F.col("_right")).otherwise(F.col("_lead")))
+    return joined.drop("_range", "_of", "_n", "_lag", "_lead", "_back", "_left", "_right", *[f"_key{n}" for n in range(len(by))])

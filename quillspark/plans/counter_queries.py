@@ -129,14 +129,14 @@ def locale_sort_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return global_rank(names, [coerce.collated(F.col("p_name")), F.col("p_name")], "place")
 
 
-_LITERALS = ["12", " 12 ", "", "12d", "1e3", "Infinity", "NaN", "-3", "2.9", "0007", ".5", "5.", "+4", "1e-2", "--1"]
+_LITERALS = ["12", " 12 ", "", "12d", "1e3", "Infinity", "NaN", "-3", "2.9", "0007", ".5", "5.", "+4", "1e-2", "--1", "0x10", "0B101", "1e30"]
 
 
 def nonneg_int_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event takes one of the literals by its number; the coerced values are summed."""
+    """Each event takes one of the literals by its number."""
     raw = F.get(F.array(*[F.lit(x) for x in _LITERALS]), (F.col("event_id") % len(_LITERALS)).cast("int"))
     rows = read(spark, sf_dir, "events").select(raw.alias("raw")).withColumn("value", coerce.non_negative_integer(F.col("raw")))
-    return rows.groupBy("raw", "value").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return rows.groupBy("raw", "value").agg(F.count("*").alias("n"))
 
 
 def name_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +204,7 @@ ORACLE_SQL = {
     "published_filter": "SELECT o_orderstatus, count(*) AS n, min(o_orderkey) AS first_key FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1",
     "nested_unnest_history": "SELECT o_custkey, o_orderkey, l_linenumber, l_quantity::BIGINT AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
     "locale_sort_rank": "SELECT p_name, n, row_number() OVER (ORDER BY p_name COLLATE en) AS place FROM (SELECT p_name, count(*) AS n FROM part GROUP BY 1)",
-    "nonneg_int_coerce": f"WITH v(k, raw) AS (VALUES {_VALUES}), x AS (SELECT raw, CASE WHEN regexp_full_match(raw, '\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*') THEN greatest(trunc(trim(raw)::DOUBLE), 0)::BIGINT ELSE 0 END AS value FROM events JOIN v ON event_id % {len(_LITERALS)} = k) SELECT raw, value, count(*) AS n, sum(value)::BIGINT AS total FROM x GROUP BY ALL",
+    "nonneg_int_coerce": f"WITH v(k, raw) AS (VALUES {_VALUES}), x AS (SELECT raw, CASE WHEN regexp_full_match(raw, '\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*') THEN CASE WHEN trim(raw)::DOUBLE >= 9.3e18 THEN 9223372036854775807 ELSE greatest(trunc(trim(raw)::DOUBLE), 0)::BIGINT END WHEN raw = '0x10' THEN 16 WHEN raw = '0B101' THEN 5 ELSE 0 END AS value FROM events JOIN v ON event_id % {len(_LITERALS)} = k) SELECT raw, value, count(*) AS n FROM x GROUP BY ALL",
     "name_fallback": "WITH x AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END AS s FROM customer) SELECT c_custkey, CASE WHEN s IS NULL OR s = '' THEN c_name ELSE s END AS shown, coalesce(s, '') AS plain FROM x",
     "csv_cell_escape": "WITH x AS (SELECT doc_id, coalesce(CASE WHEN doc_id % 4 = 0 THEN text || '\"q\",' ELSE text END, '') AS t FROM documents) SELECT doc_id, CASE WHEN contains(t, '\"') OR contains(t, ',') OR contains(t, chr(10)) OR contains(t, chr(13)) THEN '\"' || replace(t, '\"', '\"\"') || '\"' ELSE t END AS cell FROM x",
     "markdown_cell_escape": "SELECT doc_id, replace(replace(replace(coalesce(text, ''), '|', '\\|'), chr(13) || chr(10), ' '), chr(10), ' ') AS cell FROM documents",

@@ -60,7 +60,7 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def person_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.similarity_groups(duplicates.cosine_pairs(read(spark, sf_dir, "embeddings"), PERSON_COSINE))
+    return duplicates.similarity_groups(duplicates.similarity_links(read(spark, sf_dir, "embeddings"), PERSON_COSINE))
 
 
 def override_latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
