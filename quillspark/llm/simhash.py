@@ -311,7 +311,7 @@ def _jobs(entries: DataFrame, block: int, by: str) -> DataFrame:
     different blocks compares across them (sides 0 and 1) only. The table of crowded
     shards is small: one row for ``block`` entries or more.
     """
-    sized = entries.groupBy("key").agg(F.count("*").alias("n_all")).where(F.col("n_all") > block)
+    sized = durable(entries.groupBy("key").agg(F.count("*").alias("n_all")).where(F.col("n_all") > block))
     if "label" in entries.columns:
         grouped = entries.join(sized, "key").groupBy("key", "n_all", "label").agg(F.count("*").alias("n_same"))
         largest = grouped.groupBy("key", "n_all").agg(F.max(F.struct("n_same", "label")).alias("x"))
@@ -426,7 +426,7 @@ class _Sets:
 
 
 def _with_partner(entries: DataFrame, similarity: float, block: int) -> DataFrame:
-    """``(key, whole)`` of the entries ``(key, whole, label, n, sketch)`` that may be similar to another of their shard."""
+    """``(key, whole, label)`` of the entries ``(key, whole, label, n, sketch)`` that may be similar to another of their shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches):
@@ -438,10 +438,10 @@ def _with_partner(entries: DataFrame, similarity: float, block: int) -> DataFram
                 found[hits] = True
                 found[p] |= len(hits) > 0
             if found.any():
-                yield from rows.select(["key", "whole"]).filter(pa.array(found)).to_batches()
+                yield from rows.select(["key", "whole", "label"]).filter(pa.array(found)).to_batches()
 
     jobs = _jobs(entries, block, "whole").select("job", "side", "key", "whole", "label", "n", "sketch")
-    return _dealt(jobs).mapInArrow(run, "key long, whole long")
+    return _dealt(jobs).mapInArrow(run, "key long, whole long, label long")
 
 
 def _exact_links(jobs: DataFrame, similarity: float) -> DataFrame:
@@ -519,21 +519,23 @@ def similarity_links(docs: DataFrame, marked: DataFrame, similarity: float, text
     )
     links = marked.join(sets.select("whole", F.col("fp").alias("low")), "whole").where("fp <> low").select(F.col("fp").alias("u"), F.col("low").alias("v")).distinct()
     entries = sets.select(F.posexplode("keys").alias("i", "least"), "whole", "fp", "n", "sketch").withColumn("key", F.xxhash64("i", "least")).drop("i", "least")
-    crowded = entries.groupBy("key").count().where(F.col("count") > block)
+    crowded = durable(entries.groupBy("key").count().where(F.col("count") > block))
     home = durable(entries.join(crowded, "key").groupBy("whole").agg(F.max(F.struct("count", "key"))["key"].alias("key")))
-    labelled, led_tables = entries.withColumn("label", F.col("fp")), []
+    labelled, used = entries.withColumn("label", F.col("fp")), [sets, crowded, home]
     if not home.isEmpty():
         led = _leader_links(docs, text_col, sets, home, similarity, shingle, set_block)
         links = links.unionByName(led)
         groups = connected_components(led).select(F.col("node").alias("fp"), F.col("component").alias("group"))
-        led_tables = [led]
-        labelled = entries.join(groups, "fp", "left").withColumn("label", F.coalesce("group", "fp")).drop("group")
+        # Only in crowded shards is it worth a join to know what the leaders have linked.
+        inside = durable(entries.join(crowded.select("key"), "key").join(groups, "fp", "left").withColumn("label", F.coalesce("group", "fp")).drop("group"))
+        labelled = labelled.join(crowded.select("key"), "key", "left_anti").unionByName(inside)
+        used += [led, inside]
     near = durable(_with_partner(labelled, similarity, block).distinct())
     wanted = sets.join(near.select("whole").distinct(), "whole").select("tid", "whole", "fp")
     exact = durable(_sets_of(docs, text_col, wanted, shingle))
-    full = near.join(labelled.select("key", "whole", "label"), ["key", "whole"]).join(exact.hint("merge"), "whole")
-    out = durable(links.unionByName(_exact_links(_jobs(full, set_block, "whole"), similarity)))
-    for done in (sets, home, near, exact, *led_tables):
+    jobs = _jobs(near, set_block, "whole").select("job", "side", "whole", "label").join(exact.hint("merge"), "whole")
+    out = durable(links.unionByName(_exact_links(jobs, similarity)))
+    for done in (*used, near, exact):
         release(done)
     return out
 
