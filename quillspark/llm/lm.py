@@ -172,13 +172,13 @@ class EliasFano:
         i = np.asarray(i, dtype=np.int64)
         return ((self.select(i) - i).astype(np.uint64) << np.uint64(self.low_bits)) | self.lows(i)
 
-    def successor(self, x: np.ndarray, first: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
-        """Index of the first value at or above each x among those from ``first`` to ``end`` (all by default); the end where there is none."""
+    def _search(self, x: np.ndarray, first: np.ndarray | None, end: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The successor of each x among the values from ``first`` to ``end``, and whether it equals x."""
         x = x.astype(np.uint64)
         first = np.zeros(len(x), dtype=np.int64) if first is None else first
         end = np.full(len(x), self.n, dtype=np.int64) if end is None else end
         if not self.n:
-            return np.zeros(len(x), dtype=np.int64)
+            return np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=bool)
         top = (x >> np.uint64(self.low_bits)).astype(np.int64)
         # Values with this upper part lie between two zeros; only their lower bits need a search.
         lo, hi = np.zeros(len(x), dtype=np.int64), np.full(len(x), self.n, dtype=np.int64)
@@ -188,6 +188,7 @@ class EliasFano:
         hi[some] = self.select(top[some], ones=False) - top[some]
         lo = np.clip(np.where(top > self.last, self.n, lo), first, end)
         hi = np.clip(hi, first, end)
+        stop = hi.copy()
         want = x & np.uint64((1 << self.low_bits) - 1)
         open_ = np.flatnonzero(lo < hi)
         while len(open_):
@@ -196,16 +197,19 @@ class EliasFano:
             lo[open_[less]] = mid[less] + 1
             hi[open_[~less]] = mid[~less]
             open_ = open_[lo[open_] < hi[open_]]
-        return lo
+        same = lo < stop
+        some = np.flatnonzero(same)
+        same[some] = self.lows(lo[some]) == want[some]
+        return lo, same
+
+    def successor(self, x: np.ndarray, first: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """Index of the first value at or above each x among those from ``first`` to ``end`` (all by default); the end where there is none."""
+        return self._search(x, first, end)[0]
 
     def find(self, x: np.ndarray, first: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         """Index of each x among the values from ``first`` to ``end``, -1 where they lack it."""
-        at = self.successor(x, first, end)
-        some = np.flatnonzero(at < (self.n if end is None else end))
-        out = np.full(len(x), -1, dtype=np.int64)
-        same = some[self[at[some]] == x[some].astype(np.uint64)] if len(some) else some
-        out[same] = at[same]
-        return out
+        at, same = self._search(x, first, end)
+        return np.where(same, at, -1)
 
     @property
     def nbytes(self) -> int:
@@ -226,6 +230,13 @@ def quantise(values: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarr
     return np.searchsorted((means[1:] + means[:-1]) / 2, values, "right").astype(np.uint8), means.astype("<f4")
 
 
+def _runs_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and each value's run."""
+    fresh = np.ones(len(values), dtype=bool)
+    fresh[1:] = values[1:] != values[:-1]
+    return np.flatnonzero(fresh), np.cumsum(fresh) - 1
+
+
 class NgramTrie:
     """Two levels in one buffer: contexts with back-off weights, and their successors with probabilities."""
 
@@ -269,7 +280,8 @@ class NgramTrie:
 
     def look_up(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per query the log10 probability (nan if the pair is unseen) and the log10 back-off weight (0 for an unseen context)."""
-        rank = self.contexts.find(contexts)
+        fresh, run = _runs_of(contexts)  # equal contexts mostly come in a row
+        rank = self.contexts.find(contexts[fresh])[run]
         number = self.words.find(words)
         both = np.flatnonzero((rank >= 0) & (number >= 0))
         log_prob = np.full(len(contexts), np.nan)
@@ -277,7 +289,8 @@ class NgramTrie:
         known = rank >= 0
         backoff[known] = self.backoff_values[self.backoff_codes[rank[known]]]
         own = rank[both]
-        first, end = (self.pointers[own + k].astype(np.int64) for k in (0, 1))  # the context's own successors
+        fresh, run = _runs_of(own)
+        first, end = (self.pointers[own[fresh] + k].astype(np.int64)[run] for k in (0, 1))  # the context's own successors
         at = self.successors.find(own * max(1, self.words.n) + number[both], first, end)
         hit = at >= 0
         log_prob[both[hit]] = self.prob_values[self.prob_codes[at[hit]]]
