@@ -7,13 +7,14 @@ shard j's quota is ``n // k`` rows, one more for the first ``n % k`` shards.
 Unlinked documents have no preference; they fill the quotas at the end. Linked
 documents start round robin and then, round by round, ask to move to a home of
 their hub. A hub's homes are as many shards as its size needs, those that its members fill
-furthest less the shard's price. A shard that more members call home than its quota
+furthest less the shard's price; its rows ask for them so as to fill all but the last. A shard that more members call home than its quota
 holds becomes dearer each round, so hubs spread over the shards. Requests are granted as
 far as they form swaps, longer cycles, or chains that end in free room, so no
 shard ever exceeds its quota. A round is a grouping by hub and shard, one join of
 documents with their hub's homes, and a salted ranking of the requests; only per-shard
-totals reach the driver. Rounds are written out. They end when the share of equal pairs
-kept together has not grown for ``PATIENCE`` rounds, and the best round counts.
+totals reach the driver. Rounds are written out. They end when the equal pairs kept
+together come within one in a hundred of what the quotas allow, or have not grown by one in
+two hundred of that for ``PATIENCE`` rounds; the best round counts.
 
 Null texts are linked as equal texts, empty ones likewise. Repeated ids are separate
 rows. An empty table gives an empty result. Near ties between shards break by a hash
@@ -32,7 +33,7 @@ from quillspark.operators.durable import durable, release
 
 ROWS_PER_BUCKET = 20_000
 NOISE, PRICE_STEP = 0.1, 0.1
-PATIENCE, LEAST_GAIN = 4, 0.002
+PATIENCE, LEAST_GAIN, ENOUGH = 3, 0.005, 0.99
 
 
 def _longs(values: list[int]) -> Column:
@@ -77,6 +78,14 @@ def edges(placed: DataFrame) -> DataFrame:
     return hubs.agg(F.coalesce(F.sum(F.expr("total * (total - 1) / 2")), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("kept"), F.lit(0.0)).alias("kept"))
 
 
+def _most(members: DataFrame, quota: int) -> tuple[float, float]:
+    """All pairs of one hub, and those that could be kept if each hub had its shards to itself."""
+    q = float(max(1, quota))
+    sizes = members.groupBy("hub").agg(F.count("*").cast("double").alias("n"))
+    row = sizes.agg(F.sum(F.expr("n * (n - 1) / 2")), F.sum(F.expr(f"floor(n / {q}d) * {q * (q - 1) / 2}d + (n % {q}d) * (n % {q}d - 1) / 2"))).first()
+    return row[0] or 0.0, row[1] or 0.0
+
+
 def _homes(current: DataFrame, quota: list[int], price: list[float]) -> DataFrame:
     """``(hub, total, kept, homes)``: the shards that suit each hub best, as many as its size needs."""
     spread = current.groupBy("hub", "shard").agg(F.count("*").alias("here"))
@@ -95,25 +104,25 @@ def _homes(current: DataFrame, quota: list[int], price: list[float]) -> DataFram
 
 def propagate(members: DataFrame, quota: list[int]) -> tuple[DataFrame, list[Round]]:
     """Shards for linked rows, and what each round did. ``members``: ``(rid, hub, shard)`` within the quotas; returned in the same form."""
-    shards, price, history = len(quota), [0.0] * len(quota), []
+    shards, price, history, room = len(quota), [0.0] * len(quota), [], max(1, max(quota, default=0))
     held = {r[0]: r[1] for r in members.groupBy("shard").count().collect()}
-    pairs = members.groupBy("hub").agg(F.count("*").cast("double").alias("n")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) / 2")), F.lit(0.0))).first()[0]
+    pairs, most = _most(members, max(quota, default=0))
     best, best_kept, best_turn, current = members, -1.0, 0, members
     for turn in range(1_000_000):
         homes = durable(_homes(current, quota, price))
-        sums = homes.agg(F.coalesce(F.sum("kept"), F.lit(0.0)), *[F.coalesce(F.sum(F.when(F.array_contains("homes", j), F.col("total") / F.size("homes"))), F.lit(0.0)) for j in range(shards)]).first()
-        if sums[0] > best_kept + LEAST_GAIN * pairs or turn == 0:
+        sums = homes.agg(F.coalesce(F.sum("kept"), F.lit(0.0)), *[F.coalesce(F.sum(F.expr(f"if(array_contains(homes, {j}), least({room}, total - (array_position(homes, {j}) - 1) * {room}), 0)")), F.lit(0)) for j in range(shards)]).first()
+        if sums[0] > best_kept + LEAST_GAIN * most or turn == 0:
             if best is not members and best is not current:
                 release(best)
             best, best_kept, best_turn = current, sums[0], turn
-        if sums[0] >= pairs or turn - best_turn >= PATIENCE:
+        if sums[0] >= ENOUGH * most or turn - best_turn >= PATIENCE:
             history.append(Round(pairs, sums[0], 0))
             release(homes)
             break
         price = [p + PRICE_STEP * (demand / max(1, q) - 1) for p, demand, q in zip(price, sums[1:], quota)]
         asked = durable(
-            current.join(homes.select("hub", "homes"), "hub").where(~F.expr("array_contains(homes, shard)"))
-            .select("rid", "shard", F.expr(f"element_at(homes, cast(pmod(xxhash64(rid, {turn}), size(homes)) as int) + 1)").alias("target"))
+            current.join(homes.select("hub", "total", "homes"), "hub").where(~F.expr("array_contains(homes, shard)"))
+            .select("rid", "shard", F.expr(f"element_at(homes, cast(pmod(xxhash64(rid, {turn}), 1048576) / 1048576 * total / {room} as int) + 1)").alias("target"))
         )
         release(homes)
         wanted = {(r[0], r[1]): r[2] for r in asked.groupBy("shard", "target").count().collect()}
@@ -135,21 +144,19 @@ def propagate(members: DataFrame, quota: list[int]) -> tuple[DataFrame, list[Rou
 
 
 def _grants(wanted: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
-    """How many requests from each shard to each other are granted: swaps, then longer cycles until none is left.
+    """How many requests from each shard to each other are granted: swaps, longer cycles until none is left, then free room.
 
-    Free room is a node of its own: a shard with room leads to it, and it leads to every
-    shard, as any may lose rows. So a chain of moves into free room is a cycle too.
+    What is left without cycles is taken from its ends backwards, so a row that moves into
+    free room leaves its own place to those that want to go there.
     """
-    free = len(room)
-    left: list[dict[int, int]] = [{} for _ in range(free + 1)]
+    left: list[dict[int, int]] = [{} for _ in room]
     out: dict[tuple[int, int], int] = {}
 
     def grant(i: int, j: int, n: int) -> None:
         left[i][j] -= n
         if not left[i][j]:
             del left[i][j]
-        if free not in (i, j):
-            out[i, j] = out.get((i, j), 0) + n
+        out[i, j] = out.get((i, j), 0) + n
 
     for (i, j), n in sorted(wanted.items()):
         if n:
@@ -159,17 +166,13 @@ def _grants(wanted: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[i
             n = min(left[i][j], left[j][i])
             grant(i, j, n)
             grant(j, i, n)
-    for j, n in enumerate(room):
-        if n > 0:
-            left[j][free] = n
-    left[free] = dict.fromkeys(range(free), sum(wanted.values()) + 1)
-    closed: set[int] = set()  # nodes from which no cycle goes out
-    for start in range(free):
+    closed: list[int] = []  # shards from which no cycle goes out, those they lead to before them
+    for start in range(len(room)):
         path = [] if start in closed else [start]
         while path:
             onward = next((j for j in left[path[-1]] if j not in closed), None)
             if onward is None:
-                closed.add(path.pop())
+                closed.append(path.pop())
             elif onward in path:
                 cycle = [*path[path.index(onward) :], onward]
                 n = min(left[i][j] for i, j in zip(cycle, cycle[1:]))
@@ -178,6 +181,14 @@ def _grants(wanted: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[i
                 path = path[: path.index(onward) + 1]
             else:
                 path.append(onward)
+    spare = list(room)
+    for j in closed:
+        for i in range(len(room)):
+            n = min(spare[j], left[i].get(j, 0))
+            if n > 0:
+                grant(i, j, n)
+                spare[j] -= n
+                spare[i] += n
     return out
 
 
