@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark import schema
 from quillspark.functions import coerce
-from quillspark.operators.counters import as_of, clamped_delta, first_by, match_states, published
+from quillspark.operators.counters import as_of, build_snapshot, clamped_delta, first_by, flat_assets, flat_releases, match_states, published, snapshot_assets, totals
 from quillspark.operators.durable import durable
+from quillspark.operators.history import history, report_rows
 from quillspark.operators.ranking import global_rank
+from quillspark.sources.releases_api import read_api
 
 FIRST_DAY = "2024-01-01"
 TAG_NUMBERS = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
@@ -66,19 +71,29 @@ def counter_delta_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.groupBy("tagName", "trackingState").agg(F.count("*").alias("assets"), F.sum("downloadDelta").alias("increase")).withColumnsRenamed({"tagName": "tag", "trackingState": "state"})
 
 
+def last_day(states: DataFrame) -> DataFrame:
+    return states.join(F.broadcast(states.agg(F.max("day").alias("day"))), "day")  # one row
+
+
 def counter_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = with_states(simulated_assets(spark, sf_dir))
-    zero = F.lit(0).cast("bigint")
-    return states.groupBy("day").agg(
-        F.countDistinct("tagName").alias("releases"), F.count("*").alias("assets"),
-        F.coalesce(F.sum("downloadCount"), zero).alias("downloads"), F.coalesce(F.sum("downloadDelta"), zero).alias("increase"),
-    )
+    """The totals of the last day's snapshot, a release being a tag."""
+    assets = last_day(with_states(simulated_assets(spark, sf_dir)))
+    return totals(assets.select("tagName").distinct(), assets)
 
 
 def counter_totals_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = with_states(simulated_assets(spark, sf_dir)).where(F.lit(False))
-    zero = F.lit(0).cast("bigint")
-    return states.agg(F.count("*").alias("assets"), F.coalesce(F.sum("downloadCount"), zero).alias("downloads"), F.coalesce(F.sum("downloadDelta"), zero).alias("increase"))
+    return totals(states, states)
+
+
+def asset_documents(states: DataFrame) -> DataFrame:
+    """Snapshot documents that hold one asset each, so that no row grows with the table."""
+    def filled(kind, **known):
+        return F.struct(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields])
+
+    asset = filled(schema.ASSET, **{c: F.col(c) for c in ("id", "name", "downloadCount", "downloadDelta", "trackingState", "previousAssetId")})
+    release = filled(schema.RELEASE, tagName=F.col("tagName"), name=F.col("tagName"), assets=F.array(asset))
+    return states.select(F.col("day").cast("string").alias("date"), F.col("day").cast("string").alias("capturedAt"), F.array(release).alias("releases"))
 
 
 def daily_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,12 +131,49 @@ def published_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nested_unnest_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer → orders → lines, nested and unnested again; orders without lines vanish."""
-    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity")).alias("assets"))
+    """An order is a document whose release holds its lines; unnested again, orders without lines vanish."""
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity")).alias("lines"))
     orders = read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    nested = orders.groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "assets")).alias("releases"))
-    rows = nested.select("o_custkey", F.explode("releases").alias("release")).select("o_custkey", F.col("release.o_orderkey").alias("o_orderkey"), F.explode("release.assets").alias("asset"))
-    return rows.select("o_custkey", "o_orderkey", F.col("asset.l_linenumber").alias("l_linenumber"), F.col("asset.l_quantity").cast("bigint").alias("quantity"))
+    asset = lambda x: F.struct(*[{"id": x["l_linenumber"], "downloadCount": x["l_quantity"]}.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.ASSET.fields])
+    release = F.struct(F.col("o_custkey").cast("string").alias("tagName"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("prerelease"), F.transform(F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)), asset).alias("assets"))
+    rows = history(orders.select(F.col("o_orderkey").cast("string").alias("date"), F.col("o_orderkey").cast("string").alias("capturedAt"), F.array(release).alias("releases")))
+    return rows.select(F.col("release_tag").cast("bigint").alias("o_custkey"), F.col("date").cast("bigint").alias("o_orderkey"), F.col("asset_id").alias("l_linenumber"), F.col("download_count").alias("quantity"))
+
+
+def flat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History rows and the flat assets of the last day's documents, side by side per asset."""
+    documents = asset_documents(last_day(with_states(simulated_assets(spark, sf_dir))))
+    flat = snapshot_assets(documents).select("tagName", "name", "id", "downloadCount")
+    rows = documents.select(F.posexplode("releases").alias("_r", "release")).select(F.explode("release.assets").alias("a"), "release.tagName")
+    deltas = rows.select("tagName", F.col("a.id").alias("id"), F.col("a.downloadDelta").alias("delta"), F.col("a.previousAssetId").alias("earlier"))
+    return flat.join(deltas, ["tagName", "id"])
+
+
+def page_append_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three API pages with an overlap, a draft, an unusable count and a missing list: read, flattened, every repeat kept."""
+    pages = [
+        [{"id": 1, "tag_name": "v1", "name": "", "assets": [{"id": 11, "name": "a", "size": 5, "download_count": "0x10"}, {"id": 12, "name": None, "download_count": -3}]}, {"id": 2, "tag_name": "v2", "draft": True}],
+        [{"id": 1, "tag_name": "v1", "assets": [{"id": 11, "name": "a", "download_count": 4}]}, {"id": 3, "tag_name": None, "name": "n", "assets": None}],
+        [{"id": 4, "tag_name": "v4", "assets": [{"id": 41, "name": "z", "download_count": 7.9}]}],
+    ]
+
+    def fetch(url: str, sent: dict) -> tuple[int, str, str]:
+        n = int(url.rsplit("=", 1)[1])
+        return 200, f'<https://x?page={n + 1}>; rel="next"' if n < len(pages) else "", json.dumps(pages[n - 1])
+
+    releases = flat_releases(read_api(spark, "o/r", fetch=fetch))
+    return flat_assets(releases).select("tagName", "id", "name", "sizeBytes", "downloadCount")
+
+
+def repeated_keys_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two captures, the first with two assets under one tag and name: the last of them is the earlier one."""
+    def raw(*assets):
+        rows = [(1, "v1", "one", False, False, None, None, [(i, n, "1", str(c), None, None) for i, n, c in assets])]
+        return spark.createDataFrame(rows, schema.RAW_RELEASES)
+
+    first = durable(build_snapshot(raw((5, "dup", 1), (6, "dup", 2), (7, "same", 9)), None, "o/r", "2026-07-01T00:00:00.000Z"))
+    second = durable(build_snapshot(raw((9, "dup", 8), (7, "same", 4), (10, "b", 1)), first, "o/r", "2026-07-02T00:00:00.000Z"))
+    return history(first.unionByName(second)).select("date", "asset_id", "asset_name", "download_count", "download_delta", "tracking_state")
 
 
 def locale_sort_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,17 +230,13 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report's table lines for the last day."""
-    states = with_states(simulated_assets(spark, sf_dir))
-    last = states.agg(F.max("day").alias("day"))
-    rows = states.join(F.broadcast(last), "day")  # one row
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", coerce.markdown_cell(F.col("tagName")), coerce.markdown_cell(F.col("name")), F.col("downloadCount").cast("string"), coerce.signed(F.col("downloadDelta")), F.col("trackingState")), F.lit(" |"))
-    return rows.select(line.alias("line"))
+    return report_rows(asset_documents(last_day(with_states(simulated_assets(spark, sf_dir)))))
 
 
 QUERIES = {f.__name__: f for f in (
     counter_delta_states, counter_totals, counter_totals_empty, asof_previous_snapshot, counter_reset_clamp, latest_per_day, published_filter,
     nested_unnest_history, locale_sort_rank, nonneg_int_coerce, name_fallback, csv_cell_escape, markdown_cell_escape, iso_date_utc,
-    link_header_next, page_append, json_roundtrip, report_lines,
+    link_header_next, page_append, json_roundtrip, report_lines, flat_history, page_append_repeats, repeated_keys_snapshot,
 )}
 
 _VALUES = ", ".join(f"({k}, '{x}')" for k, x in enumerate(_LITERALS))
@@ -196,8 +244,11 @@ _SNAPSHOTS = "g AS (SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS downloa
 
 ORACLE_SQL = {
     "counter_delta_states": f"WITH {_SIMULATED} SELECT tag, state, count(*) AS assets, sum(delta)::BIGINT AS increase FROM s GROUP BY ALL",
-    "counter_totals": f"WITH {_SIMULATED} SELECT day::INT AS day, count(DISTINCT tag) AS releases, count(*) AS assets, sum(count)::BIGINT AS downloads, sum(delta)::BIGINT AS increase FROM s GROUP BY ALL",
-    "counter_totals_empty": f"WITH {_SIMULATED} SELECT count(*) AS assets, coalesce(sum(count), 0)::BIGINT AS downloads, coalesce(sum(delta), 0)::BIGINT AS increase FROM s WHERE false",
+    "counter_totals": f"WITH {_SIMULATED} SELECT count(DISTINCT tag) AS releaseCount, count(*) AS assetCount, sum(count)::BIGINT AS currentDownloads, sum(delta)::BIGINT AS downloadIncrease FROM s WHERE day = (SELECT max(day) FROM s)",
+    "counter_totals_empty": "SELECT 0::BIGINT AS releaseCount, 0::BIGINT AS assetCount, 0::BIGINT AS currentDownloads, 0::BIGINT AS downloadIncrease",
+    "flat_history": f"WITH {_SIMULATED} SELECT tag AS tagName, user_id::VARCHAR AS name, id::BIGINT AS id, count::BIGINT AS downloadCount, delta::BIGINT AS delta, CASE WHEN state = 'replaced' THEN old_id::BIGINT END AS earlier FROM s WHERE day = (SELECT max(day) FROM s)",
+    "page_append_repeats": "SELECT * FROM (VALUES ('v1', 11::BIGINT, 'a', 5::BIGINT, 16::BIGINT), ('v1', 12, '', 0, 0), ('v1', 11, 'a', 0, 4), ('v4', 41, 'z', 0, 7)) t(tagName, id, name, sizeBytes, downloadCount)",
+    "repeated_keys_snapshot": "SELECT * FROM (VALUES ('2026-07-01', 5::BIGINT, 'dup', 1::BIGINT, 1::BIGINT, 'new'), ('2026-07-01', 6, 'dup', 2, 2, 'new'), ('2026-07-01', 7, 'same', 9, 9, 'new'), ('2026-07-02', 10, 'b', 1, 1, 'new'), ('2026-07-02', 9, 'dup', 8, 8, 'replaced'), ('2026-07-02', 7, 'same', 4, 0, 'existing')) t(date, asset_id, asset_name, download_count, download_delta, tracking_state)",
     "asof_previous_snapshot": f"WITH {_SNAPSHOTS}, w AS (SELECT unnest(['2024-01-01', '2024-01-07', '2024-01-10', '2024-02-15']) AS capture_date) SELECT capture_date, max(g.date) AS previous_date, arg_max(downloads, g.date) AS downloads FROM w JOIN g ON g.date < capture_date GROUP BY capture_date",
     "counter_reset_clamp": f"WITH {_SIMULATED}, x AS (SELECT tag, user_id, day, CASE WHEN day % 7 = 0 THEN count::BIGINT // 2 ELSE count::BIGINT END AS count FROM c), y AS (SELECT tag, CASE WHEN lag(count) OVER w IS NULL THEN count ELSE greatest(0, count - lag(count) OVER w) END AS delta FROM x WINDOW w AS (PARTITION BY tag, user_id ORDER BY day)) SELECT tag, sum(delta)::BIGINT AS increase, count(*) FILTER (delta = 0) AS flat, min(delta)::BIGINT AS least FROM y GROUP BY tag",
     "latest_per_day": "SELECT date, event_id, event_type, user_id FROM (SELECT strftime(ts, '%Y-%m-%d') AS date, event_id, event_type, user_id, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts DESC, event_id) AS n FROM events) WHERE n = 1",

@@ -18,6 +18,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from quillspark import schema
 from quillspark.functions.coerce import uri_component
 
+# Address, page size, headers and link form of the public API.
 API_ROOT = "https://api.github.com"
 PAGE_SIZE = 100
 _NEXT = re.compile(r'<([^>]+)>;\s*rel="next"', re.IGNORECASE)

@@ -93,17 +93,14 @@ def upsert_day(snapshot: DataFrame, path: str) -> None:
 
 
 def report(snapshot: DataFrame) -> str:
-    """Markdown: facts of the capture, one line per asset, and what the numbers do not mean."""
-    head = snapshot.select("repository", "date", "capturedAt", "totals.currentDownloads", "totals.downloadIncrease").first()
+    """Markdown: the totals, one line per asset, and how to read them."""
+    repository, date, moment, downloads, increase = snapshot.select("repository", "date", "capturedAt", "totals.currentDownloads", "totals.downloadIncrease").first()
     lines = [r[0] for r in report_rows(snapshot).collect()]
+    facts = {"Repository": repository, "Day (UTC)": date, "Captured": moment, "Downloads so far": downloads, "New since the last snapshot": increase}
     return "\n".join([
-        "# Release 下载统计", "", "> 本文件由程序生成，请勿手工修改。", "",
-        f"- 仓库：`{head[0]}`", f"- 统计日期：`{head[1]}`", f"- 采集时间：`{head[2]}`",
-        f"- 当前资产累计下载次数：**{head[3]}**", f"- 本次记录新增下载次数：**{head[4]}**", "",
-        "| Release tag | 资产 | 累计下载 | 本次新增 | 状态 |", "| --- | --- | ---: | ---: | --- |", *lines, "",
-        "## 数据说明", "",
-        "- 下载次数不等于独立用户数：同一用户可以多次下载，由此得不到日活或月活。",
-        "- 草稿和自动生成的源码包不计入。",
-        "- `existing`：asset ID 相同；`replaced`：同名资产重新上传，计数从头开始；`new`：首次出现。",
-        "- 每日快照在 `snapshots/`，全部历史在 `release-downloads.csv`，最近一次在 `latest.json`。",
+        f"# Downloads of {repository} on {date}", "", "Generated by the daily job; changes here are overwritten by the next run.", "",
+        "| Fact | Value |", "| --- | --- |", *[f"| {k} | {v} |" for k, v in facts.items()], "",
+        "| Tag | Asset | Downloads | New | State |", "| --- | --- | ---: | ---: | --- |", *lines, "",
+        "A download is a request for an asset, so one person can cause several. A replaced asset",
+        "starts again from zero and counts in full, as a new one does; drafts are left out.",
     ]) + "\n"
