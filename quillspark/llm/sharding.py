@@ -32,8 +32,8 @@ from pyspark.sql.window import Window
 from quillspark.operators.durable import durable, release
 
 ROWS_PER_BUCKET = 20_000
-NOISE, PRICE_STEP = 0.1, 0.1
-PATIENCE, LEAST_GAIN, ENOUGH = 3, 0.005, 0.99
+NOISE, PRICE_STEP = 0.1, 0.2
+PATIENCE, LEAST_GAIN, ENOUGH = 4, 0.005, 0.99
 
 
 def _longs(values: list[int]) -> Column:

@@ -74,9 +74,9 @@ def kept_share(spark, sizes, free, shards):
     return row.kept / row.pairs, history
 
 
-@pytest.mark.parametrize("sizes,free,least", [([2] * 1500, 0, 0.95), ([50] * 40, 0, 0.6), ([300] * 6, 0, 0.25), ([200] + [3] * 300, 100, 0.45)])
+@pytest.mark.parametrize("sizes,free,least", [([2] * 1500, 0, 0.95), ([50] * 40, 0, 0.6), ([300] * 6, 0, 0.25), ([200] + [3] * 300, 100, 0.4)])
 def test_tables_of_copies_keep_their_pairs_together(spark, sizes, free, least):
-    """Also with no unlinked row and so no free room; a group of 300 can keep 0.6 of its pairs in shards of 180."""
+    """Also with no unlinked row and so no free room; a group of 300 can keep 0.6 of its pairs in shards of 180, the last case 0.54 of all."""
     share, history = kept_share(spark, sizes, free, 10)
     assert share >= least, (share, len(history))
     assert history[0].kept / history[0].pairs < 0.2  # the round-robin start keeps few
