@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.bpe import op7_bpe
+from quillspark.llm.chat import OP11_SQL, op11_chat
 from quillspark.llm.common import table
 from quillspark.llm.decontam import op9_decontam
+from quillspark.llm.filters import OP12_SQL, op12_filters
 from quillspark.llm.licenses import op2_licenses
 from quillspark.llm.lm import op10_lm
 from quillspark.llm.media import op5_media
 from quillspark.llm.pii import op8_pii
+from quillspark.llm.runs import op13_runs
 from quillspark.llm.sharding import op1_sharding
 from quillspark.llm.simhash import op3_simhash
 from quillspark.llm.toxicity import op4_toxicity
@@ -34,7 +37,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": _over(op8_pii, "documents"),
     "op9_decontam": _over(op9_decontam, "documents", "benchmark"),
     "op10_lm": _over(op10_lm, "documents"),
+    "op11_chat": _over(op11_chat, "conversations"),
+    "op12_filters": _over(op12_filters, "documents", "labels"),
+    "op13_runs": _over(op13_runs, "documents"),
 }
 
-#: No query of this package has an SQL form: each iterates, trains a model or runs an automaton; tests use brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: The other queries have no SQL form: each iterates, trains a model or runs an automaton; tests use brute force.
+ORACLE_SQL: dict[str, str] = {"op11_chat": OP11_SQL, "op12_filters": OP12_SQL}
