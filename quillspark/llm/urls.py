@@ -36,6 +36,8 @@ UNWANTED = "casino poker slots jackpot lottery betting viagra cialis pills pharm
 WANTED = "news library museum university school science history weather recipes garden travel music sports health council archive journal forum wiki docs books film nature physics market bakery hotel church village river mountain radio theatre kitchen poetry law".split()
 COMMON = "action answer another brother building century children company country different during education example family father general government group history however information interest language letter mother nation nothing number other picture place point position question school several something state station street system than thing though through together water where which without woman world writing young".split()
 NEUTRAL = "my the best top online world free daily club zone center web site home info shop store live win farm cheap".split()
+#: Ordinary words that hold the letters of unwanted ones.
+LOOKALIKE = "essex middlesex sussex crackers firecracker camshaft camera spamalot scampi pilot pillow slotted escorted grandeur specialist popunion transex loansome sextant cameo popular porcelain portrait tortoise sparrow wares warehouse fishing torrential replicate".split()
 ENDINGS = ["com", "org", "net", "info", "de", "fr", "co.uk", "io"]
 #: Shapes of addresses: host, ending, a path word and a number.
 SHAPES = [
@@ -44,8 +46,8 @@ SHAPES = [
 ]
 
 
-def labelled_by_rule(shapes: list[str] = SHAPES, per_word: int = 8, seed: int = 7) -> list[tuple[str, int]]:
-    """A small labelled table: each word in several hosts and in a path, and as many made-up names that mean nothing."""
+def labelled_by_rule(shapes: list[str] = SHAPES, inside: int = 3, seed: int = 7, unwanted: list[str] = UNWANTED, wanted: list[str] = WANTED) -> list[tuple[str, int]]:
+    """A small labelled table: each word in hosts, inside of ``inside`` longer names (a short word twice as many) and in paths, and names that mean nothing."""
     rng, out = random.Random(seed), []
 
     def name() -> str:
@@ -54,17 +56,22 @@ def labelled_by_rule(shapes: list[str] = SHAPES, per_word: int = 8, seed: int =
     def add(host: str, path: str, label: int, shapes: list[str] = shapes) -> None:
         out.append((rng.choice(shapes).format(h=host, e=rng.choice(ENDINGS), p=path, n=rng.randint(1, 9999)), label))
 
-    for label, words in ((1, UNWANTED), (0, WANTED)):
+    for label, words in ((1, unwanted), (0, wanted)):
         for word in words:
-            for _ in range(per_word):
-                near = rng.choice(NEUTRAL)
-                add(rng.choice([word, f"{near}-{word}", f"{word}-{near}", f"{near}{word}", f"{word}{near}", f"{word}-{rng.choice(words)}"]), rng.choice([name(), near]), label)
-            for path in (word, f"{word}-{name()}", f"{rng.choice(NEUTRAL)}-{word}", f"{name()}/{word}"):
+            near = lambda: rng.choice(NEUTRAL)
+            hosts = [word, f"{near()}-{word}", f"{word}-{near()}", f"{near()}{word}", f"{word}{near()}", f"{name()}{word}", f"{word}-{rng.choice(words)}"]
+            hosts += [f"{near()}{word}{near()}" for _ in range(inside if len(word) > 5 else 2 * inside)] + [f"{name()}{word}{name()}"]
+            for host in hosts:
+                add(host, rng.choice([name(), near()]), label)
+            for path in (word, f"{word}-{name()}", f"{near()}-{word}", f"{name()}/{word}"):
                 add(name(), path, label, [x for x in shapes if "{p}" in x])
-            add(rng.choice([name(), f"{name()}-{rng.choice(NEUTRAL)}"]), name(), 0)
-            add(rng.choice([name(), rng.choice(NEUTRAL)]), rng.choice(NEUTRAL), 0)
+            add(rng.choice([name(), f"{name()}-{near()}", f"{near()}{near()}"]), name(), 0)
+            add(rng.choice([name(), near(), f"{near()}{near()}"]), near(), 0)
     for word in COMMON:
-        for host in (word, f"{word}{rng.choice(COMMON)}", f"{rng.choice(COMMON)[:-1]}{word[1:]}"):
+        for host in (word, f"{word}{rng.choice(COMMON)}"):
+            add(host, rng.choice(COMMON), 0)
+    for word in LOOKALIKE:
+        for host in (word, f"{word}s", f"{rng.choice(NEUTRAL)}{word}"):
             add(host, rng.choice(COMMON), 0)
     return out
 
@@ -113,7 +120,7 @@ def grams(url: Url) -> np.ndarray:
 
 
 class UrlModel:
-    """Logistic regression with unit-length inputs, fitted by gradient descent with momentum."""
+    """Logistic regression with unit-length inputs and classes of equal weight, fitted by gradient descent with momentum."""
 
     def __init__(self, labelled: list[tuple[str, int]], ridge: float = 1e-5, steps: int = 400, rate: float = 10.0):
         rows = [grams(split_url(u)) for u, _ in labelled]
@@ -122,10 +129,12 @@ class UrlModel:
         flat = np.concatenate([*rows, np.empty(0, np.int64)])
         owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         scale = np.array([1 / math.sqrt(max(1, len(r))) for r in rows])
+        # Both classes weigh the same, whatever their numbers.
+        share = np.where(y == 1, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, len(y) - y.sum()))
         speed, speed_bias = np.zeros(BUCKETS), 0.0
         for _ in range(steps if len(rows) else 0):
             z = np.bincount(owner, self.weights[flat], len(rows)) * scale + self.bias
-            error = (1 / (1 + np.exp(-z)) - y) / len(y)
+            error = (1 / (1 + np.exp(-z)) - y) * share
             slope = np.bincount(flat, (error * scale)[owner], BUCKETS) + ridge * self.weights
             speed = 0.9 * speed - rate * slope
             speed_bias = 0.9 * speed_bias - 0.1 * rate * error.sum()
