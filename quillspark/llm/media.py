@@ -42,7 +42,7 @@ class Medium(NamedTuple):
 
 
 class Value(bytes):
-    """A value with what its validators share: places of markers, and where chains of GIF blocks end."""
+    """A value with what its validators share: places of markers, and where chains of GIF blocks and Ogg pages end."""
 
     def places(self, marker: bytes) -> list[int]:
         known = self.__dict__.setdefault("_places", {})
@@ -72,6 +72,23 @@ class Value(bytes):
         known.update(dict.fromkeys(passed, end))
         return end
 
+    def after_pages(self, at: int) -> int:
+        """The end of the first page flagged as the last, from a page on, or -1; chains that meet are followed once."""
+        known, passed, end = self.__dict__.setdefault("_pages", {}), [], -1
+        while at not in known and at + 27 <= len(self) and self[at : at + 5] == b"OggS\0":
+            passed.append(at)
+            following = at + 27 + self[at + 26] + sum(self[at + 27 : at + 27 + self[at + 26]])
+            if following > len(self):
+                break
+            if self[at + 5] & 4:
+                end = following
+                break
+            at = following
+        else:
+            end = known.get(at, -1)
+        known.update(dict.fromkeys(passed, end))
+        return end
+
 
 def _png(b: Value, at: int) -> tuple[str, int] | None:
     end = at + 8
@@ -176,17 +193,8 @@ def _pdf(b: Value, at: int) -> tuple[str, int] | None:
 
 def _ogg(b: Value, at: int) -> tuple[str, int] | None:
     """From a page that is flagged as the first up to one that is flagged as the last; each states its segments' sizes."""
-    end = at
-    while end + 27 <= len(b) and b[end : end + 5] == b"OggS\0":
-        if end == at and not b[end + 5] & 2:
-            return None
-        last, count = b[end + 5] & 4, b[end + 26]
-        end += 27 + count + sum(b[end + 27 : end + 27 + count])
-        if end > len(b):
-            return None
-        if last:
-            return "application/ogg", end - at
-    return None
+    end = b.after_pages(at) if at + 27 <= len(b) and b[at + 5] & 2 else -1
+    return None if end < 0 else ("application/ogg", end - at)
 
 
 # Magic bytes and the validators of their formats.

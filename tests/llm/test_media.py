@@ -47,8 +47,16 @@ def test_a_pdf_that_was_added_to_is_whole_and_two_in_a_row_are_two():
     assert sniff(b"%PDF-1.4 %%EOF") == []
 
 
+def test_ogg_streams_in_a_row_and_without_an_end():
+    first, middle, last = (b"OggS\0" + bytes([flags]) + b"\0" * 20 + b"\1\3abc" for flags in (2, 0, 4))
+    one = first + middle + last
+    assert [(m.offset, m.length) for m in sniff(one + b"--" + one)] == [(0, len(one)), (len(one) + 2, len(one))]
+    assert [(m.offset, m.length) for m in sniff(first + one)] == [(0, len(first + one)), (len(first), len(one))]
+    assert sniff(first + middle) == [] and sniff(middle + last) == [] and sniff(first + last[:-1]) == [] and sniff(first + b"x" + last) == []
+
+
 def test_time_is_linear_in_the_candidates():
-    for unit in (b"%PDF-", b"GIF89a123456!!x", b"\xff\xd8\xff\xda\x00\x02", b"PK\x03\x04", b"OggS\0" + b"\0" * 21 + b"\1\1x", b"%PDF- startxref %%EOF", b"\x89PNG\r\n\x1a\n\0\0\xff\0IDAT"):
+    for unit in (b"%PDF-", b"GIF89a123456!!x", b"\xff\xd8\xff\xda\x00\x02", b"PK\x03\x04", b"OggS\0" + b"\0" * 21 + b"\1\1x", b"OggS\0\2" + b"\0" * 21, b"RIFF\xff\xff\0\0WAVE", b"\x1f\x8b\x08\0\0\0\0\0\0\3", b"%PDF- startxref %%EOF", b"\x89PNG\r\n\x1a\n\0\0\xff\0IDAT"):
         took = []
         for n in (10_000, 20_000, 40_000):
             began = time.process_time()
