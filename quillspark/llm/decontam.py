@@ -4,9 +4,9 @@ A test item of m characters may occur in a document with up to ``m // per_edit``
 edits. Cut into one more piece than that, at least one piece must occur exactly;
 an Aho-Corasick automaton finds all piece hits in one pass over the whole text,
 and Myers' bit-parallel distance verifies the window around each hit. Texts and
-items are compared lower-cased with white space collapsed. Items of fewer than
-``short`` characters take no edits and must stand between word boundaries, since a
-few letters occur inside other words.
+items are compared lower-cased with white space collapsed. With ``whole_words`` a
+piece at an item's beginning or end counts only where no letter or digit goes on
+outside it, since a few letters occur inside other words; the rule is the same for items of every length.
 
 The benchmark is the stated query set. It is broadcast in blocks whose size is
 bounded by ``block_bytes``. With more than one block, each block's result is written
@@ -33,7 +33,6 @@ from quillspark.llm.common import arrow_type
 from quillspark.operators.durable import durable, release
 
 PER_EDIT = 20
-SHORT = 40
 BLOCK_BYTES = 4 << 20
 
 
@@ -74,9 +73,9 @@ def myers_search(pattern: str, text: str) -> tuple[int, int]:
 class PieceIndex:
     """Automaton over the pieces of a block of items; ``match`` finds all items within their budgets."""
 
-    def __init__(self, items: list[tuple[object, str]], per_edit: int = PER_EDIT, short: int = SHORT):
-        self.short = short
-        self.items = [(i, s, 0 if len(s) < short else len(s) // per_edit) for i, t in items if (s := normalise(t))]
+    def __init__(self, items: list[tuple[object, str]], per_edit: int = PER_EDIT, whole_words: bool = True):
+        self.whole_words = whole_words
+        self.items = [(i, s, len(s) // per_edit) for i, t in items if (s := normalise(t))]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for k, (_, s, budget) in enumerate(self.items):
             cuts = [len(s) * j // (budget + 1) for j in range(budget + 2)]
@@ -94,13 +93,10 @@ class PieceIndex:
             return []
         s = normalise(text)
         windows: dict[int, list[list[int]]] = {}
-        whole: dict[int, int] = {}  # short items found: ends of their first occurrences
         for last, (size, at) in self.automaton.iter(s):
             for k, offset in at:
                 _, item, budget = self.items[k]
-                if len(item) < self.short:
-                    if k not in whole and stands_alone(s, last + 1 - size, last + 1):
-                        whole[k] = last + 1
+                if self.whole_words and (offset == 0 and inside_word(s, last + 1 - size) or offset + size == len(item) and inside_word(s, last + 1)):
                     continue
                 start = last + 1 - size - offset
                 lo, hi = max(0, start - budget), start + len(item) + budget
@@ -109,7 +105,7 @@ class PieceIndex:
                     spans[-1] = [min(lo, spans[-1][0]), max(hi, spans[-1][1])]
                 else:
                     spans.append([lo, hi])
-        found = [(self.items[k][0], 0, end) for k, end in whole.items()]
+        found = []
         for k, spans in windows.items():
             name, item, budget = self.items[k]
             best = None
@@ -124,11 +120,9 @@ class PieceIndex:
         return found
 
 
-def stands_alone(text: str, start: int, end: int) -> bool:
-    """Whether no letter or digit at either end of a place goes on outside it."""
-    before = start > 0 and text[start - 1].isalnum() and text[start].isalnum()
-    after = end < len(text) and text[end].isalnum() and text[end - 1].isalnum()
-    return not before and not after
+def inside_word(text: str, at: int) -> bool:
+    """Whether a place lies between two letters or digits."""
+    return 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[bool, list[tuple[object, str]]]]:
@@ -157,7 +151,7 @@ def _with_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text
 
 def benchmark_hits(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text: str = "text", per_edit: int = PER_EDIT, short: int = SHORT, block_bytes: int = BLOCK_BYTES,
+    item_col: str = "item_id", item_text: str = "text", per_edit: int = PER_EDIT, whole_words: bool = True, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``(id_col, item_col, distance, end_char)``: each document and item that occurs in it within its budget."""
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
@@ -165,7 +159,7 @@ def benchmark_hits(
 
     def step(shared: Broadcast, before: DataFrame | None) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = PieceIndex(shared.value, per_edit, short)
+            index = PieceIndex(shared.value, per_edit, whole_words)
             for batch in batches:
                 rows = [(i, *hit) for i, t in zip(batch.column(0).to_pylist(), batch.column(1)) for hit in index.match(t.as_py())]
                 columns = zip(*rows) if rows else [[], [], [], []]
@@ -177,13 +171,13 @@ def benchmark_hits(
     return _with_blocks(docs, benchmark, item_col, item_text, block_bytes, step).select(F.col("i").alias(id_col), F.col("j").alias(item_col), "distance", "end_char")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", per_edit: int = PER_EDIT, short: int = SHORT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", per_edit: int = PER_EDIT, whole_words: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` in which no item occurs; a map over rows, without any shuffle."""
     at = docs.columns.index(text_col)
 
     def step(shared: Broadcast, before: DataFrame | None) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = PieceIndex(shared.value, per_edit, short)
+            index = PieceIndex(shared.value, per_edit, whole_words)
             for batch in batches:
                 yield batch.filter(pa.array([not index.match(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
