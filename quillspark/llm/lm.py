@@ -138,7 +138,7 @@ class EliasFano:
         n = len(values)
         if not n:
             return cls.HEAD.pack(0, 0, 0, 0)
-        low_bits = max(0, int(int(values[-1] + 1) // n).bit_length() - 1)
+        low_bits = min(57, max(0, int(int(values[-1] + 1) // n).bit_length() - 1))  # eight bytes from any bit hold so many
         span = (n * low_bits + 7) // 8
         low = np.zeros(span + 8, dtype=np.uint8)
         if low_bits:
@@ -424,25 +424,30 @@ class Packed:
 
 # ---------------------------------------------------------------- one shard: train, then score
 
-HASH_BITS = np.uint64(56)
-HASH_MASK = np.uint64((1 << 56) - 1)
+PART_BITS = np.uint64(21)  # holds MOST_CLASSES and one more
 
 
-def build_trie(nodes: np.ndarray, words: np.ndarray, counts: np.ndarray, frequent: Frequent, discount: float) -> tuple[bytes, np.ndarray, np.ndarray]:
+def nodes_of(contexts: np.ndarray, spread: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct contexts, and each pair's node: its context's rank above the part's number plus one, or 0 where it is not split."""
+    own, rank = np.unique(contexts, return_inverse=True)
+    return own, rank.astype(np.uint64) << PART_BITS | np.where(spread > 1, part + 1, 0).astype(np.uint64)
+
+
+def build_trie(nodes: np.ndarray, hashes: np.ndarray, words: np.ndarray, counts: np.ndarray, frequent: Frequent, discount: float) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The trie of training pairs (sorted by node and word), its nodes and the exact counts of their contexts.
 
-    A node is a context's hash or, for a part of a split context, that hash below the
-    part's number plus one. Such a part has its own successors, the whole
-    context's count, and backs off to the words of its class only.
+    Nodes are those of :func:`nodes_of`, ``hashes`` its contexts. A part of a split
+    context has its own successors, the whole context's count, and backs off to the words
+    of its class only.
     """
     own, owner = np.unique(nodes, return_inverse=True)
     total = np.bincount(owner, counts, len(own)).astype(float)
     kinds = np.bincount(owner, minlength=len(own))
-    at = frequent.find(own & HASH_MASK)
+    at = frequent.find(hashes[own >> PART_BITS])
     hot = at >= 0
     total[hot] = frequent.counts[at[hot]]
     room = np.ones(len(own))  # unigram mass of the words a node backs off to
-    part = (own >> HASH_BITS).astype(np.int64) - 1
+    part = (own & np.uint64((1 << int(PART_BITS)) - 1)).astype(np.int64) - 1
     for k in np.flatnonzero(part >= 0):
         room[k] = frequent.masses[part[k] :: frequent.parts[at[k]]].sum()
     word_at = frequent.find(words)
@@ -462,7 +467,7 @@ def score_shard(parts: list[Packed], frequent: Frequent, discount: float) -> tup
     words = np.concatenate([p.words for p in parts])
     # Split contexts can meet several of their parts in one shard: parts are nodes of their own.
     spread, part = frequent.split(contexts, words)
-    nodes = contexts | np.where(spread > 1, (part.astype(np.uint64) + np.uint64(1)) << HASH_BITS, np.uint64(0))
+    hashes, nodes = nodes_of(contexts, spread, part)
     rows_each = np.concatenate([p.rows_each for p in parts])
     row = np.concatenate([p.row.astype(np.int32) + np.int32(o) for p, o in zip(parts, offsets)])
     times = np.concatenate([p.times for p in parts])
@@ -482,12 +487,12 @@ def score_shard(parts: list[Packed], frequent: Frequent, discount: float) -> tup
     count = np.bincount(pair, times * ~held[row], len(code))
     own_node, own_word = node_values[code // len(word_values)], word_values[code % len(word_values)]
     trained = count > 0
-    buffer, nodes, totals = build_trie(own_node[trained], own_word[trained], count[trained], frequent, discount)
+    buffer, nodes, totals = build_trie(own_node[trained], hashes, own_word[trained], count[trained], frequent, discount)
     trie = NgramTrie.mapped(buffer)
     del buffer
     log_prob, backoff = trie.look_up(own_node, own_word)
 
-    context = own_node & HASH_MASK
+    context = hashes[own_node >> PART_BITS]
     at = np.searchsorted(nodes, own_node)
     known_node = np.zeros(len(code), dtype=bool)
     inside = at < len(nodes)

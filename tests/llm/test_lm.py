@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quillspark.llm.lm import DISCOUNT, EliasFano, Frequent, NgramTrie, Packed, build_trie, language_scores, op10_lm, pack_chunk, parts_of, quantise, score_shard, word_hashes
+from quillspark.llm.lm import DISCOUNT, EliasFano, Frequent, NgramTrie, Packed, build_trie, language_scores, nodes_of, op10_lm, pack_chunk, parts_of, quantise, score_shard, word_hashes
 
 
 @pytest.mark.parametrize("values", [[0], [5, 5, 5], [0, 1, 2, 3], [0, 1 << 40, (1 << 62) + 7], "random", "dense"])
@@ -158,15 +158,15 @@ def test_shards_split_contexts_and_pieces_agree(parts):
     pairs = Counter((int(a), int(b)) for line in lines for a, b in zip(word_hashes(line), word_hashes(line)[1:]))
     ctx, word = (np.array(x, dtype=np.uint64) for x in zip(*pairs))
     spread, part = frequent.split(ctx, word)
-    nodes = ctx | np.where(spread > 1, (part.astype(np.uint64) + np.uint64(1)) << np.uint64(56), np.uint64(0))
+    hashes, nodes = nodes_of(ctx, spread, part)
     order = np.lexsort((word, nodes))
-    buffer, own, _ = build_trie(nodes[order], word[order], np.array(list(pairs.values()))[order], frequent, DISCOUNT)
+    buffer, own, _ = build_trie(nodes[order], hashes, word[order], np.array(list(pairs.values()))[order], frequent, DISCOUNT)
     trie, floor = NgramTrie(np.frombuffer(buffer, np.uint8)), frequent.tokens + frequent.distinct + 1
     total = Counter()
     words = np.array(list(uni), dtype=np.uint64)
     for c in np.unique(ctx):
         spread, part = frequent.split(np.full(len(words), c), words)
-        asked = c | np.where(spread > 1, (part.astype(np.uint64) + np.uint64(1)) << np.uint64(56), np.uint64(0))
+        asked = np.uint64(np.searchsorted(hashes, c) << 21) | np.where(spread > 1, part + 1, 0).astype(np.uint64)
         prob, back = trie.look_up(asked, words)
         unigram = np.array([(uni[int(w)] + 1) / floor for w in words])
         known = np.isin(asked, own)
@@ -176,6 +176,33 @@ def test_shards_split_contexts_and_pieces_agree(parts):
     assert total["nodes"] > 20
 
 
+def test_each_of_many_parts_backs_off_to_its_own_class():
+    parts, rng = 512, np.random.default_rng(8)
+    words = np.unique(rng.integers(0, 1 << 56, 6_000).astype(np.uint64))
+    counts = rng.integers(1, 9, len(words))
+    n, v = int(counts.sum()), len(words)
+    masses = np.bincount((words % np.uint64(parts)).astype(int), (counts + 1) / (n + v + 1), parts)
+    frequent = Frequent(np.array([77], dtype=np.uint64), np.array([float(n)]), n, v, masses, 8)
+    frequent.parts[:] = parts
+    seen = words[::2]
+    spread, part = frequent.split(np.full(len(seen), 77, dtype=np.uint64), seen)
+    hashes, nodes = nodes_of(np.full(len(seen), 77, dtype=np.uint64), spread, part)
+    order = np.lexsort((seen, nodes))
+    buffer, own, totals = build_trie(nodes[order], hashes, seen[order], np.ones(len(seen)), frequent, DISCOUNT)
+    kinds = np.bincount(part, minlength=parts)
+    want = np.log10(DISCOUNT * kinds[kinds > 0] / n / masses[kinds > 0])
+    assert len(own) == (kinds > 0).sum() > 500 and (totals == n).all()
+    _, back = NgramTrie(np.frombuffer(buffer, np.uint8)).look_up(own, np.full(len(own), words[1]))
+    assert np.abs(back - want).max() < 0.03
+
+
+def test_sparse_sequences_of_large_values():
+    values = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 5).astype(np.uint64))
+    for some in (values, values[-2:], values[-1:]):
+        packed = EliasFano.view(np.frombuffer(EliasFano.pack(some), np.uint8), 0)[0]
+        assert packed[np.arange(len(some))].tolist() == some.tolist() and packed.find(some).tolist() == list(range(len(some)))
+
+
 def test_odd_rows(odd_docs, make_docs):
     rows = language_scores(odd_docs).collect()
     assert len(rows) == odd_docs.count()
