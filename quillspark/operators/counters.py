@@ -1,4 +1,4 @@
-"""Counter snapshots: as-of lookup, prioritised matching, clamped deltas, totals."""
+"""Counter snapshots: as-of lookup, prioritised matching, clamped deltas, totals, and both forms of a snapshot: flat rows and a document."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 
 from quillspark import schema
 from quillspark.functions.coerce import collated, flag, name_or, non_negative_integer, text
+from quillspark.operators.durable import durable
+from quillspark.operators.ranking import global_rank, running_sum
 
 STATES = ("existing", "replaced", "new")
 
@@ -19,7 +21,7 @@ def published(releases: DataFrame) -> DataFrame:
 
 
 def as_of(snapshots: DataFrame, date: str, repository: str | None = None) -> DataFrame:
-    """The newest snapshot of a strictly earlier date: one row at most. The filter prunes on the date."""
+    """The newest snapshot of a strictly earlier date: one row at most. On files that are named, not partitioned, by date all are read."""
     earlier = snapshots.where(F.col("date") < F.lit(date))
     if repository is not None:
         earlier = earlier.where(F.col("repository") == repository)
@@ -112,28 +114,63 @@ def totals(releases: DataFrame, assets: DataFrame) -> DataFrame:
     return counted.join(summed, how="cross")  # one row each
 
 
-def build_snapshot(raw: DataFrame, previous: DataFrame | None, repository: str, captured_at: str) -> DataFrame:
-    """The snapshot document of one capture: a single row of ``schema.SNAPSHOT``.
+def _state(df: DataFrame, kind: str, **known: Column) -> DataFrame:
+    """Rows of ``schema.STATE``; columns that are neither given nor known are null."""
+    has = {c: F.col(c) for c in df.columns} | known | {"kind": F.lit(kind)}
+    return df.select(*[has.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.STATE.fields])
+
+
+def previous_assets(rows: DataFrame) -> DataFrame:
+    """The assets of one stored snapshot's flat rows, as :func:`match_states` takes them."""
+    return rows.where("kind = 'asset'").select(F.col("release_nth").alias("r"), F.col("asset_nth").alias("a"), "tagName", "id", "name", "downloadCount")
+
 
-    ``captured_at`` is normalised ISO text; ``previous`` holds one snapshot at most.
-    Assets sort by name and id as text, releases by tag, ties in input order.
+def snapshot_rows(raw: DataFrame, previous: DataFrame | None, repository: str, captured_at: str, previous_date: str | None = None) -> DataFrame:
+    """The snapshot of one capture as flat rows of ``schema.STATE``.
+
+    ``captured_at`` is normalised ISO text; ``previous`` has the columns of :func:`previous_assets`.
+    Assets sort by name and id as text, releases by tag, ties in input order; places count
+    from 1 and are found by ranges, so neither a release nor the whole capture meets in one task.
+    ``raw`` is read more than once, so it must give the same rows each time.
     """
-    spark = raw.sparkSession
-    previous = spark.createDataFrame([], schema.SNAPSHOT) if previous is None else previous
+    if "ordinal" not in raw.columns:
+        raw = durable(raw.withColumn("ordinal", F.monotonically_increasing_id()))
+    head = {"repository": F.lit(repository), "capturedAt": F.lit(captured_at), "date": F.lit(captured_at[:10]), "previousDate": F.lit(previous_date)}
     releases = flat_releases(raw)
-    assets = match_states(flat_assets(releases), snapshot_assets(previous))
-    in_release = Window.partitionBy("ordinal").orderBy(collated(F.col("name")), collated(F.col("id").cast("string")), "place")
-    fields = ["id", "name", "sizeBytes", "downloadCount", "downloadDelta", "trackingState", "previousAssetId", "updatedAt", "downloadUrl"]
-    grouped = (
-        assets.withColumn("nth", F.row_number().over(in_release)).groupBy("ordinal")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.struct(*fields).alias("asset")))), lambda x: x["asset"]).alias("assets"))
+    if previous is None:
+        previous = previous_assets(raw.sparkSession.createDataFrame([], schema.STATE))
+    ranked = durable(global_rank(releases.drop("assets"), [collated(F.col("tagName")), F.col("ordinal")], "release_nth"))
+    states = match_states(flat_assets(releases), previous).withColumn("_one", F.lit(1).cast("long"))
+    placed = running_sum(states, ["ordinal"], [collated(F.col("name")), collated(F.col("id").cast("string")), F.col("place")], "_one", "asset_nth").drop("tagName")
+    named = ranked.select("ordinal", "release_nth", F.col("id").alias("releaseId"), "tagName", F.col("name").alias("releaseName"), "prerelease", "publishedAt", "releaseUrl")
+    header = raw.sparkSession.range(1).drop("id")
+    return _state(header, "snapshot", **head).unionByName(_state(named, "release", **head)).unionByName(_state(named.join(placed, "ordinal"), "asset", **head))
+
+
+def rows_of(snapshots: DataFrame) -> DataFrame:
+    """Stored snapshot documents as flat rows of ``schema.STATE``."""
+    head = ["repository", "capturedAt", "date", "previousDate"]
+    each = snapshots.select(*head, F.posexplode("releases").alias("r", "release"))
+    release = {"release_nth": F.col("r") + 1, "tagName": F.col("release.tagName")} | {n: F.col(f"release.{f}") for n, f in (("releaseId", "id"), ("releaseName", "name"), ("prerelease", "prerelease"), ("publishedAt", "publishedAt"), ("releaseUrl", "releaseUrl"))}
+    assets = each.select(*head, "r", "release", F.posexplode("release.assets").alias("a", "asset"))
+    return (
+        _state(snapshots.select(*head), "snapshot").unionByName(_state(each, "release", **release))
+        .unionByName(_state(assets, "asset", **release, asset_nth=F.col("a") + 1, **{f: F.col(f"asset.{f}") for f in schema.ASSET.names}))
     )
-    document = Window.partitionBy(F.lit(0)).orderBy(collated(F.col("tagName")), "ordinal")  # one document: its releases meet in one row anyway
-    listed = releases.drop("assets").join(grouped, "ordinal", "left").withColumn("nth", F.row_number().over(document))
-    release = F.struct("id", "tagName", "name", "prerelease", "publishedAt", "releaseUrl", F.coalesce("assets", F.array().cast(ArrayType(schema.ASSET))).alias("assets"))
-    body = listed.agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", release.alias("release")))), lambda x: x["release"]).alias("releases"))
-    flat = F.flatten(F.col("releases.assets"))
-    zero = F.lit(0).cast("bigint")
+
+
+def documents(rows: DataFrame) -> DataFrame:
+    """One document of ``schema.SNAPSHOT`` per repository and date from flat rows; a document is one row, so it holds all its assets."""
+    key = ["repository", "date"]
+    listed = lambda nth, item: F.transform(F.array_sort(F.collect_list(F.struct(nth, item.alias("item")))), lambda x: x["item"])
+    assets = rows.where("kind = 'asset'").groupBy(*key, "release_nth").agg(listed("asset_nth", F.struct(*schema.ASSET.names)).alias("assets"))
+    none = F.array().cast(ArrayType(schema.ASSET))
+    releases = rows.where("kind = 'release'").join(assets, [*key, "release_nth"], "left")
+    release = F.struct(F.col("releaseId").alias("id"), "tagName", F.col("releaseName").alias("name"), "prerelease", "publishedAt", "releaseUrl", F.coalesce("assets", none).alias("assets"))
+    bodies = releases.groupBy(*key).agg(listed("release_nth", release).alias("releases"))
+    full = rows.where("kind = 'snapshot'").select(*key, "capturedAt", "previousDate").join(bodies, key, "left")
+    full = full.withColumn("releases", F.coalesce("releases", F.array().cast(ArrayType(schema.RELEASE))))
+    flat, zero = F.flatten(F.col("releases.assets")), F.lit(0).cast("bigint")
 
     def total(field: str) -> Column:
         return F.aggregate(F.transform(flat, lambda a: a[field]), zero, lambda s, x: s + x)
@@ -142,8 +179,12 @@ def build_snapshot(raw: DataFrame, previous: DataFrame | None, repository: str,
         F.size("releases").cast("bigint").alias("releaseCount"), F.size(flat).cast("bigint").alias("assetCount"),
         total("downloadCount").alias("currentDownloads"), total("downloadDelta").alias("downloadIncrease"),
     )
-    before = previous.agg(F.max("date").alias("previousDate"))
-    return body.join(before, how="cross").select(
-        F.lit(schema.SCHEMA_VERSION).alias("schemaVersion"), F.lit(repository).alias("repository"), F.lit(captured_at).alias("capturedAt"),
-        F.lit(captured_at[:10]).alias("date"), "previousDate", sums.alias("totals"), "releases",
-    )
+    return full.withColumn("totals", sums).withColumn("schemaVersion", F.lit(schema.SCHEMA_VERSION)).select(*schema.SNAPSHOT.names)
+
+
+def build_snapshot(raw: DataFrame, previous: DataFrame | None, repository: str, captured_at: str) -> DataFrame:
+    """The snapshot document of one capture, a single row of ``schema.SNAPSHOT``; ``previous`` holds one document at most."""
+    if previous is None:
+        return documents(snapshot_rows(raw, None, repository, captured_at))
+    before = previous.agg(F.max("date")).first()[0]
+    return documents(snapshot_rows(raw, snapshot_assets(previous), repository, captured_at, before))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark import schema
-from quillspark.functions.coerce import markdown_cell, signed
+from quillspark.functions.coerce import collated, markdown_cell, signed
 from quillspark.operators.counters import first_by
 
 
@@ -36,6 +36,17 @@ def history(snapshots: DataFrame) -> DataFrame:
     )
 
 
+def state_history(rows: DataFrame) -> DataFrame:
+    """``schema.HISTORY`` rows of flat state rows, unordered, with the columns that order them (``ORDER``)."""
+    asset = {"date": "date", "captured_at": "capturedAt", "release_tag": "tagName", "release_name": "releaseName", "is_prerelease": "prerelease", "asset_id": "id", "asset_name": "name", "size_bytes": "sizeBytes", "download_count": "downloadCount", "download_delta": "downloadDelta", "tracking_state": "trackingState"}
+    return rows.where("kind = 'asset'").select(*[F.col(c).alias(n) for n, c in asset.items()], "release_nth", "asset_nth")
+
+
+def ordered(rows: DataFrame) -> DataFrame:
+    """Rows of :func:`state_history` by capture time, collated as the look-up of earlier snapshots is, and stored order; dealt by ranges."""
+    return rows.orderBy(collated(F.col("captured_at")), "captured_at", "release_nth", "asset_nth").drop("release_nth", "asset_nth")
+
+
 def report_rows(snapshot: DataFrame) -> DataFrame:
     """The report's table lines of one snapshot, in stored order."""
     rows = snapshot.select(F.posexplode("releases").alias("_r", "release")).select("_r", "release", F.posexplode("release.assets").alias("_a", "asset"))

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark import schema
 from quillspark.functions import coerce
-from quillspark.operators.counters import as_of, build_snapshot, clamped_delta, first_by, flat_assets, flat_releases, match_states, published, snapshot_assets, totals
+from quillspark.operators.counters import as_of, clamped_delta, first_by, match_states, published, snapshot_assets, totals
 from quillspark.operators.durable import durable
 from quillspark.operators.history import history, report_rows
 from quillspark.operators.ranking import global_rank
-from quillspark.sources.releases_api import read_api
 
 FIRST_DAY = "2024-01-01"
 TAG_NUMBERS = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
@@ -45,7 +42,7 @@ def simulated_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TAG_CASE = "CASE event_type " + " ".join(f"WHEN '{t}' THEN {n}" for t, n in TAG_NUMBERS.items()) + " ELSE 0 END"
-_SIMULATED = f"""
+SIMULATED = f"""
 e AS (SELECT event_type AS tag, user_id, date_diff('day', DATE '{FIRST_DAY}', ts::DATE) + 1 AS day, {_TAG_CASE} AS tag_no FROM events),
 f AS (SELECT tag, tag_no, user_id, min(day) AS first FROM e GROUP BY ALL),
 d AS (SELECT f.*, unnest(range(first, (SELECT max(day) + 1 FROM e))) AS day FROM f),
@@ -82,8 +79,9 @@ def counter_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counter_totals_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = with_states(simulated_assets(spark, sf_dir)).where(F.lit(False))
-    return totals(states, states)
+    """The totals of a capture whose releases, orders of status P, are all drafts."""
+    drafts = read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.lit(True).alias("draft"), F.col("o_orderkey").alias("downloadCount"), F.col("o_orderkey").alias("downloadDelta"))
+    return totals(published(drafts), published(drafts))
 
 
 def asset_documents(states: DataFrame) -> DataFrame:
@@ -149,33 +147,6 @@ def flat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.join(deltas, ["tagName", "id"])
 
 
-def page_append_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three API pages with an overlap, a draft, an unusable count and a missing list: read, flattened, every repeat kept."""
-    pages = [
-        [{"id": 1, "tag_name": "v1", "name": "", "assets": [{"id": 11, "name": "a", "size": 5, "download_count": "0x10"}, {"id": 12, "name": None, "download_count": -3}]}, {"id": 2, "tag_name": "v2", "draft": True}],
-        [{"id": 1, "tag_name": "v1", "assets": [{"id": 11, "name": "a", "download_count": 4}]}, {"id": 3, "tag_name": None, "name": "n", "assets": None}],
-        [{"id": 4, "tag_name": "v4", "assets": [{"id": 41, "name": "z", "download_count": 7.9}]}],
-    ]
-
-    def fetch(url: str, sent: dict) -> tuple[int, str, str]:
-        n = int(url.rsplit("=", 1)[1])
-        return 200, f'<https://x?page={n + 1}>; rel="next"' if n < len(pages) else "", json.dumps(pages[n - 1])
-
-    releases = flat_releases(read_api(spark, "o/r", fetch=fetch))
-    return flat_assets(releases).select("tagName", "id", "name", "sizeBytes", "downloadCount")
-
-
-def repeated_keys_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two captures, the first with two assets under one tag and name: the last of them is the earlier one."""
-    def raw(*assets):
-        rows = [(1, "v1", "one", False, False, None, None, [(i, n, "1", str(c), None, None) for i, n, c in assets])]
-        return spark.createDataFrame(rows, schema.RAW_RELEASES)
-
-    first = durable(build_snapshot(raw((5, "dup", 1), (6, "dup", 2), (7, "same", 9)), None, "o/r", "2026-07-01T00:00:00.000Z"))
-    second = durable(build_snapshot(raw((9, "dup", 8), (7, "same", 4), (10, "b", 1)), first, "o/r", "2026-07-02T00:00:00.000Z"))
-    return history(first.unionByName(second)).select("date", "asset_id", "asset_name", "download_count", "download_delta", "tracking_state")
-
-
 def locale_sort_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = read(spark, sf_dir, "part").groupBy("p_name").agg(F.count("*").alias("n"))
     return global_rank(names, [coerce.collated(F.col("p_name")), F.col("p_name")], "place")
@@ -236,21 +207,19 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     counter_delta_states, counter_totals, counter_totals_empty, asof_previous_snapshot, counter_reset_clamp, latest_per_day, published_filter,
     nested_unnest_history, locale_sort_rank, nonneg_int_coerce, name_fallback, csv_cell_escape, markdown_cell_escape, iso_date_utc,
-    link_header_next, page_append, json_roundtrip, report_lines, flat_history, page_append_repeats, repeated_keys_snapshot,
+    link_header_next, page_append, json_roundtrip, report_lines, flat_history,
 )}
 
 _VALUES = ", ".join(f"({k}, '{x}')" for k, x in enumerate(_LITERALS))
 _SNAPSHOTS = "g AS (SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS downloads FROM events WHERE day(ts) % 3 <> 0 GROUP BY 1)"
 
 ORACLE_SQL = {
-    "counter_delta_states": f"WITH {_SIMULATED} SELECT tag, state, count(*) AS assets, sum(delta)::BIGINT AS increase FROM s GROUP BY ALL",
-    "counter_totals": f"WITH {_SIMULATED} SELECT count(DISTINCT tag) AS releaseCount, count(*) AS assetCount, sum(count)::BIGINT AS currentDownloads, sum(delta)::BIGINT AS downloadIncrease FROM s WHERE day = (SELECT max(day) FROM s)",
-    "counter_totals_empty": "SELECT 0::BIGINT AS releaseCount, 0::BIGINT AS assetCount, 0::BIGINT AS currentDownloads, 0::BIGINT AS downloadIncrease",
-    "flat_history": f"WITH {_SIMULATED} SELECT tag AS tagName, user_id::VARCHAR AS name, id::BIGINT AS id, count::BIGINT AS downloadCount, delta::BIGINT AS delta, CASE WHEN state = 'replaced' THEN old_id::BIGINT END AS earlier FROM s WHERE day = (SELECT max(day) FROM s)",
-    "page_append_repeats": "SELECT * FROM (VALUES ('v1', 11::BIGINT, 'a', 5::BIGINT, 16::BIGINT), ('v1', 12, '', 0, 0), ('v1', 11, 'a', 0, 4), ('v4', 41, 'z', 0, 7)) t(tagName, id, name, sizeBytes, downloadCount)",
-    "repeated_keys_snapshot": "SELECT * FROM (VALUES ('2026-07-01', 5::BIGINT, 'dup', 1::BIGINT, 1::BIGINT, 'new'), ('2026-07-01', 6, 'dup', 2, 2, 'new'), ('2026-07-01', 7, 'same', 9, 9, 'new'), ('2026-07-02', 10, 'b', 1, 1, 'new'), ('2026-07-02', 9, 'dup', 8, 8, 'replaced'), ('2026-07-02', 7, 'same', 4, 0, 'existing')) t(date, asset_id, asset_name, download_count, download_delta, tracking_state)",
+    "counter_delta_states": f"WITH {SIMULATED} SELECT tag, state, count(*) AS assets, sum(delta)::BIGINT AS increase FROM s GROUP BY ALL",
+    "counter_totals": f"WITH {SIMULATED} SELECT count(DISTINCT tag) AS releaseCount, count(*) AS assetCount, sum(count)::BIGINT AS currentDownloads, sum(delta)::BIGINT AS downloadIncrease FROM s WHERE day = (SELECT max(day) FROM s)",
+    "counter_totals_empty": "SELECT count(*) AS releaseCount, count(*) AS assetCount, coalesce(sum(o_orderkey), 0)::BIGINT AS currentDownloads, coalesce(sum(o_orderkey), 0)::BIGINT AS downloadIncrease FROM (SELECT *, o_orderstatus = 'P' AS draft FROM orders) WHERE o_orderstatus = 'P' AND NOT draft",
+    "flat_history": f"WITH {SIMULATED} SELECT tag AS tagName, user_id::VARCHAR AS name, id::BIGINT AS id, count::BIGINT AS downloadCount, delta::BIGINT AS delta, CASE WHEN state = 'replaced' THEN old_id::BIGINT END AS earlier FROM s WHERE day = (SELECT max(day) FROM s)",
     "asof_previous_snapshot": f"WITH {_SNAPSHOTS}, w AS (SELECT unnest(['2024-01-01', '2024-01-07', '2024-01-10', '2024-02-15']) AS capture_date) SELECT capture_date, max(g.date) AS previous_date, arg_max(downloads, g.date) AS downloads FROM w JOIN g ON g.date < capture_date GROUP BY capture_date",
-    "counter_reset_clamp": f"WITH {_SIMULATED}, x AS (SELECT tag, user_id, day, CASE WHEN day % 7 = 0 THEN count::BIGINT // 2 ELSE count::BIGINT END AS count FROM c), y AS (SELECT tag, CASE WHEN lag(count) OVER w IS NULL THEN count ELSE greatest(0, count - lag(count) OVER w) END AS delta FROM x WINDOW w AS (PARTITION BY tag, user_id ORDER BY day)) SELECT tag, sum(delta)::BIGINT AS increase, count(*) FILTER (delta = 0) AS flat, min(delta)::BIGINT AS least FROM y GROUP BY tag",
+    "counter_reset_clamp": f"WITH {SIMULATED}, x AS (SELECT tag, user_id, day, CASE WHEN day % 7 = 0 THEN count::BIGINT // 2 ELSE count::BIGINT END AS count FROM c), y AS (SELECT tag, CASE WHEN lag(count) OVER w IS NULL THEN count ELSE greatest(0, count - lag(count) OVER w) END AS delta FROM x WINDOW w AS (PARTITION BY tag, user_id ORDER BY day)) SELECT tag, sum(delta)::BIGINT AS increase, count(*) FILTER (delta = 0) AS flat, min(delta)::BIGINT AS least FROM y GROUP BY tag",
     "latest_per_day": "SELECT date, event_id, event_type, user_id FROM (SELECT strftime(ts, '%Y-%m-%d') AS date, event_id, event_type, user_id, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts DESC, event_id) AS n FROM events) WHERE n = 1",
     "published_filter": "SELECT o_orderstatus, count(*) AS n, min(o_orderkey) AS first_key FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1",
     "nested_unnest_history": "SELECT o_custkey, o_orderkey, l_linenumber, l_quantity::BIGINT AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
@@ -263,5 +232,5 @@ ORACLE_SQL = {
     "link_header_next": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url ELSE '' END AS next_url FROM pages",
     "page_append": "SELECT o_orderstatus, count(*) AS n, sum(o_orderkey)::BIGINT AS key_sum FROM (SELECT * FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT * FROM orders WHERE o_orderkey % 2 = 0) GROUP BY 1",
     "json_roundtrip": "SELECT event_id, '{\"k\":' || (props::JSON->>'k') || ',\"missing\":null}' AS document, (props::JSON->>'k')::BIGINT AS k FROM events",
-    "report_lines": f"WITH {_SIMULATED} SELECT '| ' || tag || ' | ' || user_id || ' | ' || count::BIGINT || ' | +' || delta::BIGINT || ' | ' || state || ' |' AS line FROM s WHERE day = (SELECT max(day) FROM s)",
+    "report_lines": f"WITH {SIMULATED} SELECT '| ' || tag || ' | ' || user_id || ' | ' || count::BIGINT || ' | +' || delta::BIGINT || ' | ' || state || ' |' AS line FROM s WHERE day = (SELECT max(day) FROM s)",
 }

@@ -8,11 +8,13 @@ import sys
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.operators.counters import as_of, build_snapshot
+from quillspark.operators.counters import documents, previous_assets, rows_of, snapshot_rows
 from quillspark.operators.durable import durable
 from quillspark.sources.releases_api import read_api
-from quillspark.sources.snapshots import Folder, history_csv, pretty, read_snapshots, report
+from quillspark.sources.snapshots import NAMES, Folder, pretty, read_snapshots, report, write_history_file
+from quillspark.sources.state import earlier_day, read_day, read_state, write_days
 
 
 def normalised_time(captured_at: str | None) -> str:
@@ -26,24 +28,30 @@ def normalised_time(captured_at: str | None) -> str:
 
 
 def write_metrics(spark: SparkSession, output_dir: str, repository: str, captured_at: str, releases: DataFrame, same_repository: bool = False) -> DataFrame:
-    """Write the day's snapshot, then ``latest.json``, the report and the history; return the snapshot.
+    """Write the day's rows to the state table, then the views: documents, ``latest.json``, report and history; return the snapshot.
 
-    The same day's run replaces its document and compares with the day before. A
-    backfilled day leaves later days as they are and becomes ``latest.json``.
+    The state is a table partitioned by date: the day before is found by partition and read
+    alone, and the same day's run replaces its partition. A folder that has only
+    documents is taken over first. A backfilled day leaves later days as they are and becomes ``latest.json``.
     """
-    state = Folder(spark, f"{output_dir}/snapshots")
-    state.make()
     if not repository:
         raise ValueError("a repository is required")
     moment = normalised_time(captured_at)
-    previous = durable(as_of(read_snapshots(spark, state.path), moment[:10], repository if same_repository else None))
-    snapshot = durable(build_snapshot(releases, previous, repository, moment))
+    table, views, days = f"{output_dir}/state", Folder(spark, output_dir), Folder(spark, f"{output_dir}/snapshots")
+    days.make()
+    if not Folder(spark, table).exists() and days.files(NAMES):
+        write_days(rows_of(read_snapshots(spark, days.path)), table)
+    releases = durable(releases if "ordinal" in releases.columns else releases.withColumn("ordinal", F.monotonically_increasing_id()))
+    before = earlier_day(spark, table, moment[:10], repository if same_repository else None)
+    previous = previous_assets(read_day(spark, table, before))
+    rows = durable(snapshot_rows(releases, previous, repository, moment, before))
+    write_days(rows, table)
+    snapshot = durable(documents(rows))
     document = pretty(snapshot)
-    state.write(f"{moment[:10]}.json", document)
-    views = Folder(spark, output_dir)
+    days.write(f"{moment[:10]}.json", document)
     views.write("latest.json", document)
     views.write("README.md", report(snapshot))
-    views.write("release-downloads.csv", history_csv(read_snapshots(spark, state.path)))
+    write_history_file(read_state(spark, table), output_dir, "release-downloads.csv")
     return snapshot
 
 

@@ -28,4 +28,10 @@ HISTORY = _struct(
     size_bytes=LONG, download_count=LONG, download_delta=LONG, tracking_state=TEXT,
 )
 
+#: The flat form of snapshots: one row for each snapshot, release and asset (``kind``), with its place in the stored order.
+STATE = _struct(
+    repository=TEXT, capturedAt=TEXT, date=TEXT, previousDate=TEXT, kind=TEXT, release_nth=LONG, asset_nth=LONG,
+    releaseId=LONG, tagName=TEXT, releaseName=TEXT, prerelease=FLAG, publishedAt=TEXT, releaseUrl=TEXT, **{f.name: f.dataType for f in ASSET.fields},
+)
+
 SCHEMA_VERSION = 1

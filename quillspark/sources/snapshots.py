@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark import schema
-from quillspark.operators.history import history, report_rows
+from quillspark.functions.coerce import csv_cell
+from quillspark.operators.counters import documents
+from quillspark.operators.history import history, ordered, report_rows, state_history
+from quillspark.sources.ordered_text import write_ordered
 
 NAMES = "[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9].json"
 
@@ -34,6 +39,11 @@ class Folder:
         """Regular files directly inside whose names match."""
         return sorted(s.getPath().toString() for s in self._fs.globStatus(self._at(pattern)) or [] if s.isFile() and not s.isSymlink())
 
+    def partitions(self, key: str) -> list[str]:
+        """Values of the partitions ``key=value`` directly inside."""
+        found = self._fs.globStatus(self._at(f"{key}=*")) if self.exists() else []
+        return sorted(s.getPath().getName().partition("=")[2] for s in found or [] if s.isDirectory())
+
     def write(self, name: str, text: str) -> None:
         out = self._fs.create(self._at(name), True)
         try:
@@ -54,9 +64,9 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.SNAPSHOT).option("multiLine", True).option("mode", "FAILFAST").json(files)
 
 
-def read_releases(spark: SparkSession, path: str) -> DataFrame:
-    """Saved API pages (JSON arrays of releases), with the order of files and rows as ``ordinal``."""
-    raw = spark.read.schema(schema.RAW_RELEASES).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def read_releases(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Saved API pages (JSON arrays of releases, one a file or, with ``lines``, one a line), with the order of files and rows as ``ordinal``."""
+    raw = spark.read.schema(schema.RAW_RELEASES).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     return raw.withColumn("ordinal", F.monotonically_increasing_id())
 
 
@@ -66,16 +76,33 @@ def pretty(snapshot: DataFrame) -> str:
     return json.dumps(json.loads(row.j), indent=2, ensure_ascii=False) + "\n"
 
 
-def history_csv(snapshots: DataFrame) -> str:
-    """The whole history as CSV text: header, line feeds, quotes only where needed."""
-    from quillspark.functions.coerce import csv_cell
+def history_lines(rows: DataFrame) -> DataFrame:
+    """CSV lines (column ``line``) of ordered history rows: quotes only where needed."""
+    return rows.select(F.array_join(F.array(*[csv_cell(F.col(c)) for c in schema.HISTORY.names]), ",").alias("line"))
 
-    rows = history(snapshots)
-    line = F.array_join(F.array(*[csv_cell(F.col(c)) for c in rows.columns]), ",")
-    lines = [r[0] for r in rows.select(line.alias("line")).toLocalIterator()]
+
+def history_csv(snapshots: DataFrame) -> str:
+    """A small history as CSV text; :func:`write_history_file` writes one of any size."""
+    lines = [r[0] for r in history_lines(history(snapshots)).toLocalIterator()]
     return "\n".join([",".join(schema.HISTORY.names), *lines]) + "\n"
 
 
+def write_history_file(rows: DataFrame, folder: str, name: str) -> None:
+    """The whole history of flat state rows as one ordered CSV file with line feeds; it never passes the driver's memory."""
+    write_ordered(history_lines(ordered(state_history(rows))), folder, name, ",".join(schema.HISTORY.names))
+
+
+def write_documents(rows: DataFrame, folder: str) -> None:
+    """Each day of flat state rows as a document ``<date>.json``, as :func:`pretty` writes it; tasks write days side by side."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [json.dumps(json.loads(t), indent=2, ensure_ascii=False) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["file", "line"])
+
+    whole = F.to_json(F.struct(*schema.SNAPSHOT.names), {"ignoreNullFields": "false"})
+    write_ordered(documents(rows).select(F.concat("date", F.lit(".json")).alias("file"), whole.alias("line")).mapInArrow(run, "file string, line string"), folder)
+
+
 def write_history(snapshots: DataFrame, path: str) -> None:
     """The history as a Spark CSV folder, for states that no single file should hold.
 
@@ -84,14 +111,6 @@ def write_history(snapshots: DataFrame, path: str) -> None:
     history(snapshots).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
-def upsert_day(snapshot: DataFrame, path: str) -> None:
-    """Replace the day's partition of a date-partitioned Parquet state table; other days stay.
-
-    The mode is set on the writer: the default static mode would empty the table.
-    """
-    snapshot.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
-
-
 def report(snapshot: DataFrame) -> str:
     """Markdown: the totals, one line per asset, and how to read them."""
     repository, date, moment, downloads, increase = snapshot.select("repository", "date", "capturedAt", "totals.currentDownloads", "totals.downloadIncrease").first()

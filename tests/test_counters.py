@@ -14,7 +14,7 @@ from quillspark.operators.durable import durable
 from quillspark.operators.history import history, latest_per_date
 from quillspark.plans import job
 from quillspark.sources import releases_api
-from quillspark.sources.snapshots import history_csv, pretty, read_snapshots, report, upsert_day, write_history
+from quillspark.sources.snapshots import history_csv, pretty, read_snapshots, report, write_history
 
 RAW = StructType([*schema.RAW_RELEASES.fields, StructField("ordinal", LongType())])
 
@@ -221,14 +221,6 @@ def test_state_folder_rules(spark, tmp_path):
         read_snapshots(spark, str(tmp_path)).collect()
 
 
-def test_day_partitions_are_replaced_alone(spark, tmp_path):
-    path = str(tmp_path / "state")
-    for moment, n in (("2026-07-12T00:00:00Z", 1), ("2026-07-13T00:00:00Z", 2), ("2026-07-12T01:00:00Z", 3)):
-        upsert_day(snap(spark, moment, release(1, "v1", [asset(1, "a", n)])), path)
-    got = spark.read.parquet(path).selectExpr("cast(date as string) as d", "totals.currentDownloads as n").orderBy("d").collect()
-    assert [tuple(r) for r in got] == [("2026-07-12", 3), ("2026-07-13", 2)]
-
-
 def test_report(spark):
     s = snap(spark, "2026-07-12T16:17:00Z", release(2, "macos|x", [asset(21, "app.zip", 6)], prerelease=True))
     text = report(s)

@@ -1,0 +1,173 @@
+"""Stored state: as-of joins over ranges, pruned partitions, the ordered sink."""
+
+import json
+import random
+from pathlib import Path
+
+import pytest
+from oracle import canonical
+from pyspark.sql import functions as F
+
+from quillspark import schema
+from quillspark.operators.asof import asof_join
+from quillspark.operators.counters import documents, previous_assets, rows_of, snapshot_rows
+from quillspark.operators.durable import durable
+from quillspark.operators.history import ordered, state_history
+from quillspark.operators.ranking import ranged
+from quillspark.plans import job
+from quillspark.sources.ordered_text import OrderedText, Parts, _Writer, write_ordered
+from quillspark.sources.snapshots import history_csv, pretty, read_snapshots, write_documents, write_history_file
+from quillspark.sources.state import earlier_day, read_day, read_state, write_days
+from test_counters import asset, raw, release
+
+
+def plain_asof(left, right, equal):
+    out = []
+    for k, t, n in left:
+        found = [r for r in right if None not in (k, t, r[0], r[1]) and r[0] == k and (r[1] < t or equal and r[1] == t)]
+        best = max(found, key=lambda r: (r[1], r[2]), default=None)
+        out.append((k, t, n, best and best[2], best and best[3]))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("equal", [False, True])
+def test_asof_join_equals_a_plain_search(spark, equal):
+    rng = random.Random(7)
+    key = lambda: rng.choice([None, 0, 0, 0, 0, 1, 2, 9])  # noqa: E731 - one key holds half of all rows
+    left = [(key(), rng.choice([None, *range(30)]), n) for n in range(400)] + [(0, 5, 1), (0, 5, 1)]
+    right = [(rng.choice([None, 0, 0, 0, 1, 3]), rng.choice([None, *range(30)]), n, rng.choice([None, "x", "y"])) for n in range(150)]
+    l, r = spark.createDataFrame(left, "k int, t int, n int"), spark.createDataFrame(right, "k int, t int, n int, _right string")
+    got = asof_join(l, r, {"k": "k"}, "t", "t", {"m": "n", "v": "_right"}, tie=["n"], allow_equal=equal)
+    assert got.columns == ["k", "t", "n", "m", "v"]
+    assert sorted(map(tuple, got.collect()), key=str) == plain_asof(left, right, equal)
+
+
+def test_asof_join_spreads_a_hot_key_and_carries_over_empty_ranges(spark):
+    """One key's rows lie in many ranges; most ranges have no right row, so a row is carried over several."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        left = spark.range(20_000).select(F.lit("hot").alias("k"), F.col("id").alias("t"))
+        right = spark.createDataFrame([("hot", 3), ("hot", 15_000), ("zzz", 1), ("a", 9)], "k string, t long")
+        got = asof_join(left, right, {"k": "k"}, "t", "t", {"m": "t"})
+        assert got.groupBy("m").count().orderBy("m").collect() == [(None, 4), (3, 14_997), (15_000, 4_999)]
+        spread = ranged(left, ["k"], [F.col("t")]).groupBy("_range").count()
+        assert spread.count() == 16 and spread.agg(F.max("count")).first()[0] < 4_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_asof_join_of_empty_tables(spark):
+    some, none = spark.createDataFrame([(1, 2)], "k int, t int"), spark.createDataFrame([], "k int, t int")
+    assert asof_join(none, some, {"k": "k"}, "t", "t", {"m": "t"}).count() == 0
+    assert asof_join(some, none, {"k": "k"}, "t", "t", {"m": "t"}).collect() == [(1, 2, None)]
+    assert asof_join(some, some, {}, "t", "t", {"m": "t"}, allow_equal=True).collect() == [(1, 2, 2)]
+
+
+def day_rows(spark, date, repository="o/r", n=1, previous=None, before=None):
+    releases = durable(raw(spark, release(1, "v1", [asset(1, "b", n), asset(2, "a", 2 * n)]), release(2, "empty", None)))
+    return durable(snapshot_rows(releases, previous, repository, f"{date}T01:00:00.000Z", before))
+
+
+def test_days_are_replaced_alone_and_read_alone(spark, tmp_path):
+    path = str(tmp_path / "state")
+    assert earlier_day(spark, path, "2026-07-12") is None and read_day(spark, path, None).count() == 0 and read_state(spark, path).columns == schema.STATE.names
+    for date, n in (("2026-07-10", 1), ("2026-07-12", 2), ("2026-07-11", 5), ("2026-07-12", 3)):
+        write_days(day_rows(spark, date, n=n), path)
+    got = read_state(spark, path).where("kind = 'asset'").groupBy("date").agg(F.sum("downloadCount").alias("n")).orderBy("date").collect()
+    assert [tuple(r) for r in got] == [("2026-07-10", 3), ("2026-07-11", 15), ("2026-07-12", 9)]
+    assert [earlier_day(spark, path, d) for d in ("2026-07-13", "2026-07-12", "2026-07-11", "2026-07-10")] == ["2026-07-12", "2026-07-11", "2026-07-10", None]
+    one = read_day(spark, path, "2026-07-11")
+    assert {Path(f).parent.name for f in one.inputFiles()} == {f"date=2026-07-1{d}" for d in (0, 1, 2)}  # all that the table has
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "2026-07-11" in plan
+    assert {r.f.split("/")[-2] for r in one.select(F.input_file_name().alias("f")).collect()} == {"date=2026-07-11"}
+    assert one.count() == 5  # a snapshot, two releases, two assets
+
+
+def scanned_files(df):
+    """Files that the scan of an executed query has read."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves() if "AdaptiveSparkPlan" not in plan.nodeName() else plan.executedPlan().collectLeaves()
+    return sum(leaves.apply(k).metrics().apply("numFiles").value() for k in range(leaves.size()))
+
+
+def test_a_day_reads_its_own_files_only(spark, tmp_path):
+    path = str(tmp_path / "state")
+    for k in range(1, 7):
+        write_days(day_rows(spark, f"2026-07-0{k}").coalesce(1), path)
+    assert scanned_files(read_day(spark, path, "2026-07-04")) == 1 and scanned_files(read_state(spark, path)) == 6
+
+
+def test_the_day_before_of_one_repository(spark, tmp_path):
+    path = str(tmp_path / "state")
+    for date, repository in (("2026-07-10", "o/r"), ("2026-07-11", "x/y")):
+        write_days(day_rows(spark, date, repository), path)
+    assert earlier_day(spark, path, "2026-07-12") == "2026-07-11" and earlier_day(spark, path, "2026-07-12", "o/r") == "2026-07-10" and earlier_day(spark, path, "2026-07-10", "o/r") is None
+
+
+def test_flat_rows_and_documents_are_the_same(spark):
+    one = day_rows(spark, "2026-07-12")
+    two = day_rows(spark, "2026-07-13", n=4, previous=previous_assets(one), before="2026-07-12")
+    both = one.unionByName(two)
+    made = durable(documents(both))
+    again = rows_of(made)
+    assert canonical(again.columns, again.collect()) == canonical(both.select(*again.columns).columns, both.select(*again.columns).collect())
+    doc = next(r for r in made.collect() if r.date == "2026-07-13")
+    assert doc.previousDate == "2026-07-12" and [(r.tagName, [(a.name, a.downloadDelta, a.trackingState) for a in r.assets]) for r in doc.releases] == [("empty", []), ("v1", [("a", 6, "existing"), ("b", 3, "existing")])]
+    empty = documents(snapshot_rows(raw(spark), None, "o/r", "2026-07-12T00:00:00.000Z")).first()
+    assert empty.releases == [] and empty.totals.assetCount == 0
+
+
+def test_a_folder_of_documents_is_taken_over(spark, tmp_path):
+    days = tmp_path / "m/snapshots"
+    days.mkdir(parents=True)
+    (days / "2026-07-11.json").write_text(pretty(documents(day_rows(spark, "2026-07-11"))))
+    got = job.write_metrics(spark, str(tmp_path / "m"), "o/r", "2026-07-12T00:00:00Z", raw(spark, release(1, "v1", [asset(1, "b", 4)]))).first()
+    assert got.previousDate == "2026-07-11" and got.totals.downloadIncrease == 3
+    assert len((tmp_path / "m/release-downloads.csv").read_text().splitlines()) == 4 and (tmp_path / "m/state/date=2026-07-11").is_dir()
+
+
+def test_history_file_has_the_bytes_of_the_text(spark, tmp_path):
+    rows = day_rows(spark, "2026-07-12").unionByName(day_rows(spark, "2026-07-13", n=4)).unionByName(day_rows(spark, "2026-07-11", n=7))
+    write_history_file(rows, str(tmp_path / "out"), "history.csv")
+    assert (tmp_path / "out/history.csv").read_text() == history_csv(documents(rows))
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["history.csv"]
+    write_history_file(rows.where("false"), str(tmp_path / "out"), "history.csv")
+    assert (tmp_path / "out/history.csv").read_text() == ",".join(schema.HISTORY.names) + "\n"
+
+
+def test_documents_are_written_side_by_side(spark, tmp_path):
+    rows = day_rows(spark, "2026-07-12").unionByName(day_rows(spark, "2026-07-13", n=4))
+    write_documents(rows, str(tmp_path))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["2026-07-12.json", "2026-07-13.json"]
+    assert (tmp_path / "2026-07-13.json").read_text() == pretty(documents(rows.where("date = '2026-07-13'"))) and json.loads((tmp_path / "2026-07-12.json").read_text())["date"] == "2026-07-12"
+    assert read_snapshots(spark, str(tmp_path)).count() == 2
+
+
+def test_ordered_text_keeps_the_order_of_many_parts(spark, tmp_path):
+    lines = spark.range(50_000).repartition(7).orderBy("id").select(F.concat(F.lit("é "), F.col("id").cast("string")).alias("line"))
+    write_ordered(lines, str(tmp_path), "all.txt")
+    assert (tmp_path / "all.txt").read_text() == "".join(f"é {k}\n" for k in range(50_000))
+
+
+def test_a_failed_task_leaves_no_output(spark, tmp_path):
+    (tmp_path / "all.txt").write_text("former\n")
+    bad = spark.range(0, 1000, 1, 8).select(F.when(F.col("id") == 777, F.raise_error(F.lit("broken"))).otherwise(F.col("id").cast("string")).alias("line"))
+    with pytest.raises(Exception, match="broken"):
+        write_ordered(bad, str(tmp_path), "all.txt")
+    assert (tmp_path / "all.txt").read_text() == "former\n" and [p.name for p in tmp_path.iterdir()] == ["all.txt"]
+
+
+def test_only_parts_of_committed_tasks_are_joined(spark, tmp_path):
+    writer = _Writer({"folder": str(tmp_path), "header": "h"})
+    scratch = Path(writer.scratch)
+    scratch.mkdir()
+    for name, text in (("0-1-0", "a\n"), ("0-2-0", "repeated\n"), ("1-3-0", "b\n"), ("1-3-1", "c\n")):
+        (scratch / name).write_text(text)
+    writer.commit([Parts(1, {"x": [f"{scratch}/1-3-0"], "y": [f"{scratch}/1-3-1"]}), None, Parts(0, {"x": [f"{scratch}/0-1-0"]})])
+    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == {"x": "h\na\nb\n", "y": "h\nc\n"}
+    with pytest.raises(ValueError):
+        OrderedText({"folder": "x"}).writer(schema.HISTORY, True)
