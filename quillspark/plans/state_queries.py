@@ -16,6 +16,7 @@ from quillspark.operators.ranking import global_rank, running_sum
 from quillspark.plans.counter_queries import FIRST_DAY, SIMULATED, daily_snapshots, read, simulated_assets, with_states
 from quillspark.sources.snapshots import read_releases, read_snapshots, write_documents, write_history_file
 from quillspark.sources.state import earlier_day, read_day, read_state, write_days
+from quillspark.streaming.daily import stream_captures, stream_state
 
 CLOCK = "T00:00:00.000Z"
 
@@ -130,7 +131,21 @@ def history_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(f"{folder}/history.csv").withColumnRenamed("value", "line")
 
 
-QUERIES = {f.__name__: f for f in (asof_last_view, asof_capture_days, snapshot_order, repeated_keys_snapshot, page_append_repeats, documents_roundtrip, history_file)}
+def keyed_stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tag as a repository whose days arrive as JSON captures: the stream's states and deltas by day."""
+    assets = simulated_assets(spark, sf_dir)
+    asset = F.struct("id", "name", F.lit(None).cast("string").alias("size"), F.col("downloadCount").alias("download_count"))
+    captures = assets.groupBy("tagName", "day").agg(F.collect_list(asset).alias("assets"))  # a capture is one document
+    time = F.concat(F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (F.col("day") - 1).cast("int")), "yyyy-MM-dd"), F.lit("T12:00:00Z"))
+    release = F.struct(F.lit(1).alias("id"), F.col("tagName").alias("tag_name"), "assets")
+    inbox, out = scratch(spark), scratch(spark)
+    captures.select(F.to_json(F.struct(F.col("tagName").alias("repository"), time.alias("capturedAt"), F.array(release).alias("releases"))).alias("value")).write.text(inbox)
+    stream_captures(spark, inbox, out, "o/r", f"{out}/checkpoint", lines=True, views=False).awaitTermination()
+    rows = stream_state(spark, out).where("kind = 'asset'")
+    return rows.groupBy("date", F.col("repository").alias("tag"), F.col("trackingState").alias("state")).agg(F.count("*").alias("assets"), F.sum("downloadDelta").alias("increase"))
+
+
+QUERIES = {f.__name__: f for f in (asof_last_view, asof_capture_days, snapshot_order, repeated_keys_snapshot, page_append_repeats, documents_roundtrip, history_file, keyed_stream_states)}
 
 
 def _raw_sql(current: bool) -> str:
@@ -164,4 +179,5 @@ FROM new LEFT JOIN by_id USING (id) LEFT JOIN by_name ON new.tag = by_name.tag A
     "page_append_repeats": "SELECT 'v' || o_orderkey % 1000 AS \"tagName\", o_orderkey AS id, '' AS name, 0::BIGINT AS \"sizeBytes\", CASE o_orderkey % 4 WHEN 0 THEN 16 WHEN 2 THEN 7 ELSE 0 END::BIGINT AS \"downloadCount\" FROM orders, (SELECT unnest([0, 1]) AS again) WHERE o_orderstatus <> 'P' AND o_orderkey % 6 <> 0 AND (again = 0 OR o_orderkey % 100 >= 90)",
     "documents_roundtrip": f'WITH {_DAYS} SELECT date, previousDate AS "previousDate", release_nth, asset_nth, tagName AS "tagName", name, id, downloadCount AS "downloadCount", downloadDelta AS "downloadDelta", trackingState AS "trackingState", previousAssetId AS "previousAssetId" FROM flat',
     "history_file": f"WITH {_DAYS} SELECT 'date,captured_at,release_tag,release_name,is_prerelease,asset_id,asset_name,size_bytes,download_count,download_delta,tracking_state' AS line UNION ALL SELECT date || ',' || date || '{CLOCK},' || tagName || ',' || tagName || ',false,' || id || ',' || name || ',,' || downloadCount || ',' || downloadDelta || ',' || trackingState FROM flat",
+    "keyed_stream_states": f"WITH {SIMULATED} SELECT strftime(DATE '{FIRST_DAY}' + (day - 1)::INT, '%Y-%m-%d') AS date, tag, state, count(*) AS assets, sum(delta)::BIGINT AS increase FROM s GROUP BY ALL",
 }

@@ -9,14 +9,15 @@ from pyspark.sql.types import StringType, StructField, StructType
 from quillspark import schema
 from quillspark.sources.snapshots import Folder
 
-_TYPED = StructType([*[f for f in schema.STATE.fields if f.name != "date"], StructField("date", StringType())])
+def read_state(spark: SparkSession, path: str, status: str | None = None) -> DataFrame:
+    """All flat rows; empty where nothing was written. A filter on ``date`` leaves only those days' files to read.
 
-
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """All flat rows; empty where nothing was written. A filter on ``date`` leaves only those days' files to read."""
+    With a status, the table has that as its outer partition, and only its rows are read.
+    """
     if not Folder(spark, path).exists():
         return spark.createDataFrame([], schema.STATE)
-    return spark.read.schema(_TYPED).parquet(path).select(*schema.STATE.names)
+    rows = spark.read.schema(schema.STATE if status is None else StructType([*schema.STATE.fields, StructField("status", StringType())])).parquet(path)
+    return (rows if status is None else rows.where(F.col("status") == status)).select(*schema.STATE.names)
 
 
 def write_days(rows: DataFrame, path: str, by: tuple[str, ...] = ("date",)) -> None:

@@ -1,29 +1,163 @@
-"""The daily job as a stream: new captures are taken up as they arrive, each exactly once per day."""
+"""The daily job as a stream with keyed state: each repository's captures are compared with its own earlier days.
+
+The state of a repository is a map from days to what a comparison needs of them (ids, tags,
+names and counts in stored order), held by the state store, so it outlives executors and
+is not read whole: a capture reads the names of days, the newest earlier day and writes
+its own. Captures are taken in order of time within a batch, the last of a day counts, and
+a day that comes again replaces its rows. A late day is compared with the newest earlier
+one and leaves later days as they are, as in the batch job.
+
+Days older than ``retain_days`` before a repository's newest day leave the state; a capture
+that is older still cannot be compared and is kept as a row of status ``late`` for the batch job.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from collections.abc import Iterator
+from datetime import date, timedelta
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from quillspark import schema
-from quillspark.plans.job import write_metrics
+from quillspark.functions.coerce import collated, flag, iso_date, iso_utc, name_or, non_negative_integer, text
+from quillspark.sources.snapshots import write_documents, write_history_file
+from quillspark.sources.state import read_state, write_days
+
+CAPTURE = StructType([StructField("repository", StringType()), StructField("capturedAt", StringType()), StructField("releases", ArrayType(schema.RAW_RELEASES))])
+STREAM = StructType([StructField("status", StringType()), *schema.STATE.fields])
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+RETAIN_DAYS = 400
+
+
+def _sorted(items: Column, *keys) -> Column:
+    """An array's items by collated keys, ties in the array's order."""
+    return F.array_sort(F.transform(items, lambda x, k: F.struct(*[collated(key(x)).alias(f"c{n}") for n, key in enumerate(keys)], k.alias("k"), x.alias("item"))))
+
+
+def capture_rows(captures: DataFrame) -> DataFrame:
+    """Captures as flat rows of ``schema.STATE`` in stored order, not yet compared: a map over rows, without a shuffle.
+
+    Text without a zone is UTC; a capture without a readable time fails.
+    """
+    time = F.coalesce(iso_utc(F.try_to_timestamp("capturedAt")), F.raise_error(F.lit("a valid capture time is required")).cast("string"))
+    none = F.array().cast(ArrayType(schema.RAW_RELEASES))
+    kept = F.filter(F.coalesce("releases", none), lambda r: ~flag(r["draft"]))
+    timed = captures.select(F.coalesce("repository", F.lit("")).alias("repository"), time.alias("capturedAt"), _sorted(kept, lambda r: text(r["tag_name"])).alias("listed"))
+    r = F.col("release")
+    head = ["repository", "capturedAt"]
+    each = timed.select(*head, F.posexplode_outer("listed").alias("_r", "x")).select(*head, (F.col("_r") + 1).alias("release_nth"), F.col("x.item").alias("release"))
+    tag = text(r["tag_name"])
+    no_assets = F.array().cast(ArrayType(schema.RAW_ASSET))
+    assets = F.coalesce(r["assets"], no_assets)
+    listed = _sorted(assets, lambda a: text(a["name"]), lambda a: a["id"].cast("string"))
+    # One row more than assets stands for the release itself, and one more before the first release for the snapshot.
+    marker = F.array(F.lit(None).cast(listed_type(each, listed)))
+    both = F.when(F.col("release_nth").isNull(), marker).otherwise(F.concat(F.when(F.col("release_nth") == 1, F.concat(marker, marker)).otherwise(marker), listed))
+    rows = each.select("*", F.posexplode(both).alias("_a", "y"))
+    spare = F.when(F.col("release_nth").isNull() | (F.col("release_nth") > 1), 1).otherwise(2)
+    kind = F.when(F.col("y").isNotNull(), "asset").when(F.col("release_nth").isNull() | ((F.col("release_nth") == 1) & (F.col("_a") == 0)), "snapshot").otherwise("release")
+    a, is_asset, inside = F.col("y.item"), F.col("y").isNotNull(), kind != "snapshot"
+    known = {
+        "repository": F.col("repository"), "capturedAt": F.col("capturedAt"), "date": iso_date(F.col("capturedAt")), "kind": kind, "release_nth": F.when(inside, F.col("release_nth")),
+        "asset_nth": F.when(is_asset, F.col("_a") - spare + 1), "releaseId": F.when(inside, r["id"]), "tagName": F.when(inside, tag), "releaseName": F.when(inside, name_or(r["name"], tag)), "prerelease": F.when(inside, flag(r["prerelease"])),
+        "publishedAt": F.when(inside, r["published_at"]), "releaseUrl": F.when(inside, r["html_url"]), "id": a["id"], "name": F.when(is_asset, text(a["name"])), "sizeBytes": F.when(is_asset, non_negative_integer(a["size"])),
+        "downloadCount": F.when(is_asset, non_negative_integer(a["download_count"])), "updatedAt": a["updated_at"], "downloadUrl": a["browser_download_url"],
+    }
+    return rows.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.STATE.fields])
+
+
+def listed_type(df: DataFrame, listed: Column):
+    return df.select(listed.alias("x")).schema[0].dataType.elementType
 
 
-def stream_captures(spark: SparkSession, inbox: str, output_dir: str, repository: str, checkpoint: str) -> StreamingQuery:
-    """Process all captures waiting in ``inbox`` in order of time, then stop.
+class Chain(StatefulProcessor):
+    """A repository's days, and the comparison of its captures with them."""
 
-    A capture is a JSON document ``{"capturedAt": ..., "releases": [...]}``. A batch that
-    is replayed writes the same day documents again, so the result does not change.
+    def __init__(self, retain_days: int):
+        self.retain_days = retain_days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.days = handle.getMapState("days", "date string", "assets string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
+        table = pd.concat(rows).sort_values(["capturedAt", "release_nth", "asset_nth"], kind="stable", na_position="first")
+        known = {k[0] for k in self.days.keys()}
+        for day, captured in table.groupby("date", sort=True):
+            last = captured[captured["capturedAt"] == captured["capturedAt"].max()]
+            if known and day < self.oldest(max(known)):
+                yield last[last["kind"] == "snapshot"].assign(status="late")[STREAM.names]
+                continue
+            before = max((d for d in known if d < day), default=None)
+            yield self.compared(last, before)
+            assets = last[last["kind"] == "asset"]
+            self.days.updateValue((day,), (json.dumps([assets[c].tolist() for c in ("id", "tagName", "name", "downloadCount")]),))
+            known.add(day)
+            for old in [d for d in known if d < self.oldest(max(known))]:
+                self.days.removeKey((old,))
+                known.discard(old)
+
+    def oldest(self, newest: str) -> str:
+        return (date.fromisoformat(newest) - timedelta(days=self.retain_days)).isoformat()
+
+    def compared(self, captured: pd.DataFrame, before: str | None) -> pd.DataFrame:
+        ids, tags, names, counts = json.loads(self.days.getValue((before,))[0]) if before else [[]] * 4
+        same = {i: c for i, c in zip(ids, counts) if i is not None and i == i}  # of equal ids the last in stored order
+        named = {k: i for *k, i in zip(tags, names, ids) for k in [tuple(k)]}
+        states, deltas, earlier = [], [], []
+        for kind, i, tag, name, count in captured[["kind", "id", "tagName", "name", "downloadCount"]].itertuples(index=False):
+            is_asset = kind == "asset"
+            state = None if not is_asset else "existing" if i in same else "replaced" if (tag, name) in named else "new"
+            states.append(state)
+            deltas.append(None if not is_asset else max(0, int(count) - int(same[i])) if state == "existing" else int(count))
+            old = named[tag, name] if state == "replaced" else None
+            earlier.append(None if old is None or old != old else int(old))
+        out = captured.assign(status="day", previousDate=before, trackingState=states)
+        out["downloadDelta"], out["previousAssetId"] = pd.array(deltas, "Int64"), pd.array(earlier, "Int64")
+        return out[STREAM.names]
+
+    def close(self) -> None:
+        pass
+
+
+def compare_stream(captures: DataFrame, retain_days: int = RETAIN_DAYS) -> DataFrame:
+    """``STREAM`` rows of a stream of captures: states and deltas against the repository's newest earlier day."""
+    rows = capture_rows(captures)
+    return rows.groupBy("repository").transformWithStateInPandas(Chain(retain_days), STREAM, "Append", "None")
+
+
+def stream_captures(
+    spark: SparkSession, inbox: str, output_dir: str, repository: str, checkpoint: str, lines: bool = False, retain_days: int = RETAIN_DAYS, views: bool = True,
+) -> StreamingQuery:
+    """Take up all captures waiting in ``inbox`` and stop; the next start goes on from there.
+
+    A capture is a JSON document ``{"repository": ..., "capturedAt": ..., "releases": [...]}``, one a
+    file or, with ``lines``, one a line; ``repository`` is for captures that name none. A batch
+    replaces the partitions of its days and repositories in ``<output_dir>/state``, so a
+    replay changes nothing; ``views`` writes the documents of its days and the history anew.
     """
-    kind = StructType([StructField("capturedAt", StringType()), StructField("releases", ArrayType(schema.RAW_RELEASES))])
-    captures = spark.readStream.schema(kind).option("multiLine", True).json(inbox)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    captures = spark.readStream.schema(CAPTURE).option("multiLine", not lines).option("mode", "FAILFAST").json(inbox)
+    named = captures.withColumn("repository", F.coalesce("repository", F.lit(repository)))
+    table = f"{output_dir}/state"
 
     def take(batch: DataFrame, _: int) -> None:
-        times = [r[0] for r in batch.select("capturedAt").where("capturedAt is not null").distinct().orderBy("capturedAt").collect()]
-        for moment in times:
-            rows = batch.where(F.col("capturedAt") == moment).select(F.posexplode("releases").alias("ordinal", "release")).select("ordinal", "release.*")
-            write_metrics(spark, output_dir, repository, moment, rows)
+        batch.persist()
+        write_days(batch, table, ("status", "date", "repository"))
+        if views:
+            whole, days = stream_state(batch.sparkSession, output_dir), batch.where("status = 'day'").select("date").distinct()
+            write_documents(whole.join(days, "date", "left_semi").select(whole.columns), f"{output_dir}/snapshots")
+            write_history_file(whole, output_dir, "release-downloads.csv")
+        batch.unpersist()
+
+    return compare_stream(named, retain_days).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return captures.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_state(spark: SparkSession, output_dir: str, status: str = "day") -> DataFrame:
+    """The flat rows that the stream has written, by status: compared days, or captures that were too late for it."""
+    return read_state(spark, f"{output_dir}/state", status)

@@ -256,5 +256,6 @@ def test_stream_takes_captures_in_order(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         query = stream_captures(spark, str(inbox), str(tmp_path / "out"), "o/r", str(tmp_path / "cp"))
         query.awaitTermination()
+    assert json.loads((tmp_path / "out/snapshots/2026-07-13.json").read_text())["previousDate"] == "2026-07-12"
     rows = (tmp_path / "out/release-downloads.csv").read_text().splitlines()
     assert len(rows) == 3 and rows[-1].endswith("6,2,existing")
