@@ -1,4 +1,4 @@
-"""A sink for ordered text: rows that are dealt by ranges become one file, or one file per name, without passing the driver's memory.
+"""A sink for ordered text, and for files of bytes: rows that are dealt by ranges become one file, or one file per name, without passing the driver's memory.
 
 Each task writes its rows' lines to part files of its own; the commit joins the parts of a
 file in the order of their partitions, a block at a time, and moves the whole into place.
@@ -36,10 +36,11 @@ def _at(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class OrderedText(DataSource):
-    """``df.write.format("ordered_text").option("folder", ...)`` for columns ``file`` and ``line``.
+    """``df.write.format("ordered_text").option("folder", ...)`` for columns ``file`` and ``line``, or ``file`` and ``content``.
 
     Option ``header`` is a first line of every file; files without rows are not written, but
-    for the file that option ``file`` names. Lines end with a line feed.
+    for the file that option ``file`` names. Lines end with a line feed; contents, which
+    are bytes, follow each other as they are.
     """
 
     @classmethod
@@ -47,13 +48,14 @@ class OrderedText(DataSource):
         return "ordered_text"
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        if schema.names != ["file", "line"]:
-            raise ValueError("ordered_text takes the columns file and line")
-        return _Writer(dict(self.options))
+        if schema.names not in (["file", "line"], ["file", "content"]):
+            raise ValueError("ordered_text takes the columns file and line, or file and content")
+        return _Writer(dict(self.options), schema.names[1] == "line")
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, options: dict[str, str]):
+    def __init__(self, options: dict[str, str], text: bool = True):
+        self.text = text
         self.folder, self.header, self.always = options["folder"].rstrip("/"), options.get("header"), options.get("file")
         self.scratch = f"{self.folder}/_parts-{uuid.uuid4().hex}"
 
@@ -70,7 +72,7 @@ class _Writer(DataSourceWriter):
                     current, path = name, f"{own}-{sum(map(len, said.parts.values()))}"
                     said.parts.setdefault(name, []).append(path)
                     out = files.open_output_stream(path, buffer_size=BLOCK)
-                out.write((line or "").encode() + b"\n")
+                out.write((line or "").encode() + b"\n" if self.text else line or b"")
         finally:
             if out is not None:
                 out.close()
@@ -86,6 +88,10 @@ class _Writer(DataSourceWriter):
                 names.setdefault(name, []).extend(parts)
         files.create_dir(scratch, recursive=True)
         for k, (name, parts) in enumerate(names.items()):
+            files.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
+            if len(parts) == 1 and self.header is None:
+                files.move(parts[0], f"{root}/{name}")
+                continue
             whole = f"{scratch}/whole-{k}"
             with files.open_output_stream(whole, buffer_size=BLOCK) as out:
                 if self.header is not None:
@@ -103,9 +109,10 @@ class _Writer(DataSourceWriter):
 
 
 def write_ordered(lines: DataFrame, folder: str, file: str | None = None, header: str | None = None) -> None:
-    """Write text lines in the order of the table's partitions: ``line`` to one file, or ``file`` and ``line`` to a file per name."""
+    """Write rows in the order of the table's partitions: ``line`` to one file, or ``file`` and ``line`` (or the bytes ``content``) to a file per name."""
     lines.sparkSession.dataSource.register(OrderedText)
-    rows = lines.select(F.lit(file).alias("file"), "line") if file else lines.select("file", "line")
+    value = "content" if "content" in lines.columns else "line"
+    rows = lines.select(F.lit(file).alias("file"), value) if file else lines.select("file", value)
     writer = rows.write.format("ordered_text").mode("append").option("folder", folder)
     for key, value in (("header", header), ("file", file)):
         writer = writer if value is None else writer.option(key, value)
