@@ -1,9 +1,10 @@
-"""Similar images and bursts: an exact cosine join over pivot cells, gap sessions, groups from links."""
+"""Similar images and bursts: an exact cosine join over pivot cells, links from bands of hyperplanes, gap sessions, groups from links."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ from quillspark.operators.ranking import running_sum, shifted
 
 PIVOTS_MOST = 256
 CELL_ROWS = 4_000
+RECALL = 0.95
+MOST_VISITS = 64
 
 
 def _units(vectors: pd.Series) -> np.ndarray:
@@ -63,8 +66,11 @@ def _blocks(vectors: DataFrame, threshold: float, id_col: str, vec_col: str, piv
                 row, cell = np.nonzero(angle <= angle.min(axis=1)[:, None] + reach)
                 yield pd.DataFrame({"cell": cell, "at_home": cell == home[row], "id": batch["id"].to_numpy()[row], "v": batch["v"].to_numpy()[row]})
 
-    visits = rows.mapInPandas(visit, "cell int, at_home boolean, id long, v array<double>")
-    visits = durable(visits)
+    return _dealt(durable(rows.mapInPandas(visit, "cell long, at_home boolean, id long, v array<double>")))
+
+
+def _dealt(visits: DataFrame) -> DataFrame:
+    """Groups of bounded size in which every resident of a cell meets every visitor once."""
     sizes = visits.groupBy("cell").agg(*[F.greatest(F.lit(1), F.ceil(n / CELL_ROWS)).cast("int").alias(name) for name, n in (("splits", F.count_if("at_home")), ("parts", F.count("*")))])
     dealt = visits.join(sizes, "cell").withColumn("split", F.pmod(F.xxhash64("id", F.lit(1)), "splits").cast("int")).withColumn("part", F.pmod(F.xxhash64("id", F.lit(2)), "parts").cast("int"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -73,12 +79,15 @@ def _blocks(vectors: DataFrame, threshold: float, id_col: str, vec_col: str, piv
     return residents.unionByName(visitors).select("cell", "split", "part", "at_home", "id", "v")
 
 
+PAIR = "a long, b long, cosine double"
+
+
 def _compared(vectors: DataFrame, threshold: float, id_col: str, vec_col: str, pivots: int, spanning: bool) -> DataFrame:
-    kind = "a long, b long, cosine double"
     blocks = _blocks(vectors, threshold, id_col, vec_col, pivots)
-    if blocks is None:
-        return vectors.sparkSession.createDataFrame([], kind)
+    return vectors.sparkSession.createDataFrame([], PAIR) if blocks is None else _within(blocks, threshold, spanning)
+
 
+def _within(blocks: DataFrame, threshold: float, spanning: bool) -> DataFrame:
     def pair(batch: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "cosine": np.empty(0)})]
         units, ids, home = _units(batch["v"]), batch["id"].to_numpy(), batch["at_home"].to_numpy(dtype=bool)
@@ -96,7 +105,63 @@ def _compared(vectors: DataFrame, threshold: float, id_col: str, vec_col: str, p
         return pd.concat(out)
 
     # A pair is found where its smaller id is at home, so once.
-    return blocks.groupBy("cell", "split", "part").applyInPandas(pair, kind)
+    return blocks.groupBy("cell", "split", "part").applyInPandas(pair, PAIR)
+
+
+class Bands(NamedTuple):
+    """So many bands of so many hyperplanes each: a vector visits one cell a band."""
+
+    bands: int
+    bits: int
+
+    @classmethod
+    def planned(cls, rows: int, threshold: float, recall: float = RECALL, most_visits: int = MOST_VISITS) -> Bands:
+        """The most bits, up to cells of a row or so, whose bands reach the recall at the threshold within ``most_visits``.
+
+        Two vectors at an angle fall on one side of a random plane with chance ``1 - angle / pi``.
+        A low threshold needs many bands of few bits, so its cells stay large; visits are bounded all the same.
+        """
+        same = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+        best = cls(1, 0)
+        for bits in range(1, max(1, math.ceil(math.log2(max(2, rows)))) + 1):
+            chance = same**bits
+            wanted = 1 if chance >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-chance))
+            if wanted <= most_visits:
+                best = cls(wanted, bits)
+        return best
+
+
+def banded_links(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = RECALL, most_visits: int = MOST_VISITS, spanning: bool = True, seed: int = 11) -> DataFrame:
+    """``(a, b, cosine)`` of vectors that share a cell of some band and reach the threshold, by exact cosine.
+
+    Each pair at the threshold is found with chance ``recall`` at least, closer ones more surely.
+    Spanning stars per block connect what the found pairs connect; without ``spanning`` all
+    found pairs come out. Equal vectors are linked to the smallest id among them and only that one visits
+    cells, so copies never meet as pairs; crowded cells are dealt into bounded blocks. Null
+    vectors, and vectors of length zero, have no links; ids are unique.
+    """
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null and exists(v, x -> x <> 0)")
+    rows = durable(rows)
+    firsts = durable(rows.groupBy("v").agg(F.min("id").alias("first")))
+    copies = rows.join(firsts, "v").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine"))
+    plan = Bands.planned(firsts.count(), threshold, recall, most_visits)
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        planes = None
+        for batch in batches:
+            if len(batch):
+                units = _units(batch["v"])
+                if planes is None:
+                    planes = np.random.default_rng(seed).standard_normal((units.shape[1], plan.bands * plan.bits))
+                sides = (units @ planes >= 0).reshape(len(batch), plan.bands, plan.bits)
+                code = (sides << np.arange(plan.bits)).sum(axis=2) if plan.bits else np.zeros((len(batch), plan.bands), np.int64)
+                cell = (code * plan.bands + np.arange(plan.bands)).astype(np.int64)
+                each = np.repeat(np.arange(len(batch)), plan.bands)
+                yield pd.DataFrame({"cell": cell.reshape(-1), "at_home": True, "id": batch["first"].to_numpy()[each], "v": batch["v"].to_numpy()[each]})
+
+    visits = durable(firsts.mapInPandas(visit, "cell long, at_home boolean, id long, v array<double>"))
+    found = _within(_dealt(visits), threshold, spanning)
+    return copies.unionByName(found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
 
 
 class _Stars:

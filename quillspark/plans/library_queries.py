@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators.library import duplicates, exports, pairing, picks, review, signals
+from quillspark.operators.durable import durable
+from quillspark.operators.library import duplicates, exports, linkage, pairing, persona, picks, review, signals
 from quillspark.plans.counter_queries import read
 
 PAIR_COSINE, PERSON_COSINE = 0.35, 0.4
@@ -63,6 +66,47 @@ def person_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.similarity_groups(duplicates.similarity_links(read(spark, sf_dir, "embeddings"), PERSON_COSINE))
 
 
+def similar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of similar images from bands of hyperplanes; links, not pairs, lead to them. A recall this high needs more bands than the default."""
+    return duplicates.similarity_groups(duplicates.banded_links(read(spark, sf_dir, "embeddings"), PERSON_COSINE, recall=0.9999, most_visits=160))
+
+
+LEVELS = (0.4, 0.45, 0.5, 0.6)
+
+
+def linkage_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of single linkage at several cosines, all from one spanning forest."""
+    forest = durable(linkage.spanning_forest(linkage.angles(duplicates.cosine_pairs(read(spark, sf_dir, "embeddings"), LEVELS[0]))))
+    out = None
+    for level in LEVELS:
+        groups = linkage.level_groups(forest, math.acos(level)).groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select(F.lit(level).alias("cosine"), "component", "n")
+        out = groups if out is None else out.unionByName(groups)
+    return out
+
+
+ROUNDS = 6
+
+
+def traits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as photos with a trait of language and length; labels play decisions."""
+    kept, rejected = (F.col("quality") == 1) & (F.col("toxic") == 0), (F.col("toxic") == 1) | (F.col("quality") == 0)
+    return labelled(spark, sf_dir).withColumns({"trait": F.concat("lang", F.lit(" "), F.least(F.floor(F.col("n_chars") / 1000), F.lit(5)).cast("string")), "kept": F.coalesce(kept, F.lit(False)), "rejected": F.coalesce(rejected, F.lit(False))})
+
+
+def persona_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = persona.contests(traits(spark, sf_dir), "source", "trait", F.col("kept"), F.col("rejected"))
+    return persona.strengths(found, rounds=ROUNDS, tolerance=0.0).select("trait", F.round("strength", 6).alias("strength"))
+
+
+def persona_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The persona's score orders what the gate lets through; rejected photos stay out however well they score."""
+    photos = traits(spark, sf_dir)
+    taste = persona_strengths(spark, sf_dir)
+    allowed = picks.hard_gate(photos, photos.where("rejected").select("photo_id"))
+    order = picks.assisted_order(F.col("n_chars").cast("double"), F.round(F.col("persona"), 5) * 10_000)
+    return picks.ratio_picks(persona.scored(allowed, taste, "trait"), 38, order, "photo_id").select("photo_id", "pick_rank")
+
+
 def override_latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events play decisions on users: the last one counts, error and view leave no mark."""
     log = read(spark, sf_dir, "events").withColumn("mark", F.when(F.col("event_type") == "purchase", "keep").when(F.col("event_type") == "signup", "reject"))
@@ -146,7 +190,7 @@ def tone_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    raw_jpg_pairing, hard_gate_filter, duplicate_best, ratio_picks_38, burst_groups, cosine_pairs, person_components, override_latest_wins, people_overrides,
+    raw_jpg_pairing, hard_gate_filter, duplicate_best, ratio_picks_38, burst_groups, cosine_pairs, person_components, similar_groups, linkage_levels, persona_strengths, persona_picks, override_latest_wins, people_overrides,
     multi_group_membership, facet_counts, display_neighbours, cache_misses, cache_eviction, transfer_manifest, rating_manifest, exposure_tiers, photo_findings,
     main_subjects, tone_histogram,
 )}
@@ -156,7 +200,22 @@ _PAIRED = """p AS (SELECT '/lib/' || source AS dir, 'img_' || doc_id AS stem_key
 _LABELLED = "x AS (SELECT d.doc_id AS photo_id, source, lang, n_chars, md5(text) AS digest, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
 _COSINE = "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {}"
 
+_GROUPS = "WITH RECURSIVE e AS ({}), g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(node, reached) AS (SELECT a, a FROM g UNION SELECT r.node, g.b FROM r JOIN g ON r.reached = g.a) SELECT node, min(reached) AS component FROM r GROUP BY node"
+_TRAITS = f"""{_LABELLED}, t AS (SELECT photo_id, source, n_chars, lang || ' ' || least(n_chars // 1000, 5) AS trait, coalesce(quality = 1 AND toxic = 0, false) AS kept, coalesce(toxic = 1 OR quality = 0, false) AS rejected FROM x),
+c AS (SELECT source, trait, count(*) FILTER (kept) AS k, count(*) FILTER (rejected) AS r FROM t GROUP BY ALL),
+w AS (SELECT a.trait AS i, b.trait AS j, sum(a.k * b.r) AS wins FROM c a JOIN c b ON a.source = b.source AND a.trait <> b.trait WHERE a.k > 0 AND b.r > 0 GROUP BY ALL),
+n AS (SELECT i, j, sum(wins) AS wins, sum(n) AS n FROM (SELECT i, j, wins, wins AS n FROM w UNION ALL SELECT j, i, 0, wins FROM w) GROUP BY i, j),
+p0 AS (SELECT i, sum(wins) AS won, 1::DOUBLE AS p FROM n GROUP BY i)""" + "".join(
+    f", p{k + 1} AS (SELECT a.i, any_value(a.won) AS won, (any_value(a.won) + 1) / (sum(n.n / (a.p + b.p)) + 2 / (any_value(a.p) + 1)) AS p FROM n JOIN p{k} a ON a.i = n.i JOIN p{k} b ON b.i = n.j GROUP BY a.i)" for k in range(ROUNDS)
+)
+_TASTE = f"taste AS (SELECT i AS trait, round(p, 6) AS strength FROM p{ROUNDS})"
+
 ORACLE_SQL = {
+    "similar_groups": _GROUPS.format(_COSINE.format(PERSON_COSINE)),
+    "linkage_levels": " UNION ALL ".join(f"SELECT {level}::DOUBLE AS cosine, component, count(*) AS n FROM ({_GROUPS.format(_COSINE.format(level))}) GROUP BY component" for level in LEVELS),
+    "persona_strengths": f"WITH {_TRAITS}, {_TASTE} SELECT trait, strength FROM taste",
+    "persona_picks": f"""WITH {_TRAITS}, {_TASTE}, y AS (SELECT photo_id, row_number() OVER (ORDER BY n_chars * 0.7::DOUBLE + round(coalesce(strength, 1) / (coalesce(strength, 1) + 1), 5) * 10000 * 0.3::DOUBLE DESC, photo_id) AS pick_rank, count(*) OVER () AS n
+ FROM t LEFT JOIN taste USING (trait) WHERE NOT rejected) SELECT photo_id, pick_rank FROM y WHERE pick_rank <= (n * 38 + 99) // 100""",
     "raw_jpg_pairing": f"WITH {_PAIRED} SELECT dir, stem_key, raw_path, jpg_path FROM p",
     "hard_gate_filter": f"WITH {_LABELLED} SELECT source, count(*) AS n, min(photo_id) AS first_id FROM x WHERE toxic IS DISTINCT FROM 1 GROUP BY source",
     "duplicate_best": f"WITH {_LABELLED} SELECT photo_id, digest, quality::BIGINT AS quality FROM (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY quality DESC NULLS LAST, photo_id) AS n FROM x WHERE coalesce(toxic, 0) = 0) WHERE n = 1",
