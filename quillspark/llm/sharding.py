@@ -78,19 +78,22 @@ def edges(placed: DataFrame) -> DataFrame:
     return hubs.agg(F.coalesce(F.sum(F.expr("total * (total - 1) / 2")), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("kept"), F.lit(0.0)).alias("kept"))
 
 
-def _most(members: DataFrame, quota: int) -> tuple[float, float]:
-    """All pairs of one hub, and those that could be kept if each hub had its shards to itself."""
+def _most(members: DataFrame, quota: int) -> tuple[float, float, float]:
+    """All pairs of one hub, those that could be kept if each hub had its shards to itself, and the size of hub in which a row is on average."""
     q = float(max(1, quota))
     sizes = members.groupBy("hub").agg(F.count("*").cast("double").alias("n"))
-    row = sizes.agg(F.sum(F.expr("n * (n - 1) / 2")), F.sum(F.expr(f"floor(n / {q}d) * {q * (q - 1) / 2}d + (n % {q}d) * (n % {q}d - 1) / 2"))).first()
-    return row[0] or 0.0, row[1] or 0.0
+    row = sizes.agg(F.sum(F.expr("n * (n - 1) / 2")), F.sum(F.expr(f"floor(n / {q}d) * {q * (q - 1) / 2}d + (n % {q}d) * (n % {q}d - 1) / 2")), F.sum(F.expr("n * n")) / F.sum("n")).first()
+    return row[0] or 0.0, row[1] or 0.0, row[2] or 1.0
 
 
-def _homes(current: DataFrame, quota: list[int], price: list[float]) -> DataFrame:
-    """``(hub, total, kept, homes)``: the shards that suit each hub best, as many as its size needs."""
+def _homes(current: DataFrame, quota: list[int], price: list[float], typical: float) -> DataFrame:
+    """``(hub, total, kept, homes)``: the shards that suit each hub best, as many as its size needs.
+
+    A hub larger than ``typical`` feels prices by as much less, since each of its rows has more to lose.
+    """
     spread = current.groupBy("hub", "shard").agg(F.count("*").alias("here"))
     hubs = spread.groupBy("hub").agg(F.sum("here").alias("total"), F.map_from_entries(F.collect_list(F.struct("shard", "here"))).alias("spread"))
-    score = f"coalesce(spread[j], 0) * need / total + {NOISE} * pmod(xxhash64(hub, j), 1048576) / 1048576 - price[j]"
+    score = f"coalesce(spread[j], 0) * need / total + {NOISE} * pmod(xxhash64(hub, j), 1048576) / 1048576 - price[j] * least(1.0d, {typical}d / total)"
     return (
         hubs.withColumn("price", F.array(*[F.lit(float(p)) for p in price]))
         .withColumn("need", F.expr(f"cast(least({len(quota)}, ceil(total / {max(1, max(quota))})) as int)"))
@@ -106,10 +109,10 @@ def propagate(members: DataFrame, quota: list[int]) -> tuple[DataFrame, list[Rou
     """Shards for linked rows, and what each round did. ``members``: ``(rid, hub, shard)`` within the quotas; returned in the same form."""
     shards, price, history, room = len(quota), [0.0] * len(quota), [], max(1, max(quota, default=0))
     held = {r[0]: r[1] for r in members.groupBy("shard").count().collect()}
-    pairs, most = _most(members, max(quota, default=0))
+    pairs, most, typical = _most(members, max(quota, default=0))
     best, best_kept, best_turn, current = members, -1.0, 0, members
     for turn in range(1_000_000):
-        homes = durable(_homes(current, quota, price))
+        homes = durable(_homes(current, quota, price, typical))
         sums = homes.agg(F.coalesce(F.sum("kept"), F.lit(0.0)), *[F.coalesce(F.sum(F.expr(f"if(array_contains(homes, {j}), least({room}, total - (array_position(homes, {j}) - 1) * {room}), 0)")), F.lit(0)) for j in range(shards)]).first()
         if sums[0] > best_kept + LEAST_GAIN * most or turn == 0:
             if best is not members and best is not current:
