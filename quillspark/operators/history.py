@@ -17,25 +17,23 @@ def latest_per_date(snapshots: DataFrame) -> DataFrame:
     return first_by(snapshots, ["date"], [F.col("capturedAt").desc(), F.col("ordinal")])
 
 
-def history(snapshots: DataFrame) -> DataFrame:
-    """``schema.HISTORY`` rows by capture time and stored order; deltas are read, never recomputed.
-
-    Releases without assets leave no row.
-    """
-    releases = latest_per_date(snapshots).select("date", "capturedAt", F.posexplode("releases").alias("_r", "release"))
-    rows = releases.select("date", "capturedAt", "_r", "release", F.posexplode("release.assets").alias("_a", "asset"))
+def unnested(snapshots: DataFrame) -> DataFrame:
+    """``schema.HISTORY`` rows of documents, unordered, with the columns that order them; releases without assets leave no row."""
+    releases = latest_per_date(snapshots).select("date", "capturedAt", F.posexplode("releases").alias("release_nth", "release"))
+    rows = releases.select("date", "capturedAt", "release_nth", "release", F.posexplode("release.assets").alias("asset_nth", "asset"))
     a, r = F.col("asset"), F.col("release")
-    return (
-        rows.orderBy("capturedAt", "_r", "_a")
-        .select(
-            "date", F.col("capturedAt").alias("captured_at"), r["tagName"].alias("release_tag"), r["name"].alias("release_name"), r["prerelease"].alias("is_prerelease"),
-            a["id"].alias("asset_id"), a["name"].alias("asset_name"), a["sizeBytes"].alias("size_bytes"), a["downloadCount"].alias("download_count"),
-            a["downloadDelta"].alias("download_delta"), a["trackingState"].alias("tracking_state"),
-        )
-        .select(*schema.HISTORY.names)
+    return rows.select(
+        "date", F.col("capturedAt").alias("captured_at"), r["tagName"].alias("release_tag"), r["name"].alias("release_name"), r["prerelease"].alias("is_prerelease"),
+        a["id"].alias("asset_id"), a["name"].alias("asset_name"), a["sizeBytes"].alias("size_bytes"), a["downloadCount"].alias("download_count"),
+        a["downloadDelta"].alias("download_delta"), a["trackingState"].alias("tracking_state"), "release_nth", "asset_nth",
     )
 
 
+def history(snapshots: DataFrame) -> DataFrame:
+    """``schema.HISTORY`` rows by capture time and stored order; deltas are read, never recomputed."""
+    return ordered(unnested(snapshots))
+
+
 def state_history(rows: DataFrame) -> DataFrame:
     """``schema.HISTORY`` rows of flat state rows, unordered, with the columns that order them (``ORDER``)."""
     asset = {"date": "date", "captured_at": "capturedAt", "release_tag": "tagName", "release_name": "releaseName", "is_prerelease": "prerelease", "asset_id": "id", "asset_name": "name", "size_bytes": "sizeBytes", "download_count": "downloadCount", "download_delta": "downloadDelta", "tracking_state": "trackingState"}

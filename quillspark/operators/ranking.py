@@ -54,3 +54,4 @@ def shifted(df: DataFrame, by: list[str], order: list[Column], value: str, befor
     if after:
         joined = joined.withColumn(after, F.when(F.col("_back").isNull(), F.col("_right")).otherwise(F.col("_lead")))
     return joined.drop("_range", "_of", "_n", "_lag", "_lead", "_back", "_left", "_right", *[f"_key{n}" for n in range(len(by))])
+

@@ -10,7 +10,7 @@ from quillspark import schema
 from quillspark.functions import coerce
 from quillspark.operators.counters import as_of, clamped_delta, first_by, match_states, published, snapshot_assets, totals
 from quillspark.operators.durable import durable
-from quillspark.operators.history import history, report_rows
+from quillspark.operators.history import report_rows, unnested
 from quillspark.operators.ranking import global_rank
 
 FIRST_DAY = "2024-01-01"
@@ -134,7 +134,7 @@ def nested_unnest_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     asset = lambda x: F.struct(*[{"id": x["l_linenumber"], "downloadCount": x["l_quantity"]}.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.ASSET.fields])
     release = F.struct(F.col("o_custkey").cast("string").alias("tagName"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("prerelease"), F.transform(F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)), asset).alias("assets"))
-    rows = history(orders.select(F.col("o_orderkey").cast("string").alias("date"), F.col("o_orderkey").cast("string").alias("capturedAt"), F.array(release).alias("releases")))
+    rows = unnested(orders.select(F.col("o_orderkey").cast("string").alias("date"), F.col("o_orderkey").cast("string").alias("capturedAt"), F.array(release).alias("releases")))
     return rows.select(F.col("release_tag").cast("bigint").alias("o_custkey"), F.col("date").cast("bigint").alias("o_orderkey"), F.col("asset_id").alias("l_linenumber"), F.col("download_count").alias("quantity"))
 
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators.durable import durable
-from quillspark.operators.library import duplicates, exports, linkage, pairing, persona, picks, review, signals
+from quillspark.operators.durable import durable, scratch_root
+from quillspark.operators.library import duplicates, exports, linkage, lut, pairing, persona, picks, review, signals
 from quillspark.plans.counter_queries import read
+from quillspark.sources.ordered_text import write_ordered
 
 PAIR_COSINE, PERSON_COSINE = 0.35, 0.4
 GAP_SECONDS = 7200
@@ -189,7 +191,45 @@ def tone_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.histogram(tones, "key", "l_quantity", 10, 0.0, 50.0).withColumnRenamed("count", "n")
 
 
+def graded_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pixels through a lookup table, one point an axis for each region, written as a .cube file and blended at 0.4.
+
+    The table inverts red, halves green and swaps nothing else, which interpolation keeps exact.
+    """
+    points = read(spark, sf_dir, "region").count()
+    n, top = F.col("id"), points - 1
+    line = F.concat_ws(" ", *[c.cast("string") for c in (1 - (n % points) / top, F.floor(n / points) % points / top / 2, F.floor(n / points**2) / top)])
+    folder = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+    header = f"# graded\nLUT_3D_SIZE {points}\nDOMAIN_MIN 0.0 0.0 0.0\nDOMAIN_MAX 1.0 1.0 1.0"
+    write_ordered(spark.range(points**3).orderBy("id").select(line.alias("line")), folder, "look.cube", header)
+    key = F.col("p_partkey")
+    pixels = read(spark, sf_dir, "part").select("p_partkey", ((key % 256) / 255).alias("r"), (F.col("p_size") / 60).alias("g"), ((key % 101) / 100).alias("b"))
+    out = lut.blend(pixels, lut.read_cube(spark, f"{folder}/look.cube"), 0.4)
+    return out.select("p_partkey", *[F.round(c, 9).alias(c) for c in "rgb"])
+
+
+def fused_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as photos: a model's score and four detectors', some of which have none."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    detectors = [F.when(key % 3 != 0, size / 50), F.when(key % 5 != 0, key % 11 / 10), F.when(key % 7 == 0, F.lit(0.25)), size % 4 / 4]
+    return read(spark, sf_dir, "part").select("p_partkey", F.round(signals.fused_score(F.when(key % 2 == 0, F.col("p_retailprice") / 2000), *detectors), 9).alias("score"))
+
+
+def grouped_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts with their best photo, kept unless a later decision marks another; marks never come from the ranking."""
+    photos = labelled(spark, sf_dir)
+    usable = F.coalesce(F.col("toxic"), F.lit(0)) == 0
+    best = picks.best_of_group(photos, "digest", usable, F.col("quality").desc_nulls_last(), F.col("photo_id"))
+    auto = best.select("photo_id", F.when(F.col("is_best"), "keep").otherwise("unmarked").alias("mark"))
+    log = read(spark, sf_dir, "events").select((F.col("user_id") * 3).alias("photo_id"), "ts", "event_id", F.when(F.col("event_type") == "purchase", "keep").when(F.col("event_type") == "error", "reject").alias("mark"))
+    decided = review.latest_decisions(log, "photo_id", "ts", "event_id").select("photo_id", review.mark(F.col("mark")).alias("mark"))
+    marks = review.overridden(auto, decided.join(photos.select("photo_id"), "photo_id", "left_semi"), "photo_id", "mark")
+    shown = review.filtered(photos.join(marks, "photo_id"), [F.col("mark") == "keep", F.col("lang") == "de"], [F.col("n_chars") > 200])
+    return shown.groupBy("source", "mark").agg(F.count("*").alias("n"), F.min("photo_id").alias("first_id"))
+
+
 QUERIES = {f.__name__: f for f in (
+    graded_colours, fused_scores, grouped_review,
     raw_jpg_pairing, hard_gate_filter, duplicate_best, ratio_picks_38, burst_groups, cosine_pairs, person_components, similar_groups, linkage_levels, persona_strengths, persona_picks, override_latest_wins, people_overrides,
     multi_group_membership, facet_counts, display_neighbours, cache_misses, cache_eviction, transfer_manifest, rating_manifest, exposure_tiers, photo_findings,
     main_subjects, tone_histogram,
@@ -211,6 +251,15 @@ p0 AS (SELECT i, sum(wins) AS won, 1::DOUBLE AS p FROM n GROUP BY i)""" + "".joi
 _TASTE = f"taste AS (SELECT i AS trait, round(p, 6) AS strength FROM p{ROUNDS})"
 
 ORACLE_SQL = {
+    "graded_colours": """WITH x AS (SELECT p_partkey, (p_partkey % 256) / 255::DOUBLE AS r, p_size / 60::DOUBLE AS g, (p_partkey % 101) / 100::DOUBLE AS b FROM part)
+SELECT p_partkey, round(r * 0.6::DOUBLE + (1 - r) * 0.4::DOUBLE, 9) AS r, round(g * 0.6::DOUBLE + g / 2 * 0.4::DOUBLE, 9) AS g, round(b, 9) AS b FROM x""",
+    "fused_scores": """WITH x AS (SELECT p_partkey, [CASE WHEN p_partkey % 2 = 0 THEN p_retailprice / 2000 END, CASE WHEN p_partkey % 3 <> 0 THEN p_size / 50::DOUBLE END, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey % 11 / 10::DOUBLE END, CASE WHEN p_partkey % 7 = 0 THEN 0.25::DOUBLE END, p_size % 4 / 4::DOUBLE] AS s,
+ [0.6::DOUBLE, 0.1::DOUBLE, 0.1::DOUBLE, 0.1::DOUBLE, 0.1::DOUBLE] AS w FROM part), y AS (SELECT p_partkey, unnest(s) AS s, unnest(w) AS w FROM x)
+SELECT p_partkey, round(sum(s * w) / sum(w), 9) AS score FROM y WHERE s IS NOT NULL GROUP BY p_partkey""",
+    "grouped_review": f"""WITH {_LABELLED}, b AS (SELECT photo_id, row_number() OVER (PARTITION BY digest ORDER BY quality DESC NULLS LAST, photo_id) AS n FROM x WHERE coalesce(toxic, 0) = 0),
+l AS (SELECT user_id * 3 AS photo_id, CASE event_type WHEN 'purchase' THEN 'keep' WHEN 'error' THEN 'reject' ELSE 'unmarked' END AS mark, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events),
+m AS (SELECT x.*, coalesce(l.mark, CASE WHEN b.n = 1 THEN 'keep' ELSE 'unmarked' END) AS mark FROM x LEFT JOIN b USING (photo_id) LEFT JOIN (SELECT * FROM l WHERE n = 1) l USING (photo_id))
+SELECT source, mark, count(*) AS n, min(photo_id) AS first_id FROM m WHERE n_chars > 200 AND (mark = 'keep' OR lang = 'de') GROUP BY 1, 2""",
     "similar_groups": _GROUPS.format(_COSINE.format(PERSON_COSINE)),
     "linkage_levels": " UNION ALL ".join(f"SELECT {level}::DOUBLE AS cosine, component, count(*) AS n FROM ({_GROUPS.format(_COSINE.format(level))}) GROUP BY component" for level in LEVELS),
     "persona_strengths": f"WITH {_TRAITS}, {_TASTE} SELECT trait, strength FROM taste",
