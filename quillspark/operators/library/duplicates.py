@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators.components import connected_components
 from quillspark.operators.durable import durable
-from quillspark.operators.ranking import running_sum, shifted
+from quillspark.operators.ranking import stretches
 
 PIVOTS_MOST = 256
 CELL_ROWS = 4_000
@@ -195,7 +195,5 @@ def similarity_groups(pairs: DataFrame, left: str = "a", right: str = "b") -> Da
 
 def bursts(shots: DataFrame, key: str, time: str, gap_seconds: int, tie: str) -> DataFrame:
     """``shots`` with ``burst_no`` from 1: a gap longer than ``gap_seconds`` begins a new burst of its key."""
-    order = [F.col(time), F.col(tie)]
-    timed = shifted(shots.withColumn("_micros", F.unix_micros(F.col(time).cast("timestamp"))), [key], order, "_micros", before="_earlier")
-    starts = F.coalesce((F.col("_micros") - F.col("_earlier")) / F.lit(1e6) > gap_seconds, F.lit(True))
-    return running_sum(timed.withColumn("_starts", starts.cast("long")), [key], order, "_starts", "burst_no").drop("_starts", "_micros", "_earlier")
+    timed = shots.withColumn("_micros", F.unix_micros(F.col(time).cast("timestamp")))
+    return stretches(timed, key, [F.col(time), F.col(tie)], "_micros", gap_seconds * 1e6, "burst_no").drop("_micros")

@@ -55,3 +55,27 @@ def shifted(df: DataFrame, by: list[str], order: list[Column], value: str, befor
         joined = joined.withColumn(after, F.when(F.col("_back").isNull(), F.col("_right")).otherwise(F.col("_lead")))
     return joined.drop("_range", "_of", "_n", "_lag", "_lead", "_back", "_left", "_right", *[f"_key{n}" for n in range(len(by))])
 
+
+def stretches(df: DataFrame, by: str, order: list[Column], value: str, gap: float, out: str) -> DataFrame:
+    """``df`` with a number from 1 for each stretch of a key's rows, in the given total (ascending) order, in which ``value`` grows by ``gap`` at most from row to row.
+
+    Rows are dealt by ranges once. What a range needs of those before it is one row a
+    range, the last one, and how many stretches its first key had begun by then; only
+    keys at a border of ranges can go on, so the table of those stays small. Null keys are a key of their own; a null value begins a stretch.
+    """
+    dealt = ranged(df, [by], order)
+    here = F.struct(F.col(by).alias("k"), F.col(value).alias("v"))
+    ends = dealt.groupBy("_range").agg(F.min(F.struct(F.col(by).alias("k"))).alias("_first"), F.max_by(here, F.struct(F.col(by), *order)).alias("_end"))
+    ranges = Window.partitionBy(F.lit(0)).orderBy("_range")  # one row a range
+    entry = durable(ends.select(F.col("_range").alias("_of"), "_first", "_end", F.lag("_end").over(ranges).alias("_entry")))
+    inside = Window.partitionBy("_range").orderBy(by, *order)
+    back = F.coalesce(F.lag(here).over(inside), F.col("_entry"))
+    goes_on = back["k"].eqNullSafe(F.col(by)) & (F.col(value) - back["v"] <= gap)
+    rows = dealt.join(entry.select("_of", "_entry"), F.col("_range") == F.col("_of")).withColumn("_starts", F.when(goes_on, 0).otherwise(1).cast("long")).drop("_of", "_entry")
+    border = entry.select(F.explode(F.array("_first.k", "_end.k")).alias("_key")).distinct()
+    begun = rows.groupBy("_range", by).agg(F.sum("_starts").alias("_sum")).join(border, F.col(by).eqNullSafe(F.col("_key"))).select(F.col("_range").alias("_of"), "_key", "_sum")
+    earlier = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = begun.select("_of", "_key", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    counted = rows.withColumn("_inside", F.sum("_starts").over(Window.partitionBy("_range", by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    joined = counted.join(offsets, (F.col("_range") == F.col("_of")) & F.col(by).eqNullSafe(F.col("_key")), "left")
+    return joined.withColumn(out, F.coalesce("_before", F.lit(0)) + F.col("_inside")).drop("_range", "_of", "_key", "_starts", "_inside", "_before")

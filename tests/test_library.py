@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -55,6 +58,27 @@ def test_persona_never_reaches_gates(spark):
     assert [r[0] for r in df.select(picks.assisted_order(F.col("a"), F.col("p"), 0.5)).collect()] == [0.5, 0.5]
 
 
+def test_bursts_of_a_hot_key_over_many_ranges(spark):
+    rng = random.Random(2)
+    rows = sorted({(k, t) for k, n in (("hot", 3000), ("a", 40), ("z", 1), (None, 30)) for t in rng.sample(range(20_000), n)}, key=lambda r: (r[0] or "", r[1]))
+    want, before = Counter(), {}
+    for k, t in rows:
+        want[k] += k not in before or t - before[k] > 9
+        before[k] = t
+    for name, value in (("spark.sql.adaptive.coalescePartitions.enabled", "false"), ("spark.sql.shuffle.partitions", "16")):
+        spark.conf.set(name, value)
+    try:
+        shots = spark.createDataFrame([(k, t, n) for n, (k, t) in enumerate(rows)], "k string, t long, id long").withColumn("ts", F.timestamp_seconds("t"))
+        got = duplicates.bursts(shots, "k", "ts", 9, "id").orderBy("id").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [(r.k, r.t) for r in got] == rows and Counter({k: max(r.burst_no for r in got if r.k == k) for k in want}) == want
+    for one, two in zip(got, got[1:]):
+        if one.k == two.k:
+            assert two.burst_no - one.burst_no == (two.t - one.t > 9)
+
+
 def test_bursts_break_at_gaps(spark):
     df = spark.sql("select * from values ('a', timestamp'2024-01-01 00:00:00', 1), ('a', timestamp'2024-01-01 00:00:10', 2), ('a', timestamp'2024-01-01 00:00:21', 3) t(k, ts, id)")
     assert [r.burst_no for r in duplicates.bursts(df, "k", "ts", 10, "id").orderBy("id").collect()] == [1, 1, 2]
