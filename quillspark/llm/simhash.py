@@ -470,8 +470,11 @@ def _exact_links(jobs: DataFrame, similarity: float) -> DataFrame:
     return _dealt(jobs.select("job", "side", "label", "fp", "n", "sketch", "hashes"), "side").mapInArrow(run, "u long, v long")
 
 
-def _sets_of(docs: DataFrame, text_col: str, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``(whole, fp, n, sketch, hashes)`` of the sets in ``wanted``: ``(tid, whole, fp)``; the texts are read again."""
+def _sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, firsts: DataFrame, shingle: int) -> DataFrame:
+    """``(whole, fp, n, sketch, hashes)`` of the sets in ``wanted``: ``(tid, whole, fp)``; the texts are read again.
+
+    ``firsts`` names one id for each text, so copies of a text are dealt apart and only one of them is kept.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -484,19 +487,20 @@ def _sets_of(docs: DataFrame, text_col: str, wanted: DataFrame, shingle: int) ->
                 pa.array([_set_sketch(x)[1] for x in sets], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary()),
             ], names=["whole", "fp", "n", "sketch", "hashes"])
 
-    texts = docs.select(utf8(text_col).alias("bytes")).withColumn("tid", F.xxhash64("bytes"))
+    texts = docs.select(F.col(id_col).alias("own"), utf8(text_col).alias("bytes")).withColumn("tid", F.xxhash64("bytes"))
+    named = wanted.join(firsts, "tid").withColumnRenamed("tid", "of")
     # The list of texts grows with the table: by this hint it is never broadcast.
-    found = texts.join(wanted.hint("merge"), "tid").dropDuplicates(["tid", "whole"])
+    found = texts.join(named.hint("merge"), (F.col("tid") == F.col("of")) & F.col("own").eqNullSafe(F.col("first"))).dropDuplicates(["tid", "whole"])
     return found.select("bytes", "whole", "fp").mapInArrow(run, "whole long, fp long, n int, sketch binary, hashes binary")
 
 
-def _leader_links(docs: DataFrame, text_col: str, sets: DataFrame, home: DataFrame, similarity: float, shingle: int, block: int) -> DataFrame:
+def _leader_links(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, firsts: DataFrame, home: DataFrame, similarity: float, shingle: int, block: int) -> DataFrame:
     """Links between entries of crowded shards and the leaders of their ``home (whole, key)`` shard, written out.
 
     Leaders are the entries with the least hash in each of ``LEADERS`` slots, so every
     task that holds a block of the shard compares it with the same few.
     """
-    exact = durable(_sets_of(docs, text_col, sets.join(home, "whole").select("tid", "whole", "fp"), shingle))
+    exact = durable(_sets_of(docs, id_col, text_col, sets.join(home, "whole").select("tid", "whole", "fp"), firsts, shingle))
     members = exact.join(home, "whole").withColumn("turn", F.xxhash64("whole", F.lit(5))).withColumn("label", F.col("fp"))
     slot = F.pmod(F.xxhash64("whole", F.lit(3)), F.lit(LEADERS)).alias("slot")
     first = durable(home.groupBy("key", slot).agg(F.min(F.xxhash64("whole", F.lit(5))).alias("turn")).select("key", "turn").distinct())
@@ -511,19 +515,20 @@ def _leader_links(docs: DataFrame, text_col: str, sets: DataFrame, home: DataFra
     return links
 
 
-def similarity_links(docs: DataFrame, marked: DataFrame, similarity: float, text_col: str = "text", shingle: int = 5, block: int = BLOCK, set_block: int = SET_BLOCK) -> DataFrame:
+def similarity_links(docs: DataFrame, marked: DataFrame, similarity: float, text_col: str = "text", shingle: int = 5, block: int = BLOCK, set_block: int = SET_BLOCK, id_col: str = "doc_id") -> DataFrame:
     """``(u, v)``: links between fingerprints of texts whose sets of shingles have the similarity; written out."""
     sets = durable(
         marked.where(F.size("keys") > 0).groupBy("whole")
         .agg(F.min(F.struct("fp", "tid", "n", "sketch", "keys")).alias("x")).select("whole", "x.*")
     )
+    firsts = durable(marked.groupBy("tid").agg(F.min(id_col).alias("first")))
     links = marked.join(sets.select("whole", F.col("fp").alias("low")), "whole").where("fp <> low").select(F.col("fp").alias("u"), F.col("low").alias("v")).distinct()
     entries = sets.select(F.posexplode("keys").alias("i", "least"), "whole", "fp", "n", "sketch").withColumn("key", F.xxhash64("i", "least")).drop("i", "least")
     crowded = durable(entries.groupBy("key").count().where(F.col("count") > block))
     home = durable(entries.join(crowded, "key").groupBy("whole").agg(F.max(F.struct("count", "key"))["key"].alias("key")))
-    labelled, used = entries.withColumn("label", F.col("fp")), [sets, crowded, home]
+    labelled, used = entries.withColumn("label", F.col("fp")), [sets, firsts, crowded, home]
     if not home.isEmpty():
-        led = _leader_links(docs, text_col, sets, home, similarity, shingle, set_block)
+        led = _leader_links(docs, id_col, text_col, sets, firsts, home, similarity, shingle, set_block)
         links = links.unionByName(led)
         groups = connected_components(led).select(F.col("node").alias("fp"), F.col("component").alias("group"))
         # Only in crowded shards is it worth a join to know what the leaders have linked.
@@ -532,7 +537,7 @@ def similarity_links(docs: DataFrame, marked: DataFrame, similarity: float, text
         used += [led, inside]
     near = durable(_with_partner(labelled, similarity, block).distinct())
     wanted = sets.join(near.select("whole").distinct(), "whole").select("tid", "whole", "fp")
-    exact = durable(_sets_of(docs, text_col, wanted, shingle))
+    exact = durable(_sets_of(docs, id_col, text_col, wanted, firsts, shingle))
     jobs = _jobs(near, set_block, "whole").select("job", "side", "whole", "label").join(exact.hint("merge"), "whole")
     out = durable(links.unionByName(_exact_links(jobs, similarity)))
     for done in (*used, near, exact):
@@ -546,7 +551,7 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: i
     codes = marked.select("fp").distinct()
     links = fingerprint_links(codes, radius, shard_cap)
     if similarity:
-        links = links.unionByName(similarity_links(docs, marked, similarity, text_col, similarity_shingle))
+        links = links.unionByName(similarity_links(docs, marked, similarity, text_col, similarity_shingle, id_col=id_col))
     comps = connected_components(links)
     rooted = durable(codes.join(comps.withColumnsRenamed({"node": "fp", "component": "root"}), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
     for done in (comps, links):
