@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -32,7 +32,14 @@ class Parts(WriterCommitMessage):
 
 
 def _at(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _absolute(spark: SparkSession, path: str) -> str:
+    """The path as the driver's file system understands it, so that tasks in other folders write to the same place."""
+    named = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = named.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(named).toString()
+    return whole.removeprefix("file:") if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 class OrderedText(DataSource):
@@ -113,7 +120,7 @@ def write_ordered(lines: DataFrame, folder: str, file: str | None = None, header
     lines.sparkSession.dataSource.register(OrderedText)
     value = "content" if "content" in lines.columns else "line"
     rows = lines.select(F.lit(file).alias("file"), value) if file else lines.select("file", value)
-    writer = rows.write.format("ordered_text").mode("append").option("folder", folder)
+    writer = rows.write.format("ordered_text").mode("append").option("folder", _absolute(lines.sparkSession, folder))
     for key, value in (("header", header), ("file", file)):
         writer = writer if value is None else writer.option(key, value)
     writer.save()

@@ -171,3 +171,9 @@ def test_only_parts_of_committed_tasks_are_joined(spark, tmp_path):
     assert {p.name: p.read_text() for p in tmp_path.iterdir()} == {"x": "h\na\nb\n", "y": "h\nc\n"}
     with pytest.raises(ValueError):
         OrderedText({"folder": "x"}).writer(schema.HISTORY, True)
+
+
+def test_folders_may_be_named_by_scheme_and_hold_blanks(spark, tmp_path):
+    folder = f"file:{tmp_path}/a b"
+    write_ordered(spark.range(3).select(F.col("id").cast("string").alias("line")).coalesce(1), folder, "x.txt")
+    assert (tmp_path / "a b/x.txt").read_text() == "0\n1\n2\n"
