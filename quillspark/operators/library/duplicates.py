@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,56 +17,97 @@ from quillspark.operators.ranking import stretches
 
 PIVOTS_MOST = 256
 CELL_ROWS = 4_000
+BLOCK_BYTES = 8 << 20
+LEAST_BLOCK = 1_024
+SLICE = 256
 RECALL = 0.95
 MOST_VISITS = 64
 
 
-def _units(vectors: pd.Series) -> np.ndarray:
-    m = np.stack(vectors.to_numpy()).astype(float)
+def _units(m: np.ndarray) -> np.ndarray:
+    m = m.astype(float)
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Lists of one length as rows of a matrix."""
+    if not len(vectors):
+        return np.empty((0, 0))
+    out = vectors.flatten().to_numpy(zero_copy_only=False)
+    if len(set(np.diff(vectors.offsets.to_numpy()).tolist())) > 1:
+        raise ValueError("vectors of unequal length")
+    return out.reshape(len(vectors), -1)
+
+
+def _sound(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """``(id, v)`` of the vectors that can have links; floats stay floats, all else becomes double."""
+    kind = vectors.schema[vec_col].dataType.simpleString()
+    v = F.col(vec_col).cast("array<float>" if kind == "array<float>" else "array<double>").alias("v")
+    return vectors.select(F.col(id_col).cast("long").alias("id"), v).where("id is not null and v is not null and exists(v, x -> x <> 0)")
+
+
+def _firsts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(id, v)`` of the smallest id of each vector, and links ``(a, b, cosine)`` from it to its copies."""
+    rows = durable(rows)
+    firsts = durable(rows.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"))
+    copies = rows.join(firsts.withColumnRenamed("id", "first"), "v").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine"))
+    return firsts, copies
+
+
 def cosine_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = 0) -> DataFrame:
     """``(a, b, cosine)`` with a < b for all pairs at or above the threshold; exact."""
-    return _compared(vectors, threshold, id_col, vec_col, pivots, spanning=False)
+    return _compared(_sound(vectors, id_col, vec_col), threshold, pivots, spanning=False)
+
+
+def representative_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = 0) -> DataFrame:
+    """``(a, b, cosine)``: all pairs of different vectors, each by its smallest id, and each copy with that id; ids are unique."""
+    firsts, copies = _firsts(_sound(vectors, id_col, vec_col))
+    return copies.unionByName(_compared(firsts, threshold, pivots, spanning=False))
 
 
 def similarity_links(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = 0) -> DataFrame:
     """``(a, b)`` that connect what the pairs at or above the threshold connect: a spanning star per block, not all pairs."""
-    return _compared(vectors, threshold, id_col, vec_col, pivots, spanning=True).select("a", "b")
+    firsts, copies = _firsts(_sound(vectors, id_col, vec_col))
+    return copies.unionByName(_compared(firsts, threshold, pivots, spanning=True)).select("a", "b")
 
 
-def _blocks(vectors: DataFrame, threshold: float, id_col: str, vec_col: str, pivots: int) -> DataFrame | None:
-    """``(cell, split, part, at_home, id, v)``: groups of at most ``CELL_ROWS`` residents of a cell and as many visitors; null without vectors.
+def _visits(rows: DataFrame, threshold: float, total: int, pivots: int) -> DataFrame | None:
+    """``(cell, at_home, id, v)`` of the rows in cells of pivots; null where blocks of all rows would repeat a row less often.
 
     Pivots, a bounded sample, cut the sphere into cells. A vector lives in its
     nearest pivot's cell and visits every cell that could hold a partner: by the
     triangle inequality on angles, a cell whose pivot is at most twice the threshold
-    angle farther than its own. Residents of a cell are split by hash, and so are its visitors (its
-    own residents among them); each split meets each part in a group of its own. A high
-    threshold keeps visits few; a low one costs up to one visit per cell. Null vectors,
-    and vectors of length zero, have no pairs.
+    angle farther than its own. A high threshold keeps visits few; at a low one a
+    vector would visit nearly all cells, which the visits of a second sample tell.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    rows = rows.where("id is not null and v is not null and exists(v, x -> x <> 0)")
-    total = rows.count()
     wanted = min(PIVOTS_MOST, pivots or max(1, int(math.sqrt(total / 50))))
-    sample = [r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(wanted).select("v").collect()]
-    if not sample:
-        return None
-    centres = np.array(sample)
-    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    sample = [r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(2 * wanted).select("v").collect()]
+    centres = _units(np.array(sample[:wanted]))
     reach = 2 * math.acos(max(-1.0, min(1.0, threshold))) + 1e-9
+    angles = lambda units: np.arccos(np.clip(units @ centres.T, -1, 1))
+    tried = angles(_units(np.array(sample[wanted:] or sample)))
+    if not pivots and (tried <= tried.min(axis=1)[:, None] + reach).sum(axis=1).mean() >= _blocks(total, len(sample[0]))[0]:
+        return None
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                angle = np.arccos(np.clip(_units(batch["v"]) @ centres.T, -1, 1))
-                home = angle.argmin(axis=1)
+            for part in _slices(batch):
+                angle = angles(_units(_matrix(part.column(1))))
                 row, cell = np.nonzero(angle <= angle.min(axis=1)[:, None] + reach)
-                yield pd.DataFrame({"cell": cell, "at_home": cell == home[row], "id": batch["id"].to_numpy()[row], "v": batch["v"].to_numpy()[row]})
+                yield _visit(part, row, cell, cell == angle.argmin(axis=1)[row])
+
+    return durable(rows.mapInArrow(visit, f"cell long, at_home boolean, id long, v {rows.schema['v'].dataType.simpleString()}"))
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces, so that what each row's visits repeat stays small."""
+    for k in range(0, batch.num_rows, SLICE):
+        yield batch.slice(k, SLICE)
 
-    return _dealt(durable(rows.mapInPandas(visit, "cell long, at_home boolean, id long, v array<double>")))
+
+def _visit(rows: pa.RecordBatch, row: np.ndarray, cell: np.ndarray, at_home: np.ndarray) -> pa.RecordBatch:
+    seen = rows.take(pa.array(row))
+    return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(at_home), seen.column(0), seen.column(1)], names=["cell", "at_home", "id", "v"])
 
 
 def _dealt(visits: DataFrame) -> DataFrame:
@@ -82,30 +123,87 @@ def _dealt(visits: DataFrame) -> DataFrame:
 PAIR = "a long, b long, cosine double"
 
 
-def _compared(vectors: DataFrame, threshold: float, id_col: str, vec_col: str, pivots: int, spanning: bool) -> DataFrame:
-    blocks = _blocks(vectors, threshold, id_col, vec_col, pivots)
-    return vectors.sparkSession.createDataFrame([], PAIR) if blocks is None else _within(blocks, threshold, spanning)
+def _compared(rows: DataFrame, threshold: float, pivots: int, spanning: bool) -> DataFrame:
+    """Pairs of ``(id, v)``, through cells of pivots where these leave something out, else all blocks against each other."""
+    rows = durable(rows)
+    total = rows.count()
+    if not total:
+        return rows.sparkSession.createDataFrame([], PAIR)
+    visits = _visits(rows, threshold, total, pivots)
+    return _across(rows, total, threshold, spanning) if visits is None else _within(_dealt(visits), threshold, spanning)
+
+
+def _blocks(total: int, width: int) -> tuple[int, int]:
+    """How many blocks, and how many rows each: eight blocks or so, more where ``BLOCK_BYTES`` bound them."""
+    most = max(1, BLOCK_BYTES // (8 * max(1, width)))
+    n = max(1, math.ceil(total / min(most, max(LEAST_BLOCK, total // 8))))
+    return n, math.ceil(total / n)
+
+
+def _across(rows: DataFrame, total: int, threshold: float, spanning: bool) -> DataFrame:
+    """Each pair of blocks in a group of its own. Rows are packed by block first, so a row is repeated as a few bytes of a long value."""
+    narrow = rows.schema["v"].dataType.simpleString() == "array<float>"
+    n = _blocks(total, rows.selectExpr("size(v) as n").first().n)[0]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, ids, m = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2)))
+            found = [(k, np.flatnonzero(block == k)) for k in np.unique(block).tolist()]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([k for k, _ in found], pa.int32()), pa.array([ids[x].tobytes() for _, x in found], pa.binary()), pa.array([m[x].astype("<f4" if narrow else "<f8").tobytes() for _, x in found], pa.binary()),
+            ], names=["block", "ids", "vectors"])
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = ([], []), ([], [])
+        for batch in batches:
+            for upper, i, v in zip(*[batch.column(c).to_pylist() for c in ("upper", "ids", "vectors")]):
+                ids[upper].append(np.frombuffer(i, np.int64))
+                vectors[upper].append(np.frombuffer(v, "<f4" if narrow else "<f8").reshape(len(ids[upper][-1]), -1))
+        if not ids[0]:
+            return
+        mine, one = np.concatenate(ids[0]), not ids[1]
+        units = _units(np.concatenate(vectors[0]))
+        theirs, others = (mine, units) if one else (np.concatenate(ids[1]), _units(np.concatenate(vectors[1])))
+        vectors[0].clear(), vectors[1].clear()
+        place = np.arange(len(mine) + (0 if one else len(theirs)))
+        joined = _Stars(len(place)) if spanning else None
+        for k in range(0, len(mine), SLICE):
+            first = k if one else 0
+            cosine = units[k : k + SLICE] @ others[first:].T
+            i, j = np.nonzero(cosine >= threshold)
+            keep = (j > i) & (mine[k + i] != theirs[first + j]) if one else mine[k + i] != theirs[j]
+            i, j = i[keep], j[keep]
+            if joined is not None:
+                i, j = joined.fresh(place[k : k + SLICE], place[first if one else len(mine) :], i, j)
+            u, v = mine[k + i], theirs[first + j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(cosine[i, j])], names=["a", "b", "cosine"])
+
+    packed = rows.select(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n)).cast("int").alias("block"), "id", "v").mapInArrow(pack, "block int, ids binary, vectors binary")
+    met = durable(packed).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    jobs = met.select((F.least("block", "other") * n + F.greatest("block", "other")).alias("job"), (F.col("block") > F.col("other")).cast("int").alias("upper"), "ids", "vectors")
+    # A group takes far more time than its bytes say, so partitions are not coalesced.
+    return jobs.repartition(min(n * (n + 1) // 2, 1_000), "job").groupBy("job").applyInArrow(pair, PAIR)
 
 
 def _within(blocks: DataFrame, threshold: float, spanning: bool) -> DataFrame:
-    def pair(batch: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "cosine": np.empty(0)})]
-        units, ids, home = _units(batch["v"]), batch["id"].to_numpy(), batch["at_home"].to_numpy(dtype=bool)
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = pa.Table.from_batches(batches).combine_chunks()
+        ids, home = block.column("id").to_numpy(), block.column("at_home").to_numpy().astype(bool)
+        units = _units(_matrix(block.column("v").chunk(0)))
         mine, others = np.flatnonzero(home), np.flatnonzero(~home)
         joined = _Stars(len(ids)) if spanning else None
-        for k in range(0, len(mine), 512):
-            rows = mine[k : k + 512]
+        for k in range(0, len(mine), SLICE):
+            rows = mine[k : k + SLICE]
             cosine = units[rows] @ units[others].T
             i, j = np.nonzero(cosine >= threshold)
             keep = ids[rows[i]] < ids[others[j]]
             i, j = i[keep], j[keep]
             if joined is not None:
                 i, j = joined.fresh(rows, others, i, j)
-            out.append(pd.DataFrame({"a": ids[rows[i]], "b": ids[others[j]], "cosine": cosine[i, j]}))
-        return pd.concat(out)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows[i]]), pa.array(ids[others[j]]), pa.array(cosine[i, j])], names=["a", "b", "cosine"])
 
     # A pair is found where its smaller id is at home, so once.
-    return blocks.groupBy("cell", "split", "part").applyInPandas(pair, PAIR)
+    return blocks.groupBy("cell", "split", "part").applyInArrow(pair, PAIR)
 
 
 class Bands(NamedTuple):
@@ -137,29 +235,29 @@ def banded_links(vectors: DataFrame, threshold: float, id_col: str = "vec_id", v
     Each pair at the threshold is found with chance ``recall`` at least, closer ones more surely.
     Spanning stars per block connect what the found pairs connect; without ``spanning`` all
     found pairs come out. Equal vectors are linked to the smallest id among them and only that one visits
-    cells, so copies never meet as pairs; crowded cells are dealt into bounded blocks. Null
+    cells, so copies never meet as pairs; crowded cells are dealt into bounded blocks. Where the
+    bands would compare as many pairs as there are, all blocks meet once instead, which loses none. Null
     vectors, and vectors of length zero, have no links; ids are unique.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null and exists(v, x -> x <> 0)")
-    rows = durable(rows)
-    firsts = durable(rows.groupBy("v").agg(F.min("id").alias("first")))
-    copies = rows.join(firsts, "v").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine"))
-    plan = Bands.planned(firsts.count(), threshold, recall, most_visits)
+    firsts, copies = _firsts(_sound(vectors, id_col, vec_col))
+    total = firsts.count()
+    plan = Bands.planned(total, threshold, recall, most_visits)
+    if total and 2 * plan.bands >= 1 << plan.bits:
+        return copies.unionByName(_across(firsts, total, threshold, spanning))
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = None
         for batch in batches:
-            if len(batch):
-                units = _units(batch["v"])
+            for part in _slices(batch):
+                units = _units(_matrix(part.column(1)))
                 if planes is None:
                     planes = np.random.default_rng(seed).standard_normal((units.shape[1], plan.bands * plan.bits))
-                sides = (units @ planes >= 0).reshape(len(batch), plan.bands, plan.bits)
-                code = (sides << np.arange(plan.bits)).sum(axis=2) if plan.bits else np.zeros((len(batch), plan.bands), np.int64)
-                cell = (code * plan.bands + np.arange(plan.bands)).astype(np.int64)
-                each = np.repeat(np.arange(len(batch)), plan.bands)
-                yield pd.DataFrame({"cell": cell.reshape(-1), "at_home": True, "id": batch["first"].to_numpy()[each], "v": batch["v"].to_numpy()[each]})
+                sides = (units @ planes >= 0).reshape(len(units), plan.bands, plan.bits)
+                code = (sides << np.arange(plan.bits)).sum(axis=2)
+                cell = (code * plan.bands + np.arange(plan.bands)).astype(np.int64).reshape(-1)
+                yield _visit(part, np.repeat(np.arange(len(units)), plan.bands), cell, np.ones(len(cell), bool))
 
-    visits = durable(firsts.mapInPandas(visit, "cell long, at_home boolean, id long, v array<double>"))
+    visits = durable(firsts.mapInArrow(visit, f"cell long, at_home boolean, id long, v {firsts.schema['v'].dataType.simpleString()}"))
     found = _within(_dealt(visits), threshold, spanning)
     return copies.unionByName(found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
 

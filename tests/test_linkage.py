@@ -5,11 +5,12 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators.durable import durable
-from quillspark.operators.library import linkage, persona
+from quillspark.operators.library import duplicates, linkage, persona
 from quillspark.operators.library.duplicates import Bands, banded_links, similarity_groups
 
 VECTORS = "vec_id long, embedding array<double>"
@@ -60,6 +61,30 @@ def test_copies_meet_as_one_and_links_stay_few(spark):
     assert {got[k] for k in range(500)} == {0}
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_all_pairs_at_a_low_threshold_come_from_blocks(spark, monkeypatch, kind):
+    """No vector visits a cell where it would visit nearly all of them, and copies hang on their smallest id."""
+    monkeypatch.setattr(duplicates, "LEAST_BLOCK", 50)
+    m = clustered(400, 40, 1.0).astype(np.float32)
+    rows = table(spark, np.concatenate([m, m[:3]])).withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))
+    want = exact_pairs(m.astype(float), 0.35)
+    assert duplicates._blocks(400, 8)[0] == 8 and duplicates._blocks(600_000, 64)[0] < 40
+    got = [(r.a, r.b) for r in duplicates.representative_pairs(rows, 0.35).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(want) | {(0, 400), (1, 401), (2, 402)}
+    banded = {(r.a, r.b) for r in banded_links(rows, 0.4, recall=0.9999, most_visits=160, spanning=False).collect()}
+    assert banded == {k for k, c in want.items() if c >= 0.4} | {(0, 400), (1, 401), (2, 402)}
+
+
+def test_a_row_repeats_itself_in_pieces():
+    """What a batch of rows visits leaves in pieces, so memory does not grow with rows and cells together."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([[1.0, float(k)] for k in range(1000)])], names=["id", "v"])
+    parts = list(duplicates._slices(batch))
+    assert max(p.num_rows for p in parts) <= duplicates.SLICE and [x for p in parts for x in p.column(0).to_pylist()] == list(range(1000))
+    assert np.array_equal(np.concatenate([duplicates._matrix(p.column(1)) for p in parts])[:, 1], np.arange(1000.0))
+    with pytest.raises(ValueError, match="unequal"):
+        duplicates._matrix(pa.array([[1.0], [1.0, 2.0]]))
+
+
 def test_vectors_without_a_direction(spark):
     rows = [(1, None), (2, [0.0, 0.0]), (None, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [2.0, 0.0]), (5, [1.0, 0.0])]
     assert {(r.a, r.b) for r in banded_links(spark.createDataFrame(rows, VECTORS), 0.9).collect()} == {(3, 5), (3, 4)}
