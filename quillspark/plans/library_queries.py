@@ -69,7 +69,7 @@ def person_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of similar images from bands of hyperplanes; links, not pairs, lead to them. A recall this high needs more bands than the default."""
+    """Groups of similar images; links, not pairs, lead to them. At this threshold bands of such a recall compare more than all pairs, so all blocks meet once."""
     return duplicates.similarity_groups(duplicates.banded_links(read(spark, sf_dir, "embeddings"), PERSON_COSINE, recall=0.9999, most_visits=160))
 
 
@@ -78,7 +78,7 @@ LEVELS = (0.4, 0.45, 0.5, 0.6)
 
 def linkage_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of single linkage at several cosines, all from one spanning forest."""
-    forest = durable(linkage.spanning_forest(linkage.angles(duplicates.cosine_pairs(read(spark, sf_dir, "embeddings"), LEVELS[0]))))
+    forest = durable(linkage.spanning_forest(linkage.angles(duplicates.representative_pairs(read(spark, sf_dir, "embeddings"), LEVELS[0]))))
     out = None
     for level in LEVELS:
         groups = linkage.level_groups(forest, math.acos(level)).groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select(F.lit(level).alias("cosine"), "component", "n")
