@@ -5,6 +5,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillspark.operators.library import exif, exports, previews, ratings, render
@@ -209,3 +210,18 @@ def test_contents_of_one_name_follow_each_other(spark, tmp_path):
     write_ordered(rows, str(tmp_path))
     assert (tmp_path / "d/x").read_bytes() == b"\0\n\xff" and (tmp_path / "y").read_bytes() == b"" and (tmp_path / "z").read_bytes() == b""
     assert hashlib.sha256((tmp_path / "d/x").read_bytes()).hexdigest() == hashlib.sha256(b"\0\n\xff").hexdigest()
+
+
+def test_photos_are_converted_together(monkeypatch):
+    """A photo of one pixel costs no conversion of its own: matrices are solved once, whatever the photos."""
+    rng = np.random.default_rng(5)
+    photos = [rng.integers(0, 256, 3 * n).astype(np.uint8).tobytes() for n in (1, 0, 7, 300, 1, 1)] + [None]
+    want = [p if p is None else render.convert(np.frombuffer(p, np.uint8).reshape(-1, 3), "srgb", "adobe_rgb").tobytes() for p in photos]
+    calls, convert = [], render.convert
+    monkeypatch.setattr(render, "convert", lambda *a: calls.append(1) or convert(*a))
+    monkeypatch.setattr(render, "matrix", lambda *a: pytest.fail("solved again"))
+    assert render._converted(pa.array(photos, pa.binary()), "srgb", "adobe_rgb") == want and len(calls) == 1
+    monkeypatch.setattr(render, "TOGETHER", 900)
+    assert render._converted(pa.array(photos, pa.binary()), "srgb", "adobe_rgb") == want and len(calls) == 3
+    with pytest.raises(ValueError, match="three bytes"):
+        render._converted(pa.array([b"ab"], pa.binary()), "srgb", "adobe_rgb")
