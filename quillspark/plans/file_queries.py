@@ -14,6 +14,7 @@ from quillspark.operators.library.exports import rating_manifest
 from quillspark.plans.counter_queries import read
 from quillspark.plans.library_queries import raw_jpg_pairing
 from quillspark.plans.state_queries import scratch
+from quillspark.sources.ordered_text import read_files
 
 
 def with_content(rows: DataFrame, make: Callable[..., bytes], key: str) -> DataFrame:
@@ -68,14 +69,17 @@ def ratings_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark)
     photos = raw_jpg_pairing(spark, sf_dir).withColumn("rating", F.length("stem_key") % 7)
     files = with_content(photos.where("jpg_path is not null").select(F.col("jpg_path").alias("path"), F.length("jpg_path").alias("n")), lambda path, n: plain_jpeg(n, n, data=path.encode()), "path")
-    ratings.write_ratings(rating_manifest(photos), files, folder)
+    manifest = rating_manifest(photos)
+    ratings.write_ratings(manifest, files, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ratings.rating_of(v.as_py()) for v in batch.column(1)], pa.int32())], names=["target", "rating"])
 
-    written = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return written.select(F.regexp_extract("path", "(/lib/.*)$", 1).alias("target"), "content").mapInArrow(run, "target string, rating int")
+    # The manifest says which files there are, so the driver need not list them.
+    targets = manifest.select("target").distinct().withColumn("file", ratings.place(F.col("target")))
+    written = read_files(targets, folder).where("content is not null")
+    return written.select(F.concat(F.lit("/"), "file").alias("target"), "content").mapInArrow(run, "target string, rating int")
 
 
 def rendered_colours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ from pathlib import Path
 
 import pytest
 from oracle import canonical
+from pyspark import TaskContext
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quillspark import schema
 from quillspark.operators.asof import asof_join
@@ -15,7 +17,7 @@ from quillspark.operators.durable import durable
 from quillspark.operators.history import ordered, state_history
 from quillspark.operators.ranking import ranged
 from quillspark.plans import job
-from quillspark.sources.ordered_text import OrderedText, Parts, _Writer, write_ordered
+from quillspark.sources.ordered_text import OrderedText, Parts, _Writer, read_files, write_files, write_ordered
 from quillspark.sources.snapshots import history_csv, pretty, read_snapshots, write_documents, write_history_file
 from quillspark.sources.state import earlier_day, read_day, read_state, write_days
 from test_counters import asset, raw, release
@@ -161,6 +163,35 @@ def test_a_failed_task_leaves_no_output(spark, tmp_path):
     assert (tmp_path / "all.txt").read_text() == "former\n" and [p.name for p in tmp_path.iterdir()] == ["all.txt"]
 
 
+def test_a_task_that_outlives_an_abort_leaves_nothing(spark, tmp_path):
+    writer = OrderedText({"folder": str(tmp_path)}).writer(StructType([StructField("file", StringType()), StructField("line", StringType())]), True)
+    assert [p.name for p in tmp_path.iterdir()] == [Path(writer.scratch).name]
+    writer.abort([])
+    spark_task, TaskContext._taskContext = TaskContext._taskContext, TaskContext()
+    try:
+        with pytest.raises(FileNotFoundError):
+            writer.write(iter([("x", "late")]))
+    finally:
+        TaskContext._taskContext = spark_task
+    assert not list(tmp_path.iterdir())
+
+
+def test_files_are_written_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """No message of a task names files, and the driver moves none; a failure leaves what was there."""
+    monkeypatch.setattr(_Writer, "commit", lambda *a: pytest.fail("files passed the driver"))
+    name = F.concat(F.lit("d "), F.col("id") % 3, F.lit("/é "), F.col("id"))
+    rows = spark.range(0, 2500, 1, 2).select(name.alias("file"), F.col("id").cast("string").cast("binary").alias("content"))
+    for _ in range(2):
+        write_files(rows, f"file:{tmp_path}")
+    assert {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("é*")} == {f"d {k % 3}/é {k}": str(k) for k in range(2500)}
+    bad = rows.withColumn("content", F.when(F.col("file") == "d 1/é 1000", F.raise_error(F.lit("broken")).cast("binary")).otherwise(F.lit(b"new")))
+    with pytest.raises(Exception, match="broken"):
+        write_files(bad, str(tmp_path))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["d 0", "d 1", "d 2"] and (tmp_path / "d 0/é 0").read_text() == "0"
+    got = read_files(spark.createDataFrame([("d 1/é 1",), ("none",)], "file string"), str(tmp_path)).collect()
+    assert [(r.file, r.content) for r in got] == [("d 1/é 1", b"1"), ("none", None)]
+
+
 def test_only_parts_of_committed_tasks_are_joined(spark, tmp_path):
     writer = _Writer({"folder": str(tmp_path), "header": "h"})
     scratch = Path(writer.scratch)
