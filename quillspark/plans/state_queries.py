@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from quillspark import schema
 from quillspark.functions.coerce import collated
 from quillspark.operators.asof import asof_join
-from quillspark.operators.counters import flat_assets, flat_releases, previous_assets, rows_of, snapshot_rows
+from quillspark.operators.counters import flat_assets, flat_releases, previous_assets, snapshot_rows
 from quillspark.operators.durable import durable, scratch_root
 from quillspark.operators.ranking import global_rank, running_sum
 from quillspark.plans.counter_queries import FIRST_DAY, SIMULATED, daily_snapshots, read, simulated_assets, with_states
-from quillspark.sources.snapshots import read_releases, read_snapshots, write_documents, write_history_file
+from quillspark.sources.snapshots import read_releases, read_rows, write_documents, write_history_file
 from quillspark.sources.state import earlier_day, read_day, read_state, write_days
 from quillspark.streaming.daily import stream_captures, stream_state
 
@@ -95,7 +95,7 @@ def page_append_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def state_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The simulated assets of every day as flat state rows, a release being a tag."""
-    states = with_states(simulated_assets(spark, sf_dir)).withColumn("_one", F.lit(1).cast("long"))
+    states = durable(with_states(simulated_assets(spark, sf_dir)).withColumn("_one", F.lit(1).cast("long")))  # read twice, and by the search for ranges
     placed = running_sum(states, ["day", "tagName"], [collated(F.col("name")), F.col("id")], "_one", "asset_nth")
     day = lambda n: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int")), "yyyy-MM-dd")
     days = durable(states.groupBy("day", "tagName").agg(F.count("*").alias("n")))
@@ -117,7 +117,7 @@ def documents_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON document per day, written and read again: places, previous day, counts and states of all assets."""
     folder = scratch(spark)
     write_documents(durable(state_rows(spark, sf_dir)), folder)
-    rows = rows_of(read_snapshots(spark, folder)).where("kind = 'asset'")
+    rows = read_rows(spark, folder).where("kind = 'asset'")
     return rows.select("date", "previousDate", "release_nth", "asset_nth", "tagName", "name", "id", "downloadCount", "downloadDelta", "trackingState", "previousAssetId")
 
 

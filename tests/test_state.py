@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from quillspark import schema
+from quillspark.operators import counters
 from quillspark.operators.asof import asof_join
 from quillspark.operators.counters import documents, previous_assets, rows_of, snapshot_rows
 from quillspark.operators.durable import durable
@@ -18,7 +19,7 @@ from quillspark.operators.history import ordered, state_history
 from quillspark.operators.ranking import ranged
 from quillspark.plans import job
 from quillspark.sources.ordered_text import OrderedText, Parts, _Writer, read_files, write_files, write_ordered
-from quillspark.sources.snapshots import history_csv, pretty, read_snapshots, write_documents, write_history_file
+from quillspark.sources.snapshots import history_csv, pretty, read_rows, read_snapshots, write_documents, write_history_file
 from quillspark.sources.state import earlier_day, read_day, read_state, write_days
 from test_counters import asset, raw, release
 
@@ -149,6 +150,25 @@ def test_documents_are_written_side_by_side(spark, tmp_path):
     assert read_snapshots(spark, str(tmp_path)).count() == 2
 
 
+def test_documents_are_written_and_read_in_pieces(spark, tmp_path, monkeypatch):
+    """The bytes of :func:`pretty` without a row that holds a document, and the rows of the parsed documents whatever the order of keys."""
+    monkeypatch.setattr(counters, "documents", lambda *a: pytest.fail("a whole document"))
+    rows = day_rows(spark, "2026-07-12").unionByName(day_rows(spark, "2026-07-13", n=4))
+    rows = durable(rows.unionByName(snapshot_rows(raw(spark), None, "o/r", "2026-07-14T00:00:00.000Z")).unionByName(snapshot_rows(raw(spark, release(1, 'v"1\n', []), release(2, "w", [asset(1, "é", 4)])), None, "o/r", "2026-07-15T00:00:00.000Z")))
+    write_documents(rows, str(tmp_path))
+    for day in ("2026-07-12", "2026-07-13", "2026-07-14", "2026-07-15"):
+        assert (tmp_path / f"{day}.json").read_text() == pretty(documents(rows.where(F.col("date") == day)))
+    late = json.loads((tmp_path / "2026-07-15.json").read_text())
+    turned = {"releases": [{"assets": r.pop("assets"), "url": None, **r} for r in late.pop("releases")], **late, "more": [{}]}
+    (tmp_path / "2026-07-15.json").write_text(json.dumps(turned))
+    got, want = read_rows(spark, str(tmp_path)), rows_of(read_snapshots(spark, str(tmp_path)))
+    assert canonical(got.columns, got.collect()) == canonical(want.columns, want.collect()) and got.columns == want.columns
+    assert read_rows(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "2026-07-15.json").write_text(json.dumps(turned)[:-1])
+    with pytest.raises(Exception, match="malformed"):
+        read_rows(spark, str(tmp_path)).collect()
+
+
 def test_ordered_text_keeps_the_order_of_many_parts(spark, tmp_path):
     lines = spark.range(50_000).repartition(7).orderBy("id").select(F.concat(F.lit("é "), F.col("id").cast("string")).alias("line"))
     write_ordered(lines, str(tmp_path), "all.txt")
