@@ -140,7 +140,8 @@ def snapshot_rows(raw: DataFrame, previous: DataFrame | None, repository: str, c
     if previous is None:
         previous = previous_assets(raw.sparkSession.createDataFrame([], schema.STATE))
     ranked = durable(global_rank(releases.drop("assets"), [collated(F.col("tagName")), F.col("ordinal")], "release_nth"))
-    states = match_states(flat_assets(releases), previous).withColumn("_one", F.lit(1).cast("long"))
+    # Written before it is dealt: the search for ranges would make the joins a second time.
+    states = durable(match_states(flat_assets(releases), previous).withColumn("_one", F.lit(1).cast("long")))
     placed = running_sum(states, ["ordinal"], [collated(F.col("name")), collated(F.col("id").cast("string")), F.col("place")], "_one", "asset_nth").drop("tagName")
     named = ranked.select("ordinal", "release_nth", F.col("id").alias("releaseId"), "tagName", F.col("name").alias("releaseName"), "prerelease", "publishedAt", "releaseUrl")
     header = raw.sparkSession.range(1).drop("id")

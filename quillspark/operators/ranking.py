@@ -27,15 +27,21 @@ def ranged(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 def running_sum(df: DataFrame, by: list[str], order: list[Column], value: str, out: str) -> DataFrame:
     """``df`` with the sum of ``value`` up to each row of its key, itself included, in the given total order.
 
-    Sums inside a range are offset by those of the key's ranges before it, one row for
-    each range and key. Null keys are a key of their own.
+    Sums inside a range are offset by those of the key's ranges before it, two rows a range
+    at most. Null keys are a key of their own.
     """
     dealt = ranged(df, by, order)
-    before = F.sum("_sum").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = dealt.groupBy("_range", *by).agg(F.sum(value).alias("_sum")).select("_range", *[F.col(k).alias(f"_key{n}") for n, k in enumerate(by)], F.coalesce(before, F.lit(0)).alias("_before"))
     inside = F.sum(value).over(Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    joined = dealt.withColumn("_inside", inside).join(offsets.withColumnRenamed("_range", "_of"), [F.col("_range") == F.col("_of"), *[F.col(k).eqNullSafe(F.col(f"_key{n}")) for n, k in enumerate(by)]], "left")
-    return joined.withColumn(out, F.col("_before") + F.col("_inside")).drop("_range", "_of", "_inside", "_before", *[f"_key{n}" for n in range(len(by))])
+    same = lambda names: [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(by, names)]
+    keys, of = F.struct(*[F.col(k) for k in by], F.lit(0).alias("z")), [f"_key{n}" for n in range(len(by))]
+    # Only keys at a border of ranges go on from one to the next, so two of a range need offsets at most.
+    ends = durable(dealt.groupBy("_range").agg(F.min(keys).alias("_first"), F.max(keys).alias("_last")))
+    border = ends.select(F.explode(F.array("_first", "_last")).alias("_b")).distinct().select(*[F.col(f"_b.`{k}`").alias(n) for k, n in zip(by, of)])
+    held = dealt.join(F.broadcast(border), same(of)) if by else dealt
+    before = F.sum("_sum").over(Window.partitionBy(*of).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = held.groupBy(F.col("_range").alias("_of"), *of).agg(F.sum(value).alias("_sum")).select("_of", *of, before.alias("_before"))
+    joined = dealt.withColumn("_inside", inside).join(F.broadcast(durable(offsets)), [F.col("_range") == F.col("_of"), *same(of)], "left")
+    return joined.withColumn(out, F.coalesce("_before", F.lit(0)) + F.col("_inside")).drop("_range", "_of", "_inside", "_before", *of)
 
 
 def shifted(df: DataFrame, by: list[str], order: list[Column], value: str, before: str | None = None, after: str | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from quillspark import schema
-from quillspark.operators import counters
+from quillspark.operators import counters, ranking
 from quillspark.operators.asof import asof_join
 from quillspark.operators.counters import documents, previous_assets, rows_of, snapshot_rows
 from quillspark.operators.durable import durable
@@ -228,3 +228,21 @@ def test_folders_may_be_named_by_scheme_and_hold_blanks(spark, tmp_path):
     folder = f"file:{tmp_path}/a b"
     write_ordered(spark.range(3).select(F.col("id").cast("string").alias("line")).coalesce(1), folder, "x.txt")
     assert (tmp_path / "a b/x.txt").read_text() == "0\n1\n2\n"
+
+
+def test_running_sums_carry_over_by_two_rows_a_range(spark, monkeypatch):
+    """Many small keys and a hot one: what passes from range to range does not grow with the keys."""
+    written, durable_ = [], ranking.durable
+    monkeypatch.setattr(ranking, "durable", lambda df: written.append(durable_(df)) or written[-1])
+    rows = [(None if k < 300 else "hot" if k < 900 else f"k{k % 500}", k, k % 7) for k in range(2000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ranking.running_sum(spark.createDataFrame(rows, "key string, n long, v long"), ["key"], [F.col("n")], "v", "upto").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sums, want = {}, {}
+    for key, n, v in rows:
+        want[n] = sums[key] = sums.get(key, 0) + v
+    assert {r.n: r.upto for r in got} == want and len(got) == len(rows)
+    ranges = written[0].select("_range").distinct().count()
+    assert len(written) == 3 and ranges > 1 and all(t.count() <= 3 * ranges for t in written[1:])
