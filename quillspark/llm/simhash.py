@@ -425,8 +425,11 @@ class _Sets:
         return both / (n + self.n[p] - both)
 
 
-def _with_partner(entries: DataFrame, similarity: float, block: int) -> DataFrame:
-    """``(key, whole, label)`` of the entries ``(key, whole, label, n, sketch)`` that may be similar to another of their shard."""
+def _with_partner(entries: DataFrame, crowded: DataFrame | None, similarity: float, block: int) -> DataFrame:
+    """``(key, whole, label)`` of the entries ``(key, whole, label, n, sketch)`` that may be similar to another of their shard.
+
+    ``crowded`` holds the entries of shards with more than a block; only these are dealt into blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches):
@@ -440,7 +443,10 @@ def _with_partner(entries: DataFrame, similarity: float, block: int) -> DataFram
             if found.any():
                 yield from rows.select(["key", "whole", "label"]).filter(pa.array(found)).to_batches()
 
-    jobs = _jobs(entries, block, "whole").select("job", "side", "key", "whole", "label", "n", "sketch")
+    names = ["job", "side", "key", "whole", "label", "n", "sketch"]
+    jobs = entries.select(F.col("key").alias("job"), F.lit(-1).alias("side"), *names[2:])
+    if crowded is not None:
+        jobs = jobs.unionByName(_jobs(crowded, block, "whole").select(names))
     return _dealt(jobs).mapInArrow(run, "key long, whole long, label long")
 
 
@@ -526,16 +532,16 @@ def similarity_links(docs: DataFrame, marked: DataFrame, similarity: float, text
     entries = sets.select(F.posexplode("keys").alias("i", "least"), "whole", "fp", "n", "sketch").withColumn("key", F.xxhash64("i", "least")).drop("i", "least")
     crowded = durable(entries.groupBy("key").count().where(F.col("count") > block))
     home = durable(entries.join(crowded, "key").groupBy("whole").agg(F.max(F.struct("count", "key"))["key"].alias("key")))
-    labelled, used = entries.withColumn("label", F.col("fp")), [sets, firsts, crowded, home]
+    labelled, inside, used = entries.withColumn("label", F.col("fp")), None, [sets, firsts, crowded, home]
     if not home.isEmpty():
         led = _leader_links(docs, id_col, text_col, sets, firsts, home, similarity, shingle, set_block)
         links = links.unionByName(led)
         groups = connected_components(led).select(F.col("node").alias("fp"), F.col("component").alias("group"))
         # Only in crowded shards is it worth a join to know what the leaders have linked.
         inside = durable(entries.join(crowded.select("key"), "key").join(groups, "fp", "left").withColumn("label", F.coalesce("group", "fp")).drop("group"))
-        labelled = labelled.join(crowded.select("key"), "key", "left_anti").unionByName(inside)
+        labelled = labelled.join(crowded.select("key"), "key", "left_anti")
         used += [led, inside]
-    near = durable(_with_partner(labelled, similarity, block).distinct())
+    near = durable(_with_partner(labelled, inside, similarity, block).distinct())
     wanted = sets.join(near.select("whole").distinct(), "whole").select("tid", "whole", "fp")
     exact = durable(_sets_of(docs, id_col, text_col, wanted, firsts, shingle))
     jobs = _jobs(near, set_block, "whole").select("job", "side", "whole", "label").join(exact.hint("merge"), "whole")

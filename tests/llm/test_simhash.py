@@ -2,6 +2,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+from quillspark.llm import simhash
 from quillspark.llm.simhash import BKForest, _jobs, fingerprint, fingerprint_links, fingerprints, keep_one, linked_codes, near_duplicates, op3_simhash, similarity_links, sketch
 from quillspark.operators.durable import durable
 
@@ -215,6 +216,24 @@ def test_crowded_similarity_shards_lose_no_pair(make_docs):
     assert alone.join(big, "key").count() == 0  # nothing left to compare
 
 
+def test_only_crowded_shards_are_dealt_into_blocks(make_docs, monkeypatch):
+    """Entries of small shards pass no join with the list of crowded ones; links stay the same."""
+    rng = np.random.default_rng(31)
+    base = [f"w{k}" for k in rng.integers(0, 5000, 150)]
+    alone = [[f"w{k}" for k in rng.integers(0, 5000, 150)] for _ in range(40)]
+    texts = [varied(base, int(n), rng) for n in rng.integers(1, 6, 30)] + [varied(words, n, rng) for words in alone for n in (0, 2)]
+    docs = make_docs(list(enumerate(texts)))
+    marked = durable(fingerprints(docs, sketched=5))
+    want = connected_groups([(r.u, r.v) for r in similarity_links(docs, marked, 0.8).collect()])
+    dealt = []
+    monkeypatch.setattr(simhash, "_jobs", lambda entries, block, by: dealt.append((entries, block)) or _jobs(entries, block, by))
+    monkeypatch.setattr(simhash, "release", lambda table: None)  # what was dealt is counted afterwards
+    assert connected_groups([(r.u, r.v) for r in similarity_links(docs, marked, 0.8, block=8, set_block=4).collect()]) == want
+    entries = next(e for e, block in dealt if block == 8)
+    sizes = [r["count"] for r in entries.groupBy("key").count().collect()]
+    assert sizes and min(sizes) > 8 and sum(sizes) < 6 * len(texts) / 2
+
+
 def test_one_id_with_unrelated_texts_keeps_both(make_docs):
     words = [" ".join(f"w{k}{j}" for j in range(30)) for k in range(3)]
     docs = make_docs([(1, words[0]), (1, words[1]), (2, words[1]), (2, words[2]), (2, words[2]), (3, words[0])])
