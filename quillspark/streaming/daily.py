@@ -1,9 +1,12 @@
 """The daily job as a stream with keyed state: each repository's captures are compared with its own earlier days.
 
-The state of a repository is a map from days to what a comparison needs of them (ids, tags,
-names and counts in stored order), held by the state store, so it outlives executors and
-is not read whole: a capture reads the names of days, the newest earlier day and writes
-its own. Captures are taken in order of time within a batch, the last of a day counts, and
+The state of a repository is dealt into ``SHARDS`` parts, each a map from days to what a comparison
+needs of them, held by the state store, so it outlives executors and is not read whole: a
+capture reads the names of days, the newest earlier day and writes its own. An asset goes to the
+part of its id, which knows earlier counts, and to the part of its tag and name, which knows
+earlier ids; each part sees every capture, so all take the same days. The answers of both parts
+are joined in the batch. No task holds all assets of a repository. A change of ``SHARDS`` needs a new
+checkpoint, which takes all captures up again. Captures are taken in order of time within a batch, the last of a day counts, and
 a day that comes again replaces its rows. A late day is compared with the newest earlier
 one and leaves later days as they are, as in the batch job.
 
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
 
 from quillspark import schema
 from quillspark.functions.coerce import collated, flag, iso_date, iso_utc, name_or, non_negative_integer, text
@@ -31,6 +34,9 @@ from quillspark.sources.state import read_state, write_days
 
 CAPTURE = StructType([StructField("repository", StringType()), StructField("capturedAt", StringType()), StructField("releases", ArrayType(schema.RAW_RELEASES))])
 STREAM = StructType([StructField("status", StringType()), *schema.STATE.fields])
+#: What the parts say (names without a leading underscore, which Spark would lose on the way to Python): role 0 has an asset's row and what is known of its id, role 1 the earlier id of its tag and name, if any.
+PARTS = StructType([*STREAM.fields, StructField("token", DoubleType()), StructField("by_name", BooleanType())])
+SHARDS = 64
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RETAIN_DAYS = 400
 
@@ -46,11 +52,12 @@ def capture_rows(captures: DataFrame) -> DataFrame:
     Text without a zone is UTC; a capture without a readable time fails.
     """
     time = F.coalesce(iso_utc(F.try_to_timestamp("capturedAt")), F.raise_error(F.lit("a valid capture time is required")).cast("string"))
+    extra = [c for c in captures.columns if c not in CAPTURE.names]
     none = F.array().cast(ArrayType(schema.RAW_RELEASES))
     kept = F.filter(F.coalesce("releases", none), lambda r: ~flag(r["draft"]))
-    timed = captures.select(F.coalesce("repository", F.lit("")).alias("repository"), time.alias("capturedAt"), _sorted(kept, lambda r: text(r["tag_name"])).alias("listed"))
+    timed = captures.select(F.coalesce("repository", F.lit("")).alias("repository"), time.alias("capturedAt"), *extra, _sorted(kept, lambda r: text(r["tag_name"])).alias("listed"))
     r = F.col("release")
-    head = ["repository", "capturedAt"]
+    head = ["repository", "capturedAt", *extra]
     each = timed.select(*head, F.posexplode_outer("listed").alias("_r", "x")).select(*head, (F.col("_r") + 1).alias("release_nth"), F.col("x.item").alias("release"))
     tag = text(r["tag_name"])
     no_assets = F.array().cast(ArrayType(schema.RAW_ASSET))
@@ -69,7 +76,22 @@ def capture_rows(captures: DataFrame) -> DataFrame:
         "publishedAt": F.when(inside, r["published_at"]), "releaseUrl": F.when(inside, r["html_url"]), "id": a["id"], "name": F.when(is_asset, text(a["name"])), "sizeBytes": F.when(is_asset, non_negative_integer(a["size"])),
         "downloadCount": F.when(is_asset, non_negative_integer(a["download_count"])), "updatedAt": a["updated_at"], "downloadUrl": a["browser_download_url"],
     }
-    return rows.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.STATE.fields])
+    return rows.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.STATE.fields], *extra)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of captures with ``shard`` and ``by_name``: assets go to two parts, snapshots to all, releases to the first."""
+    kind, part = F.col("kind"), lambda *by: F.pmod(F.xxhash64(*by), F.lit(SHARDS)).cast("int")
+    place = lambda shard, named: F.struct(shard.alias("shard"), F.lit(named).alias("named"))
+    places = (
+        F.when(kind == "asset", F.array(place(part("id"), False), place(part("tagName", "name"), True)))
+        .when(kind == "snapshot", F.transform(F.sequence(F.lit(0), F.lit(SHARDS - 1)), lambda k: place(k, False)))
+        .otherwise(F.array(place(F.lit(0), False)))
+    )
+    asked = {"repository", "capturedAt", "date", "kind", "release_nth", "asset_nth", "id", "tagName", "name"}
+    each = rows.withColumn("_place", F.explode(places))
+    columns = [F.col(f.name) if f.name in asked else F.when(~F.col("_place.named"), F.col(f.name)).alias(f.name) for f in schema.STATE.fields]
+    return each.select(*columns, "token", F.col("_place.shard").alias("shard"), F.col("_place.named").alias("by_name"))
 
 
 def listed_type(df: DataFrame, listed: Column):
@@ -77,7 +99,7 @@ def listed_type(df: DataFrame, listed: Column):
 
 
 class Chain(StatefulProcessor):
-    """A repository's days, and the comparison of its captures with them."""
+    """The days of one part of a repository, and the comparison of its captures with them."""
 
     def __init__(self, retain_days: int):
         self.retain_days = retain_days
@@ -88,15 +110,22 @@ class Chain(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
         table = pd.concat(rows).sort_values(["capturedAt", "release_nth", "asset_nth"], kind="stable", na_position="first")
         known = {k[0] for k in self.days.keys()}
+        held: tuple[str | None, list] = (None, [])  # the day written last
         for day, captured in table.groupby("date", sort=True):
             last = captured[captured["capturedAt"] == captured["capturedAt"].max()]
+            shown = last if key[1] == 0 else last[last["kind"] != "snapshot"]
             if known and day < self.oldest(max(known)):
-                yield last[last["kind"] == "snapshot"].assign(status="late")[STREAM.names]
+                if key[1] == 0:
+                    yield last[last["kind"] == "snapshot"].assign(status="late")[PARTS.names]
                 continue
             before = max((d for d in known if d < day), default=None)
-            yield self.compared(last, before)
+            earlier = [[[], []], [[], [], []]] if before is None else held[1] if before == held[0] else json.loads(self.days.getValue((before,))[0])
+            if len(shown):
+                yield self.compared(shown, before, *earlier)
             assets = last[last["kind"] == "asset"]
-            self.days.updateValue((day,), (json.dumps([assets[c].tolist() for c in ("id", "tagName", "name", "downloadCount")]),))
+            own, named = assets[~assets["by_name"].astype(bool)], assets[assets["by_name"].astype(bool)]
+            held = day, [[x[c].tolist() for c in names] for x, names in ((own, ("id", "downloadCount")), (named, ("tagName", "name", "id")))]
+            self.days.updateValue((day,), (json.dumps(held[1]),))
             known.add(day)
             for old in [d for d in known if d < self.oldest(max(known))]:
                 self.days.removeKey((old,))
@@ -105,30 +134,40 @@ class Chain(StatefulProcessor):
     def oldest(self, newest: str) -> str:
         return (date.fromisoformat(newest) - timedelta(days=self.retain_days)).isoformat()
 
-    def compared(self, captured: pd.DataFrame, before: str | None) -> pd.DataFrame:
-        ids, tags, names, counts = json.loads(self.days.getValue((before,))[0]) if before else [[]] * 4
-        same = {i: c for i, c in zip(ids, counts) if i is not None and i == i}  # of equal ids the last in stored order
-        named = {k: i for *k, i in zip(tags, names, ids) for k in [tuple(k)]}
-        states, deltas, earlier = [], [], []
-        for kind, i, tag, name, count in captured[["kind", "id", "tagName", "name", "downloadCount"]].itertuples(index=False):
-            is_asset = kind == "asset"
-            state = None if not is_asset else "existing" if i in same else "replaced" if (tag, name) in named else "new"
+    def compared(self, shown: pd.DataFrame, before: str | None, own: list, names: list) -> pd.DataFrame:
+        same = {i: c for i, c in zip(*own) if i is not None and i == i}  # of equal ids the last in stored order
+        named = {(tag, name): i for tag, name, i in zip(*names)}
+        states, deltas, earlier, kept = [], [], [], []
+        for kind, asked, i, tag, name, count in shown[["kind", "by_name", "id", "tagName", "name", "downloadCount"]].itertuples(index=False):
+            own_row = kind == "asset" and not asked
+            state = "existing" if own_row and i in same else None
             states.append(state)
-            deltas.append(None if not is_asset else max(0, int(count) - int(same[i])) if state == "existing" else int(count))
-            old = named[tag, name] if state == "replaced" else None
+            deltas.append(None if not own_row else max(0, int(count) - int(same[i])) if state else int(count))
+            old = named.get((tag, name)) if asked else None
             earlier.append(None if old is None or old != old else int(old))
-        out = captured.assign(status="day", previousDate=before, trackingState=states)
+            kept.append(not asked or (tag, name) in named)
+        out = shown.assign(status="day", previousDate=before, trackingState=states)
         out["downloadDelta"], out["previousAssetId"] = pd.array(deltas, "Int64"), pd.array(earlier, "Int64")
-        return out[STREAM.names]
+        return out.loc[kept, PARTS.names]
 
     def close(self) -> None:
         pass
 
 
 def compare_stream(captures: DataFrame, retain_days: int = RETAIN_DAYS) -> DataFrame:
-    """``STREAM`` rows of a stream of captures: states and deltas against the repository's newest earlier day."""
-    rows = capture_rows(captures)
-    return rows.groupBy("repository").transformWithStateInPandas(Chain(retain_days), STREAM, "Append", "None")
+    """``PARTS`` rows of a stream of captures, compared with the repository's newest earlier day; :func:`settled` joins those of a batch."""
+    rows = dealt(capture_rows(captures.withColumn("token", F.rand())))  # tells captures of one time apart
+    return rows.groupBy("repository", "shard").transformWithStateInPandas(Chain(retain_days), PARTS, "Append", "None")
+
+
+def settled(batch: DataFrame) -> DataFrame:
+    """``STREAM`` rows of a batch: an asset whose id is not known is a replacement where its tag and name are."""
+    place = ["repository", "capturedAt", "token", "release_nth", "asset_nth"]
+    named = batch.where("by_name").select(*place, F.col("previousAssetId").alias("_earlier"), F.lit(True).alias("_met"))
+    rows = batch.where("not by_name").join(named, place, "left")
+    replaced = (F.col("kind") == "asset") & F.col("trackingState").isNull() & F.col("_met")
+    state = F.when(F.col("kind") == "asset", F.coalesce("trackingState", F.when(F.col("_met"), "replaced").otherwise("new")))
+    return rows.withColumn("previousAssetId", F.when(replaced, F.col("_earlier"))).withColumn("trackingState", state).select(STREAM.names)
 
 
 def stream_captures(
@@ -147,13 +186,15 @@ def stream_captures(
     table = f"{output_dir}/state"
 
     def take(batch: DataFrame, _: int) -> None:
-        batch.persist()
+        parts = batch.persist()
+        batch = settled(parts).persist()
         write_days(batch, table, ("status", "date", "repository"))
         if views:
             whole, days = stream_state(batch.sparkSession, output_dir), batch.where("status = 'day'").select("date").distinct()
             write_documents(whole.join(days, "date", "left_semi").select(whole.columns), f"{output_dir}/snapshots")
             write_history_file(whole, output_dir, "release-downloads.csv")
         batch.unpersist()
+        parts.unpersist()
 
     return compare_stream(named, retain_days).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

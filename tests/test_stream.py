@@ -10,7 +10,7 @@ from quillspark.operators.counters import previous_assets, snapshot_rows
 from quillspark.operators.durable import durable
 from quillspark.plans.job import normalised_time
 from quillspark.sources.state import earlier_day, read_day, read_state, write_days
-from quillspark.streaming.daily import CAPTURE, capture_rows, stream_captures, stream_state
+from quillspark.streaming.daily import CAPTURE, SHARDS, capture_rows, dealt, stream_captures, stream_state
 
 
 def capture(moment, *assets, repository=None, extra=()):
@@ -90,6 +90,21 @@ def test_captures_beyond_the_retained_days_are_kept_as_late(spark, tmp_path):
     assert [r.date for r in late] == ["2026-07-14"]
 
 
+def test_assets_of_one_repository_are_dealt_apart(spark, tmp_path):
+    """No group holds more than a small share of a repository; ids that move and names that come again are found across parts."""
+    first = capture("2026-07-13T00:00:00Z", *[(k, f"n{k}", k) for k in range(2000)])
+    second = capture("2026-07-14T00:00:00Z", *[(k + 5000 * (k % 3 == 1), f"n{k}" if k % 3 else f"m{k}", 2 * k) for k in range(2000)], (9999, "x", 4))
+    rows_ = dealt(capture_rows(spark.createDataFrame([first], "capturedAt string, releases " + CAPTURE["releases"].dataType.simpleString()).selectExpr("'o/r' repository", "*").withColumn("token", F.rand())))
+    sizes = [r["count"] for r in rows_.groupBy("repository", "shard").count().collect()]
+    assert len(sizes) == SHARDS and max(sizes) < 2 * 2 * 2000 / SHARDS and sum(sizes) == 2 * 2000 + SHARDS + 2
+    put(tmp_path / "in", "1.json", first, second, second)
+    run(spark, tmp_path, views=False)
+    got = stream_state(spark, str(tmp_path / "out"))
+    want = batch(spark, str(tmp_path / "batch"), [first, second])
+    twice = want.where("date = '2026-07-14'")
+    assert rows(got) == rows(want.unionByName(twice))
+
+
 def test_capture_rows_fail_without_a_time_and_take_empty_ones(spark):
     assert capture_rows(spark.createDataFrame([("o/r", "2026-07-12T00:00:00Z", None)], CAPTURE)).select("kind", "date").collect() == [("snapshot", "2026-07-12")]
     with pytest.raises(Exception, match="valid capture time"):
