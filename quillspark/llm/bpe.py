@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from quillspark.llm.common import utf8
 
-CHUNK_BYTES = 8 << 20  # a worker holds some 25 times as much while it encodes
+CHUNK_BYTES = 8 << 20
 WORD_END = "</w>"
 _SPACE = r"\t-\r \x85\xa0  -     　"
 
